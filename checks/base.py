@@ -54,6 +54,15 @@ class Context:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of files. A stream needs a folder, so a single file is picked out of its folder."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        reader = self.spark.readStream.schema(self.table(name).schema)
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+            return reader.parquet(path)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
     def scratch(self, label: str) -> str:
         return scratch_path(self.spark, label)
 

@@ -44,7 +44,8 @@ def with_hardware(nodes: DataFrame, dims: dict[str, DataFrame], cluster: str | N
     default_type = dims["settings"].agg(F.first("default_node_type")).scalar()
 
     named = canonical_node(nodes.withColumn("_entry", F.col("node")), synonym, "_entry")
-    matching = F.filter(F.col("_patterns"), lambda p: F.col("node").rlike(F.concat(F.lit("(?i)^(?:"), p["pattern"], F.lit(")"))))
+    matching = F.filter(F.col("_patterns"), lambda p: F.regexp_like(
+        "node", F.concat(F.lit("(?i)^(?:"), p["pattern"], F.lit(")"))))
     looked = (named.join(own, "_entry", "left")
               .withColumn("_type", F.coalesce("_type", default_type, F.lit("cpu")))
               .join(kinds, "_type", "left")
@@ -71,7 +72,7 @@ def with_legacy_resources(nodes: DataFrame, entries: DataFrame, patterns: DataFr
         F.coalesce("cpus", F.lit(1)).alias("cpus"), F.coalesce("gpus", F.lit(0)).alias("gpus")))).alias("all")).scalar()
     looked = nodes.join(own, "node", "left").withColumn("_patterns", listed)
     looked = looked.withColumn("_hit", F.get(
-        F.filter(F.col("_patterns"), lambda p: F.col("node").rlike(p["regex"])), F.lit(0)))
+        F.filter(F.col("_patterns"), lambda p: F.regexp_like("node", p["regex"])), F.lit(0)))
     value = lambda name, default: F.when(F.col("_own"), F.col(f"_own_{name}")).otherwise(
         F.coalesce(f"_hit.{name}", F.lit(default))).cast("int")
     return looked.select(*nodes.columns, value("cpus", default_cpus).alias("cpus"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ def schema_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     def place(part: list[str]) -> None:
         try:
             schema = spark.read.option("mergeSchema", "true").parquet(*part).schema
-        except PySparkException:
-            if len(part) == 1:
+        except (PySparkException, Py4JJavaError) as error:
+            if len(part) == 1 or "CANNOT_MERGE" not in str(error):
                 raise
             place(part[:len(part) // 2])
             place(part[len(part) // 2:])
