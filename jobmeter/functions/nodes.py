@@ -8,31 +8,35 @@ from pyspark.sql import functions as F
 from .text import as_column
 
 
+_NO_NAMES = "array<string>"  # type of an empty list
+
+
 def _expand_item(prefix: Column, item: Column) -> Column:
     """Names for one comma piece inside brackets: a number range or a single name part."""
-    low = F.regexp_extract(item, r"^(\d+)-\d+$", 1)
-    high = F.regexp_extract(item, r"^\d+-(\d+)$", 1)
-    width = F.when(low.startswith("0") & (F.length(low) > 1), F.length(low)).otherwise(0)
-    first, last = low.try_cast("int"), high.try_cast("int")
-    numbers = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    bounds = F.split(item, "-")
+    first, last = bounds[0].try_cast("int"), bounds[1].try_cast("int")
+    width = F.when(item.startswith("0"), F.length(bounds[0])).otherwise(0)
 
     def name(number: Column) -> Column:
         digits = number.cast("string")
         return F.concat(prefix, F.lpad(digits, F.greatest(width, F.length(digits)), "0"))
 
-    return (F.when(low != "", F.transform(numbers, name))
-            .when(item == "", F.array().cast("array<string>"))
+    names = F.when(first <= last, F.transform(F.sequence(first, last), name)).otherwise(F.array().cast(_NO_NAMES))
+    return (F.when(item.rlike(r"^\d+-\d+$"), names)
+            .when(item == "", F.array().cast(_NO_NAMES))
             .otherwise(F.array(F.concat(prefix, item))))
 
 
-def _expand_group(group: Column) -> Column:
-    """Names for 'prefix', 'prefix[body]' or 'prefix[body' (closing bracket lost)."""
-    prefix = F.trim(F.substring_index(group, "[", 1))
-    body = F.regexp_replace(F.substr(group, F.instr(group, "[") + 1), r"\]", "")
-    items = F.transform(F.split(body, ","), lambda i: F.trim(i))
-    names = F.flatten(F.transform(items, lambda i: _expand_item(prefix, i)))
-    plain = F.regexp_replace(prefix, r"\]", "")
-    return F.when(F.instr(group, "[") > 0, names).otherwise(F.array(plain))
+def _expand_groups(text: Column) -> Column:
+    """Names in text with brackets: groups 'prefix', 'prefix[body]' or 'prefix[body' (closing bracket lost)."""
+    groups = F.regexp_extract_all(text, F.lit(r"([^,\[]+(?:\[[^\]]*\]?)?)"), F.lit(1))
+    # Prefix and items are held in a struct: inside a lambda every mention of an expression is computed again.
+    parts = F.transform(groups, lambda g: F.struct(
+        F.replace(F.trim(F.substring_index(g, "[", 1)), F.lit("]"), F.lit("")).alias("prefix"),
+        F.when(F.instr(g, "[") > 0, F.split(F.replace(F.substr(g, F.instr(g, "[") + 1), F.lit("]"), F.lit("")), ","))
+        .alias("items")))
+    return F.flatten(F.transform(parts, lambda p: F.when(p["items"].isNull(), F.array(p["prefix"])).otherwise(
+        F.flatten(F.transform(p["items"], lambda i: _expand_item(p["prefix"], F.trim(i)))))))
 
 
 def expand_nodelist(nodelist: Column | str) -> Column:
@@ -41,10 +45,10 @@ def expand_nodelist(nodelist: Column | str) -> Column:
     Null, blank, 'None assigned' and text without any letter give an empty array.
     """
     text = F.trim(as_column(nodelist))
-    groups = F.regexp_extract_all(text, F.lit(r"([^,\[]+(?:\[[^\]]*\]?)?)"), F.lit(1))
-    names = F.flatten(F.transform(groups, _expand_group))
     nothing = text.isNull() | (text == "None assigned") | text.rlike(r"^[\d\[\],\- ]*$")
-    return F.when(nothing, F.array().cast("array<string>")).otherwise(F.filter(names, lambda n: n != ""))
+    plain = F.transform(F.split(F.replace(text, F.lit("]"), F.lit("")), ","), lambda n: F.trim(n))
+    names = F.when(F.instr(text, "[") > 0, _expand_groups(text)).otherwise(plain)
+    return F.when(nothing, F.array().cast(_NO_NAMES)).otherwise(F.filter(names, lambda n: n != ""))
 
 
 def node_pieces(nodelist: Column | str) -> Column:

@@ -24,9 +24,8 @@ def dimension_values(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     single = [F.array(entry(d, F.col(d))) for d in DIMENSIONS if d != "Partition"]
     split = F.transform(F.coalesce(partition_list("Partition"), F.array().cast("array<string>")),
                         lambda p: entry("Partition", p))
-    # Distinct combinations first: far fewer rows reach the explode than there are jobs.
-    combos = df.select(*by, *DIMENSIONS).distinct()
-    return (combos.select(*by, F.explode(F.concat(split, *single)).alias("e"))
+    # Each task reduces its rows to distinct values before the one shuffle, so a value that most jobs share costs nothing.
+    return (df.select(*by, F.explode(F.concat(split, *single)).alias("e"))
             .select(*by, "e.*").where(F.col("value").isNotNull()).distinct())
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +49,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later steps do not depend on its lineage."""
-    path = scratch_path(df.sparkSession, label)
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder and read back, so that later steps do not depend on its lineage.
+
+    The copy is removed when the block ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        fs, folder = file_system(spark, path)
+        fs.delete(folder, True)
+
+
+def keep_versions(spark: SparkSession, path: str, prefix: str = "", keep: int = 2) -> list[int]:
+    """Numbered folders ``<prefix><n>`` below ``path``; all but the ``keep`` highest are removed."""
+    fs, folder = file_system(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    found = sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+    for n in found[:-keep]:
+        old = file_system(spark, f"{path}/{prefix}{n}")[1]
+        fs.delete(old, True)
+    return found[-keep:]

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import file_system
 from .records import conform, with_hours, with_job_periods, with_node_array, with_resource_names
 
 # Column names of older files and the canonical name each stands for.
@@ -17,14 +18,9 @@ OLD_NAMES = {
 DATA_FOLDERS = ("data", "weekly-data")  # the first one that has files is used
 
 
-def _file_system(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
 def list_clusters(spark: SparkSession, root: str) -> list[str]:
     """Names of the sub-directories of ``root``; each one is a cluster."""
-    fs, path = _file_system(spark, root)
+    fs, path = file_system(spark, root)
     return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
 
 
@@ -33,7 +29,7 @@ def history_files(spark: SparkSession, root: str, clusters: list[str] | None = N
     found = []
     for cluster in clusters if clusters is not None else list_clusters(spark, root):
         for folder in DATA_FOLDERS:
-            fs, pattern = _file_system(spark, f"{root}/{cluster}/{folder}/*.parquet")
+            fs, pattern = file_system(spark, f"{root}/{cluster}/{folder}/*.parquet")
             files = sorted(s.getPath().toString() for s in fs.globStatus(pattern) or [])
             if files:
                 found += files

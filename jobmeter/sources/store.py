@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cleaning import keep_last
 from ..schema import JOBS
-from ..session import materialize
+from ..session import file_system, staged
 
 STORE_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 ROW_KEYS = ["cluster", "SubmitYear", "JobID"]
@@ -19,16 +19,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOBS).parquet(path)
 
 
-def _folder(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
 def drop_partitions(spark: SparkSession, path: str, partitions) -> None:
     """Delete the folders of the given (cluster, year, month) partitions."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for cluster, year, month in partitions:
-        fs, folder = _folder(spark, f"{path}/cluster={escape(cluster)}/SubmitYear={year}/SubmitMonth={month}")
+        fs, folder = file_system(spark, f"{path}/cluster={escape(cluster)}/SubmitYear={year}/SubmitMonth={month}")
         fs.delete(folder, True)
 
 
@@ -49,36 +44,31 @@ def _partitions(df: DataFrame) -> set[tuple]:
 
 def _within(partitions: set[tuple], depth: int) -> Column:
     """Predicate on the first ``depth`` partition columns, which prunes folders at planning time."""
-    hit = F.lit(False)
-    for values in sorted({p[:depth] for p in partitions}):
-        one = F.lit(True)
-        for key, value in zip(STORE_KEYS, values):
-            one = one & (F.col(key) == F.lit(value))
-        hit = hit | one
-    return hit
+    key = F.concat_ws("/", *[F.col(k).cast("string") for k in STORE_KEYS[:depth]])
+    return key.isin(sorted({"/".join(str(v) for v in p[:depth]) for p in partitions}))
 
 
 def upsert_jobs(new: DataFrame, path: str) -> DataFrame:
     """Merge canonical jobs into the store; the last record of a job within its cluster and year stays.
 
     Months that hold neither a new job nor an older record of one are not touched. The merged rows go to the shared
-    folder first, because a partition cannot be overwritten by a plan that reads it. Returns the merged partitions.
+    folder first, because a partition cannot be overwritten by a plan that reads it. Returns the months rewritten.
     """
     spark = new.sparkSession
-    batch = materialize(new.select(*JOBS.fieldNames()), "batch")
-    touched = _partitions(batch)
-    merged = batch
-    fs, folder = _folder(spark, path)
-    if touched and fs.exists(folder):
-        store = read_store(spark, path)
-        # A narrow scan of the years finds the months in which earlier records of the new jobs lie.
-        earlier = store.where(_within(touched, 2)).select("JobID", *STORE_KEYS)
-        touched |= _partitions(earlier.join(batch.select(*ROW_KEYS).distinct(), ROW_KEYS, "left_semi"))
-        merged = store.where(_within(touched, 3)).unionByName(batch)
-    staged = materialize(keep_last(merged, ROW_KEYS), "merged")
-    write_store(staged, path)
-    drop_partitions(spark, path, touched - _partitions(staged))
-    return staged
+    with staged(new.select(*JOBS.fieldNames()), "batch") as batch:
+        touched = _partitions(batch)
+        merged = batch
+        fs, folder = file_system(spark, path)
+        if touched and fs.exists(folder):
+            store = read_store(spark, path)
+            # A narrow scan of the years finds the months in which earlier records of the new jobs lie.
+            earlier = store.where(_within(touched, 2)).select("JobID", *STORE_KEYS)
+            touched |= _partitions(earlier.join(batch.select(*ROW_KEYS).distinct(), ROW_KEYS, "left_semi"))
+            merged = store.where(_within(touched, 3)).unionByName(batch)
+        with staged(keep_last(merged, ROW_KEYS), "merged") as result:
+            write_store(result, path)
+            drop_partitions(spark, path, touched - _partitions(result))
+    return read_store(spark, path).where(_within(touched, 3))
 
 
 def compact(spark: SparkSession, source: DataFrame, path: str) -> DataFrame:
@@ -119,9 +109,9 @@ def apply_retention(spark: SparkSession, path: str, keep_months: int, as_of) ->
     store = read_store(spark, path)
     old = _partitions(store.where(F.col("SubmitMonth") <= F.lit(first)))
     edge = store.where((F.col("SubmitMonth") == F.lit(first)) & (F.col("Submit") >= F.lit(cutoff)))
-    kept = materialize(edge, "retained")
-    write_store(kept, path)
-    drop_partitions(spark, path, old - _partitions(kept))
+    with staged(edge, "retained") as kept:
+        write_store(kept, path)
+        drop_partitions(spark, path, old - _partitions(kept))
     return read_store(spark, path)
 
 

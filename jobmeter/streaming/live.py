@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.time import period_start
+from ..session import keep_versions
 
 
 def live_totals(stream: DataFrame, grain: str = "month", dim: str | None = None) -> DataFrame:
@@ -19,10 +20,11 @@ def live_totals(stream: DataFrame, grain: str = "month", dim: str | None = None)
 
 
 def start_live_totals(totals: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the totals of each trigger as ``path/batch=<n>``; a repeated trigger replaces its own folder."""
+    """Keep the totals of the last two triggers as ``path/batch=<n>``; a repeated trigger replaces its own folder."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keep_versions(batch.sparkSession, path, "batch=")
 
     writer = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()

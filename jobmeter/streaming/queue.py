@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import array_job
+from ..session import keep_versions
 
 # One row per job that a poll found pending.
 SNAPSHOT = T.StructType([
@@ -69,10 +70,8 @@ def start_queue_monitor(stream: DataFrame, path: str, checkpoint: str, once: boo
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/last")
-        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        kept = [int(s.getPath().getName()) for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
-        older = [n for n in kept if n < batch_id]
+        # Two kept polls suffice: that of the batch before, and this batch's own if it is being repeated.
+        older = [n for n in keep_versions(spark, f"{path}/last") if n < batch_id]
         polls = batch
         if older:
             polls = spark.read.schema(SNAPSHOT).parquet(f"{path}/last/{max(older)}").unionByName(batch)
