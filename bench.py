@@ -34,13 +34,16 @@ RUNS = 2
 def main() -> None:
     spark = build_session("bench", f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
-    table = tempfile.mkdtemp(prefix="run-") + "/jobs"
-    started = time.time()
-    # The sample is one file and so one task; spread the raw records before the work on them.
-    records = sample_records(spark, SF_DIR).repartition(int(CPUS)).withColumn("State", job_state("RawState"))
-    jobs = conform(with_node_array(with_job_periods(with_hours(records))))
-    jobs.sortWithinPartitions("Submit").write.parquet(table)
-    times = {"ingest": round(time.time() - started, 3)}
+    times = {}
+    for run in range(RUNS):
+        table = tempfile.mkdtemp(prefix="run-") + "/jobs"
+        started = time.time()
+        # The sample is one file and so one task; spread the raw records before the work on them.
+        records = sample_records(spark, SF_DIR).repartition(int(CPUS)).withColumn("State", job_state("RawState"))
+        jobs = conform(with_node_array(with_job_periods(with_hours(records))))
+        jobs.sortWithinPartitions("Submit").write.parquet(table)
+        spent = round(time.time() - started, 3)
+        times["ingest"] = min(times.get("ingest", spent), spent)
     jobs = spark.read.parquet(table)
     year = {"start": "1997-01-01", "end": "1997-12-31"}
 

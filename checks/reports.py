@@ -223,10 +223,11 @@ charts AS (
   UNION ALL SELECT 'cpu_hours_by_dimension', qos, '', sum(cpu_h) FROM d GROUP BY ALL
   UNION ALL SELECT 'jobs_distribution', qos, '', count(*) FROM d GROUP BY ALL
   UNION ALL SELECT 'user_activity_frequency', qos, '', sum(n) FROM (SELECT qos, usr, count(DISTINCT smonth) AS n FROM d GROUP BY ALL) GROUP BY ALL)
-SELECT chart, x, series, round(value, 4) AS value FROM charts"""
+SELECT chart, x, series, CASE WHEN chart LIKE '%trends' OR chart IN ('waiting_times_over_time', 'job_duration_over_time')
+  THEN round(value, 9) ELSE round(value, 4) END AS value FROM charts"""
 
 
-@query("r07_dashboard", _CHART_SQL)
+@query("r07_dashboard", _CHART_SQL, digits=9)
 def r07(c: Context):
     charts = P.dashboard(c.jobs, "month", "QOS", start="1996-01-01", end="1999-12-31", partitions=["cpu"])
     lines = _lines(charts, {
@@ -238,7 +239,8 @@ def r07(c: Context):
         "cpus_per_job": ("units", None, "jobs"), "nodes_per_job": ("units", None, "jobs"),
         "jobs_by_dimension": ("label", None, "value"), "cpu_hours_by_dimension": ("label", None, "value"),
         "jobs_distribution": ("label", None, "value"), "user_activity_frequency": ("label", None, "value")})
-    return coarse(lines, "value")
+    fine = F.col("chart").endswith("trends") | F.col("chart").isin("waiting_times_over_time", "job_duration_over_time")
+    return lines.withColumn("value", F.when(fine, F.col("value")).otherwise(F.round("value", 4)))
 
 
 @query("r08_available_periods", """

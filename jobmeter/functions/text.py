@@ -79,30 +79,32 @@ def parse_tres(tres: Column | str) -> Column:
 
     Any key containing cpu, gpu or mem counts, tested in that order; the last such entry wins.
     """
-    entries = _tres_entries(as_column(tres))
     is_cpu = lambda k: k.contains("cpu")
     is_gpu = lambda k: k.contains("gpu") & ~k.contains("cpu")
     is_mem = lambda k: k.contains("mem") & ~k.contains("cpu") & ~k.contains("gpu")
 
     def whole(text: Column) -> Column:
-        return F.coalesce(F.trim(text).try_cast("int"), F.lit(0))
+        return F.coalesce(text.try_cast("int"), F.lit(0))
 
-    return F.struct(
-        whole(_last_value(entries, is_cpu)).alias("cpus"),
-        whole(_last_value(entries, is_gpu)).alias("gpus"),
-        F.floor(memory_gb(_last_value(entries, is_mem)) * 1024).cast("long").alias("mem_mb"),
-        whole(_last_value(entries, lambda k: k == "node")).alias("nodes"))
+    def fields(entries: Column) -> Column:
+        return F.struct(
+            whole(_last_value(entries, is_cpu)).alias("cpus"),
+            whole(_last_value(entries, is_gpu)).alias("gpus"),
+            F.floor(memory_gb(_last_value(entries, is_mem)) * 1024).cast("long").alias("mem_mb"),
+            whole(_last_value(entries, lambda k: k == "node")).alias("nodes"))
+
+    # The entries are bound to a lambda variable, so that the text is split once and not once per field.
+    entries = _tres_entries(F.coalesce(as_column(tres), F.lit("")))
+    return F.transform(F.array(entries), fields)[0]
 
 
 def memory_gb(text: Column | str, strict: bool = False) -> Column:
     """Memory text with unit M or G as GB. Other units are 0, or an error when ``strict``."""
     text = F.upper(F.trim(as_column(text)))
-    number = F.regexp_extract(text, r"^(\d+(?:\.\d+)?)[MG]$", 1).try_cast("double")
+    number = F.substr(text, F.lit(1), F.length(text) - 1).try_cast("double")
     other = F.raise_error(F.concat(F.lit("unsupported memory unit in "), text)).cast("double") if strict else F.lit(0.0)
-    return (F.when(text.isNull(), 0.0)
-            .when(text.endswith("G") & number.isNotNull(), number)
-            .when(text.endswith("M") & number.isNotNull(), number / 1024)
-            .otherwise(other))
+    gb = F.when(text.endswith("G"), number).when(text.endswith("M"), number / 1024)
+    return F.when(text.isNull(), 0.0).otherwise(F.coalesce(gb, other))
 
 
 # Labels --------------------------------------------------------------------------------------------

@@ -63,15 +63,21 @@ def timeline(df: DataFrame, value: str | None, grain: str, agg: str, base: str =
     return dense_grid(long) if dense else long
 
 
-def dense_grid(long: DataFrame, period: str = "period", group: str = "series", value: str = "value") -> DataFrame:
-    """Every group at every period, absent points as 0.
+def dense_grid(long: DataFrame) -> DataFrame:
+    """Every series at every period, absent points as 0, from rows (period, series, value).
 
-    The periods (at most the days of the calendar) come in as one array; the groups stay distributed.
+    The list of periods comes in as one array and each series adds the points it lacks: both are at most as long as the
+    calendar. There is no join.
     """
-    periods = long.agg(F.sort_array(F.collect_set(period)).alias("all")).scalar()
-    grid = long.select(group).distinct().select(group, F.explode(periods).alias(period))
-    zero = F.lit(0).cast(long.schema[value].dataType)
-    return grid.join(long, [group, period], "left").select(period, group, F.coalesce(value, zero).alias(value))
+    # The maximum is not used. It keeps the value column in this aggregate, so that it reads the same shuffle as the points.
+    calendar = long.agg(F.collect_set("period").alias("periods"), F.max("value").alias("unused"))
+    periods = calendar.select(F.struct("periods", "unused")).scalar()["periods"]
+    zero = F.lit(0).cast(long.schema["value"].dataType)
+    points = long.groupBy("series").agg(F.collect_list(F.struct("period", F.coalesce("value", zero).alias("value"))).alias("known"))
+    points = points.withColumn("periods", periods)
+    absent = F.transform(F.array_except("periods", F.col("known.period")),
+                         lambda p: F.struct(p.alias("period"), zero.alias("value")))
+    return points.select("series", F.inline(F.concat("known", absent))).select("period", "series", "value")
 
 
 def cpu_usage_over_time(df, grain="month", color_by=None, **options):
