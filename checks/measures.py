@@ -435,9 +435,8 @@ def u03(c: Context):
 @query("u04_explode_lists", """
 SELECT trim(unnest(string_split(part, ','))) AS "partition", count(*) AS jobs FROM jobs GROUP BY 1""")
 def u04(c: Context):
-    from jobmeter.functions.text import partition_list
-    return c.jobs.select(F.explode(partition_list("Partition")).alias("partition")).groupBy("partition") \
-        .agg(F.count("*").alias("jobs"))
+    jobs = D.explode_partitions(c.jobs)
+    return jobs.groupBy(F.col("Partition").alias("partition")).agg(F.count("*").alias("jobs"))
 
 
 @query("r09_metadata", """

@@ -50,3 +50,8 @@ def distinct_nodes(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def union_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("node").union(b.select("node")).distinct()
+
+
+def explode_partitions(df: DataFrame) -> DataFrame:
+    """One row per job and listed partition, for charts that should not treat 'a,b' as a group of its own."""
+    return df.withColumn("Partition", F.explode(partition_list("Partition")))

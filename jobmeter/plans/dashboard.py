@@ -22,8 +22,8 @@ CHART_COLUMNS = [
 
 
 def dashboard(jobs: DataFrame, grain: str = "month", color_by: str | None = None, persist: bool = False,
-              **filters) -> dict[str, DataFrame]:
-    """One lazy table per chart over the same filtered jobs.
+              charts: Sequence[str] | None = None, **filters) -> dict[str, DataFrame]:
+    """One lazy table per chart over the same filtered jobs; ``charts`` names those wanted.
 
     ``persist`` keeps the filtered columns on the executors, which pays when many charts are computed; the caller
     releases them through ``result['jobs'].unpersist()``.
@@ -31,49 +31,48 @@ def dashboard(jobs: DataFrame, grain: str = "month", color_by: str | None = None
     df = filter_jobs(jobs, **filters).select(*CHART_COLUMNS)
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    charts = {
-        "jobs": df,
-        "summary": M.summary(df),
-        "cpu_usage_over_time": M.cpu_usage_over_time(df, grain, color_by),
-        "gpu_usage_over_time": M.gpu_usage_over_time(df, grain, color_by),
-        "active_users_over_time": M.active_users_over_time(df, grain, color_by),
-        "jobs_over_time": M.jobs_over_time(df, grain, color_by),
-        "waiting_times_over_time": M.waiting_times_over_time(df, grain),
-        "job_duration_over_time": M.job_duration_over_time(df, grain),
-        "jobs_by_partition": M.jobs_by(df, "Partition"),
-        "jobs_by_state": M.jobs_by(df, "State", None),
-        "waiting_times_hist": H.value_histogram(df, "WaitingTimeHours"),
-        "job_duration_hist": H.value_histogram(df, "ElapsedHours", positive=True),
-        "job_duration_stacked": H.job_duration_stacked(df, grain),
-        "waiting_times_stacked": H.waiting_times_stacked(df, grain),
-        "waiting_times_trends": H.trends(df, "WaitingTimeHours", grain),
-        "job_duration_trends": H.trends(df, "ElapsedHours", grain, positive=True),
-        "cpus_per_job": M.resources_per_job(df, "CPUs", positive=False),
-        "gpus_per_job": M.resources_per_job(df, "GPUs"),
-        "nodes_per_job": M.resources_per_job(df, "Nodes"),
-        "node_usage": node_usage(df, color_by),
+    build = {
+        "summary": lambda: M.summary(df),
+        "cpu_usage_over_time": lambda: M.cpu_usage_over_time(df, grain, color_by),
+        "gpu_usage_over_time": lambda: M.gpu_usage_over_time(df, grain, color_by),
+        "active_users_over_time": lambda: M.active_users_over_time(df, grain, color_by),
+        "jobs_over_time": lambda: M.jobs_over_time(df, grain, color_by),
+        "waiting_times_over_time": lambda: M.waiting_times_over_time(df, grain),
+        "job_duration_over_time": lambda: M.job_duration_over_time(df, grain),
+        "jobs_by_partition": lambda: M.jobs_by(df, "Partition"),
+        "jobs_by_state": lambda: M.jobs_by(df, "State", None),
+        "waiting_times_hist": lambda: H.value_histogram(df, "WaitingTimeHours"),
+        "job_duration_hist": lambda: H.value_histogram(df, "ElapsedHours", positive=True),
+        "job_duration_stacked": lambda: H.job_duration_stacked(df, grain),
+        "waiting_times_stacked": lambda: H.waiting_times_stacked(df, grain),
+        "waiting_times_trends": lambda: H.trends(df, "WaitingTimeHours", grain),
+        "job_duration_trends": lambda: H.trends(df, "ElapsedHours", grain, positive=True),
+        "cpus_per_job": lambda: M.resources_per_job(df, "CPUs", positive=False),
+        "gpus_per_job": lambda: M.resources_per_job(df, "GPUs"),
+        "nodes_per_job": lambda: M.resources_per_job(df, "Nodes"),
+        "node_usage": lambda: node_usage(df, color_by),
     }
     if color_by:
-        charts |= {
-            "jobs_by_dimension": M.by_dimension(df, color_by),
-            "cpu_hours_by_dimension": M.by_dimension(df, color_by, "CPUHours"),
-            "gpu_hours_by_dimension": M.by_dimension(df, color_by, "GPUHours"),
-            "jobs_distribution": M.jobs_distribution(df, color_by),
+        build |= {
+            "jobs_by_dimension": lambda: M.by_dimension(df, color_by),
+            "cpu_hours_by_dimension": lambda: M.by_dimension(df, color_by, "CPUHours"),
+            "gpu_hours_by_dimension": lambda: M.by_dimension(df, color_by, "GPUHours"),
+            "jobs_distribution": lambda: M.jobs_distribution(df, color_by),
         }
     else:
-        charts |= {
-            "jobs_per_user": H.jobs_per_user_histogram(df),
-            "cpu_hours_per_period": H.usage_histogram(df, "CPUHours", grain),
-            "gpu_hours_per_period": H.usage_histogram(df, "GPUHours", grain),
-            "jobs_distribution": H.jobs_histogram(df, grain),
+        build |= {
+            "jobs_per_user": lambda: H.jobs_per_user_histogram(df),
+            "cpu_hours_per_period": lambda: H.usage_histogram(df, "CPUHours", grain),
+            "gpu_hours_per_period": lambda: H.usage_histogram(df, "GPUHours", grain),
+            "jobs_distribution": lambda: H.jobs_histogram(df, grain),
         }
     users = {"Account": M.users_per_account, "User": lambda d: M.periods_per_user(d, grain)}.get(
         color_by, lambda d: H.active_users_histogram(d, grain))
-    charts["active_users_distribution"] = users(df)
+    build["active_users_distribution"] = lambda: users(df)
     grouped = color_by in ("User", "Account", "Partition", "QOS")
-    charts["user_activity_frequency"] = (
+    build["user_activity_frequency"] = lambda: (
         M.activity_by_group(df, color_by, grain) if grouped else H.activity_histogram(df, grain))
-    return charts
+    return {"jobs": df} | {name: make() for name, make in build.items() if charts is None or name in charts}
 
 
 def metadata(jobs: DataFrame, start=None, end=None) -> DataFrame:

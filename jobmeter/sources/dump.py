@@ -41,16 +41,15 @@ def drop_malformed(df: DataFrame) -> DataFrame:
     return df.where(is_present("User") & is_present("Partition"))
 
 
-def fill_from_steps(df: DataFrame) -> DataFrame:
-    """Fill blank step metrics of a job line from the first of the job's own steps that has them."""
+def fill_from_steps(lines: DataFrame) -> DataFrame:
+    """Job lines, with blank step metrics filled from the first of the job's own steps that has them."""
     order = F.struct(*LINE_ORDER)
-    steps = df.where(F.col("JobID").contains(".")).withColumn("_job", F.substring_index("JobID", ".", 1))
-    firsts = steps.groupBy("_file", "_job").agg(*[
+    steps = lines.where(F.col("JobID").contains(".")).withColumn("_job", F.substring_index("JobID", ".", 1))
+    firsts = steps.groupBy(F.col("_file").alias("_step_file"), "_job").agg(*[
         F.min_by(m, F.when(F.col(m).isNotNull(), order)).alias(f"_step_{m}") for m in STEP_METRICS])
-    firsts = firsts.withColumnsRenamed({"_file": "_step_file"})
-    joined = df.join(firsts, (F.col("JobID") == F.col("_job")) & (F.col("_file") == F.col("_step_file")), "left")
-    return joined.withColumns(
-        {m: F.coalesce(m, f"_step_{m}") for m in STEP_METRICS}).select(*df.columns)
+    joined = drop_steps(lines).join(
+        firsts, (F.col("JobID") == F.col("_job")) & (F.col("_file") == F.col("_step_file")), "left")
+    return joined.withColumns({m: F.coalesce(m, f"_step_{m}") for m in STEP_METRICS}).select(*lines.columns)
 
 
 def normalize_dump(df: DataFrame, fill: str | None = "steps", start=None, end=None) -> DataFrame:

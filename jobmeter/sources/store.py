@@ -130,7 +130,11 @@ def diff_loads(old: DataFrame, new: DataFrame, keys=("cluster", "JobID")) -> Dat
 
 
 def missing_weeks(jobs: DataFrame, start, end) -> DataFrame:
-    """Mondays of the weeks between two days for which no job is stored, week 53 included."""
+    """Mondays of the weeks from ``start`` to ``end`` for which no job is stored, week 53 included.
+
+    Each bound is a day or an ISO (year, week).
+    """
+    start, end = [dt.date.fromisocalendar(*b, 1) if isinstance(b, tuple) else b for b in (start, end)]
     spark = jobs.sparkSession
     day = lambda d: F.date_trunc("week", F.lit(str(d)).cast("date")).cast("date")
     weeks = spark.range(1).select(F.explode(F.sequence(day(start), day(end), F.expr("interval 7 days"))).alias("week"))

@@ -18,9 +18,11 @@ def record_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str | None = None,
-                 once: bool = False) -> StreamingQuery:
+                 audit: str | None = None, once: bool = False) -> StreamingQuery:
     """Merge each micro-batch into the store; the last record of a job wins.
 
+    ``audit`` is a folder that gets one row per batch and cluster: (cluster, ingest_ts, n_jobs).
+
     Records without their own ``ingest_seq`` get the batch number. A repeated batch merges the same rows again, which
     leaves the store as it is.
     """
@@ -28,8 +30,13 @@ def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str |
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch if has_order else batch.withColumn("ingest_seq", F.lit(batch_id).cast("long"))
-        if not rows.isEmpty():
-            upsert_jobs(normalize_records(rows, cluster), store)
+        if rows.isEmpty():
+            return
+        jobs = normalize_records(rows, cluster)
+        upsert_jobs(jobs, store)
+        if audit:
+            sizes = jobs.groupBy("cluster").agg(F.current_timestamp().alias("ingest_ts"), F.count(F.lit(1)).alias("n_jobs"))
+            sizes.write.mode("overwrite").parquet(f"{audit}/batch={batch_id}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if once else writer).start()

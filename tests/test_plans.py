@@ -92,8 +92,9 @@ def test_dashboard(jobs, color_by):
 
 
 def test_persisted_dashboard_gives_the_same(jobs):
-    kept = P.dashboard(jobs, persist=True, users=["Customer#000000001", "Customer#000000002"])
-    plain = P.dashboard(jobs, users=["Customer#000000001", "Customer#000000002"])
+    some = dict(charts=["summary", "jobs_by_state"], users=["Customer#000000001", "Customer#000000002"])
+    kept, plain = P.dashboard(jobs, persist=True, **some), P.dashboard(jobs, **some)
+    assert set(kept) == {"jobs", "summary", "jobs_by_state"}
     assert rows(kept["summary"]) == rows(plain["summary"])
     kept["jobs"].unpersist()
 

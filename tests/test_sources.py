@@ -257,6 +257,7 @@ def test_diff_and_weeks(spark):
     jobs = spark.createDataFrame([(ts("2020-12-24"),), (ts("2021-01-05"),)], "Submit timestamp")
     got = rows(O.missing_weeks(jobs, "2020-12-21", "2021-01-17").orderBy("week"), "iso_year", "iso_week")
     assert got == [(2020, 53), (2021, 2)]
+    assert rows(O.missing_weeks(jobs, (2020, 52), (2021, 2)).orderBy("week"), "iso_year", "iso_week") == got
     assert O.recent_weeks(jobs, "2021-01-20").count() == 2  # of the four weeks from 21 December, two have jobs
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from jobmeter.sources.records import normalize_records
-from jobmeter.sources.store import read_store
+from jobmeter.sources.store import read_store, submission_stats
 from jobmeter.streaming import ingest as I
 from jobmeter.streaming import live as V
 from jobmeter.streaming import queue as G
@@ -69,7 +69,9 @@ def test_ingest_stream(spark, tmp_path):
     for load in loads:
         load.coalesce(1).write.mode("append").parquet(source)
         stream = I.record_stream(spark, source, load.schema, max_files=1)
-        I.start_ingest(stream, store, str(tmp_path / "cp"), "m", once=True).awaitTermination()
+        I.start_ingest(stream, store, str(tmp_path / "cp"), "m", str(tmp_path / "audit"), once=True).awaitTermination()
+    stats = submission_stats(spark.read.parquet(str(tmp_path / "audit"))).first()
+    assert (stats.cluster, stats.total_jobs) == ("m", 4)
     assert sorted(rows(read_store(spark, store), "JobID", "State")) == [("1", "TIMEOUT"), ("2", "COMPLETED"), ("3", "COMPLETED")]
 
 
