@@ -201,16 +201,10 @@ def a13(c: Context):
     return M.job_duration_over_time(c.jobs, "month", "QOS")
 
 
-def _ranked(df, *order):
-    from pyspark.sql import Window
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-
-
 @query("a14_series_order_users", """
-SELECT account AS series, count(DISTINCT usr) AS score,
-  CAST(row_number() OVER (ORDER BY count(DISTINCT usr) DESC, account) AS INT) AS place FROM jobs GROUP BY account""")
+SELECT account AS series, count(DISTINCT usr) AS score FROM jobs GROUP BY account""")
 def a14(c: Context):
-    return _ranked(M.series_order(c.jobs, "User", "nunique", "Account"), F.desc("score"), "series")
+    return M.series_order(c.jobs, "User", "nunique", "Account")
 
 
 @query("a14_series_order_mean", """
@@ -380,12 +374,9 @@ def l04(c: Context):
     return coarse(L.top_by_sum(_account_totals(c), ["cpu", "gpu"], 12).drop("value"), "cpu", "gpu")
 
 
-@query("l06_order_by_metric", """
-SELECT account AS label, count(*) AS value, CAST(row_number() OVER (ORDER BY count(*) DESC, account) AS INT) AS place
-FROM jobs GROUP BY account""")
+@query("l06_order_by_metric", "SELECT account AS label, count(*) AS value FROM jobs GROUP BY account")
 def l06(c: Context):
-    ordered = L.by_metric(_account_totals(c).select("label", "value"), "value", "label")
-    return _ranked(ordered, F.desc("value"), "label")
+    return L.by_metric(_account_totals(c).select("label", "value"), "value", "label")
 
 
 @query("w04_share", """

@@ -67,6 +67,7 @@ def stats_of_counts(counted: DataFrame, probs: Mapping[str, float], by: Sequence
     buckets = counted.groupBy(*by, "_b").agg(
         F.sum("_n").alias("_bn"), F.sum(F.col("_v") * F.col("_n")).alias("_bs"),
         F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
+    # One group has at most some 100,000 buckets however many values it has, so these windows stay small.
     whole = Window.partitionBy(*by)
     running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = buckets.select(

@@ -137,6 +137,17 @@ def test_active_periods_and_activity(jobs, pdf):
     assert per_user["hot"] == counts["hot"] and sum(per_user.values()) == counts.sum()
 
 
+def test_orders(jobs, pdf):
+    got = [tuple(r) for r in M.series_order(jobs, "User", "nunique", "State").collect()]
+    assert got == sorted(got, key=lambda r: (-r[1], r[0])) and dict(got) == pdf.groupby("State").User.nunique().to_dict()
+    totals_ = M.jobs_by(jobs, "Account", None)
+    by = [r.value for r in L.by_metric(totals_, "value", "label").collect()]
+    assert by == sorted(by, reverse=True)
+    days = [r.period for r in L.chronological(M.jobs_over_time(jobs, "day")).collect()]
+    assert days == sorted(days)
+    assert [r.jobs for r in M.category_order(jobs, "State").collect()] == [250] * 4
+
+
 def test_resources_per_job(jobs, pdf):
     got = dict(rows(M.resources_per_job(jobs, "GPUs")))
     assert got == pdf.GPUs[pdf.GPUs > 0].value_counts().to_dict()
