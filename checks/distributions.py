@@ -8,7 +8,6 @@ from jobmeter.functions import bins as B
 from jobmeter.functions.time import data_range_hours, range_hours
 from jobmeter.operators import histograms as H
 from jobmeter.operators import lookups as K
-from jobmeter.operators import measures as M
 from jobmeter.operators import nodes as N
 from jobmeter.operators.topn import order_nodes
 from jobmeter.sources.dims import generate_dims, load_dims
@@ -152,10 +151,6 @@ SELECT bin, round(lower, {digits}) AS lower, round(upper, {digits}) AS upper, ro
   (SELECT round(avg(v), {digits}) FROM t) AS mean, (SELECT round(quantile_cont(v, 0.5), {digits}) FROM t) AS median FROM e"""
 
 
-def _coarse_bins(df):
-    return coarse(df, "lower", "upper", "center", "mean", "median")
-
-
 @query("h07_cpu_hours_per_month_hist",
        _equal_sql("SELECT sum(cpu_h) AS v FROM jobs WHERE tmonth IS NOT NULL GROUP BY tmonth", "20", digits=3))
 def h07(c: Context):
@@ -346,8 +341,8 @@ def j03(c: Context):
 
 
 def _legacy(c: Context):
-    """Entries and '*' patterns made from the region table's keys, so that they are tables and not literals."""
-    one = c.table("region").where("r_regionkey = 0")
+    """The older node config: exact entries and '*' patterns."""
+    one = c.spark.range(1)
     entries = one.select(F.inline(F.array(
         F.struct(F.lit("gpu01").alias("node"), F.lit(64).alias("cpus"), F.lit(4).alias("gpus")),
         F.struct(F.lit("cpu7").alias("node"), F.lit(None).cast("int").alias("cpus"), F.lit(None).cast("int").alias("gpus")))))

@@ -9,7 +9,7 @@ from jobmeter.functions import text as X
 from jobmeter.functions import time as Z
 from jobmeter.operators.cleaning import fill_forward, keep_last
 from jobmeter.operators.metadata import with_nodes
-from jobmeter.schema import DUMP_FIELDS, JOBS
+from jobmeter.schema import DUMP_FIELDS
 from jobmeter.sources import dump as U
 from jobmeter.sources import history as Y
 from jobmeter.sources import records as S

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import histograms as H
 from ..operators import measures as M

@@ -100,7 +100,7 @@ def test_account_prefix(spark):
 
 def test_array_ids_and_labels(spark):
     assert [tuple(r) for r in apply(spark, X.array_job, ["123_7", "9"])] == [("123", "7"), ("9", "")]
-    assert apply(spark, X.account_short_name, ["ewi-insy-prb", "plain"]) == ["PRB", "plain"]
+    assert apply(spark, X.account_short_name, ["phys-opt-lab", "plain"]) == ["LAB", "plain"]
     assert apply(spark, X.partition_title, ["gpu", "bigMEM"]) == ["Gpu Partition", "Bigmem Partition"]
     assert apply(spark, X.partition_list, ["a, b", "a,,b ", None]) == [["a", "b"], ["a", "b"], None]
 

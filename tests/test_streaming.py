@@ -1,9 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from conftest import rows
-from jobmeter.sources.records import normalize_records
 from jobmeter.sources.store import read_store, submission_stats
 from jobmeter.streaming import ingest as I
 from jobmeter.streaming import live as V
