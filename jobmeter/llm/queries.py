@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmeter.llm import decontamination, packing
+from jobmeter.llm import decontamination, packing, quality, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,37 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_QUALITY_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (SELECT doc_id, p, words[p:p + 4] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS p FROM split)),
+twice AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM windows JOIN twice USING (doc_id, w), range(5) AS r(k) GROUP BY doc_id),
+measures AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop_words
+  FROM split LEFT JOIN covered USING (doc_id)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measures)
+SELECT *, NOT base_failed AND n_words <= 100000
+    AND 100 * word_chars BETWEEN 200 * n_words AND 1200 * n_words AND 100 * n_symbols <= 10 * n_words
+    AND 100 * n_stop_words >= 5 * n_words AND 100 * n_dup_lines <= 50 * n_lines AS kept FROM base"""
+
+
+@_query("op3_quality_rules", _QUALITY_SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
