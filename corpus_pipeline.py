@@ -5,10 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmeter.llm import decontamination, packing
+from jobmeter.llm import decontamination, linededup, packing, toxicity
 from jobmeter.llm.common import cut
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a lexicon learned from ``labels`` doesn't call toxic."""
+    return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines kept in the first document that has them; documents left without words go."""
+    return linededup.dedup_lines(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is taken from the benchmark."""
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -20,6 +30,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", remove_toxic),
+    ("line_dedup", dedup_lines),
     ("benchmark_decontamination", decontaminate),
     ("best_fit_packing", pack),
 ]
