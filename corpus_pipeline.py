@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmeter.llm import decontamination, linededup, packing, toxicity
+from jobmeter.llm import decontamination, jaccard, linededup, packing, toxicity
 from jobmeter.llm.common import cut
 
 
@@ -19,6 +19,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set that is linked by sharing four fifths of the word 5-grams."""
+    return jaccard.keep_one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is taken from the benchmark."""
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -32,6 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", remove_toxic),
     ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", drop_near_copies),
     ("benchmark_decontamination", decontaminate),
     ("best_fit_packing", pack),
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,4 +65,117 @@ class Cache(dict):
 
 def text_bytes(name: str = "text"):
     """A text column as UTF-8 bytes, nulls as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary").alias(name)
+
+
+def shared_slots(rows: DataFrame, key: str, owner: str, bits: int) -> np.ndarray:
+    """A table of ``2 ** bits`` bits, as 64-bit words: set where two or more owners have keys in the slot.
+
+    Slots are the low bits of the keys (longs). The table is of fixed size, so it may be sent to every task; with more keys than
+    slots it tells less, but never misses a shared key.
+    """
+    slot = F.col(key).bitwiseAND((1 << bits) - 1)
+    seen = rows.groupBy(slot.alias("slot")).agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a != b")
+    return slot_table(seen, bits)
+
+
+def slot_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """The table with the bits of column ``slot`` set."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))
+    words = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("mask"))
+    found = words.toArrow()  # 2 ** (bits - 6) rows at most
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return table
+
+
+def in_slots(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` (64-bit) have their slot set."""
+    slot = keys.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return ((table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def only_slots(rows: DataFrame, key: str, table: np.ndarray) -> DataFrame:
+    """The rows whose key (a long without nulls) has its slot set."""
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_slots(batch.column(at).to_numpy(zero_copy_only=False), table)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def map_groups(rows: DataFrame, key: str, handle: Callable[[int, list[list]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Output rows of ``handle(key, columns)`` for each value of the long column ``key``; groups must be of bounded size."""
+    out = StructType.fromDDL(schema)
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, made = to_arrow_schema(out), []
+        held: list[list] = []
+        current = None
+
+        def flush(rows_made: list) -> pa.RecordBatch:
+            by_column = zip(*rows_made) if rows_made else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(by_column, arrow)], schema=arrow)
+
+        for batch in batches:
+            keys = batch.column(at).to_numpy(zero_copy_only=False)
+            columns = [c.to_pylist() for c in batch.columns]
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if held and current == columns[at][a]:
+                    for old, new in zip(held, columns):
+                        old.extend(new[a:b])
+                    continue
+                if held:
+                    made.extend(handle(current, held))
+                current, held = columns[at][a], [c[a:b] for c in columns]
+            if len(made) > 20_000:
+                yield flush(made)
+                made = []
+        if held:
+            made.extend(handle(current, held))
+        yield flush(made)
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, out)
+
+
+def in_blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
+    """``rows`` so that no key has more than about ``2 * most`` of them, and any two rows of a key still share a key.
+
+    The rows of a crowded key are dealt into blocks of about ``most``, and every two blocks get a key of their own.
+    """
+    crowded = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    crowded = crowded.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
+    joined = rows.join(crowded, F.col(key) == F.col("_key"), "left")
+    own = F.pmod(F.xxhash64(member), F.col("_blocks"))
+    others = F.when(F.col("_blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = joined.select(*[F.col(c) for c in rows.columns], own.alias("_own"), F.explode(others).alias("_other"))
+    pair = F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return dealt.select(*[F.when(F.col("_other").isNull(), F.col(key)).otherwise(pair).alias(key) if c == key else F.col(c) for c in rows.columns])
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """``node, label`` for all nodes of ``edges`` (``a, b``, longs): the label is the smallest node that can be reached.
+
+    Large-star and small-star steps in turn: each node points to the smallest neighbour until all point to the label.
+    """
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    state = None
+    for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(small.where("a != b").distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
+        if tuple(now) == state:
+            break
+        state = tuple(now)
+    # Each node that is no label has one edge, to its label.
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

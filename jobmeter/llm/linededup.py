@@ -19,12 +19,10 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmeter.llm.common import cut
+from jobmeter.llm.common import cut, map_groups, only_slots, shared_slots
 
 MIN_TOKENS = 8
 DEPTH = 3
@@ -62,31 +60,6 @@ def _node(tokens: Column, first: int, depth: int, above: Column | None = None) -
     return F.xxhash64(F.size(tokens) if above is None else above, *[F.get(tokens, F.lit(first + k)) for k in range(depth)])
 
 
-def shared_nodes(lines: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """A bit for each slot of node hashes that two or more documents reach, as 64-bit words; of fixed size."""
-    slot = F.col("node").bitwiseAND((1 << bits) - 1)
-    seen = lines.groupBy(slot.alias("slot")).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b")
-    words = seen.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("mask"))
-    found = words.toArrow()  # 2 ** (bits - 6) rows at most
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return table
-
-
-def _only(lines: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-    """The lines whose node is set in ``table``."""
-    at = lines.columns.index("node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)
-            keep = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(keep.astype(bool)))
-
-    return lines.mapInArrow(run, lines.schema)
-
-
 class Node:
     """The templates of one tree node, told by the first line of each."""
 
@@ -124,30 +97,15 @@ class Node:
 
 
 def _grow(similar: int):
-    """Templates of lines that arrive sorted by node."""
-    names = [f.strip().split(" ")[0] for f in _CLUSTERS.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, tree, rows = None, Node(similar), []
-
-        def out():
-            kinds = [pa.int64()] * 5 + [pa.string()]
-            columns = zip(*rows) if rows else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+    """Templates of the lines of a node, which are taken in the order of their documents."""
 
-        for batch in batches:
-            for node, line_hash, line, first, last in zip(*[c.to_pylist() for c in batch.columns]):
-                if node != current:
-                    rows.extend(tree.rows(current))
-                    current, tree = node, Node(similar)
-                tree.add(line_hash, line, first, last)
-            if len(rows) > 10_000:
-                yield out()
-                rows = []
-        rows.extend(tree.rows(current))
-        yield out()
+    def handle(node, columns):
+        tree = Node(similar)
+        for first_doc, line_hash, line, last_doc in sorted(zip(*columns[1:])):
+            tree.add(line_hash, line, first_doc, last_doc)
+        return tree.rows(node)
 
-    return run
+    return handle
 
 
 def templates(lines: DataFrame, similar: int = SIMILAR, depth: int = DEPTH, node_lines: int = NODE_LINES) -> DataFrame:
@@ -158,15 +116,14 @@ def templates(lines: DataFrame, similar: int = SIMILAR, depth: int = DEPTH, node
     crowded = distinct.groupBy("node").count().where(F.col("count") > node_lines).select("node", F.lit(True).alias("crowded"))
     deeper = _node(F.split("line", " "), depth, depth, F.col("node"))
     placed = distinct.join(crowded, "node", "left").withColumn("node", F.when(F.col("crowded"), deeper).otherwise(F.col("node")))
-    placed = placed.select("node", "line_hash", "line", "first_doc", "last_doc").repartition("node")
-    return placed.sortWithinPartitions("node", "first_doc", "line_hash").mapInArrow(_grow(similar), _CLUSTERS)
+    return map_groups(placed.select("node", "first_doc", "line_hash", "line", "last_doc"), "node", _grow(similar), _CLUSTERS)
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, similar: int = SIMILAR, depth: int = DEPTH,
                     bits: int = TABLE_BITS, node_lines: int = NODE_LINES) -> DataFrame:
     """``doc, drop``: for each document that loses lines, the hashes of those."""
     lines = _lines(docs.select("doc_id", "text"), min_tokens, depth)
-    shared = cut(_only(lines, shared_nodes(lines.select("doc", "node"), bits), bits), "shared-lines")
+    shared = cut(only_slots(lines, "node", shared_slots(lines.select("doc", "node"), "node", "doc", bits)), "shared-lines")
     found = templates(shared, similar, depth, node_lines).where("first_doc != last_doc").select("line_hash", "first_doc")
     places = shared.select("doc", F.xxhash64("line").alias("line_hash"))
     dropped = places.join(found, "line_hash").where(F.col("doc") != F.col("first_doc"))

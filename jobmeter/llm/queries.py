@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmeter.llm import decontamination, linededup, packing, quality, toxicity
+from jobmeter.llm import decontamination, jaccard, linededup, packing, quality, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents"))
 
 
+@_query("op4_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 @_query("op6_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
