@@ -37,9 +37,16 @@ _LOWEST = -(2**63)
 _CLUSTERS = "node long, line_hash long, template_id long, first_doc long, last_doc long, template string"
 
 
+def squeezed(line: Column) -> Column:
+    """A line without outer blanks, its tokens one blank apart."""
+    bare = F.btrim(line, F.lit(_SPACE))
+    odd = bare.contains("  ") | bare.contains("\t") | bare.contains("\r")
+    return F.when(odd, F.regexp_replace(bare, "[ \\t\\r]+", " ")).otherwise(bare)
+
+
 def masked(line: Column) -> Column:
-    """A line without outer blanks, its tokens with digits as ``<*>``."""
-    bare = F.regexp_replace(F.btrim(line, F.lit(_SPACE)), "[ \\t\\r]+", " ")
+    """A squeezed line, its tokens with digits as ``<*>``."""
+    bare = squeezed(line)
     return F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(bare)
 
 
@@ -47,17 +54,16 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(masked(line))
 
 
-def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """``doc, node, tokens`` of the lines that go into the tree."""
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
-    # A line needs a blank between tokens, so most short lines go before they are looked at closely.
-    rows = rows.where(F.length("line") > 2 * (min_tokens - 1)).select("doc", masked(F.col("line")).alias("line"))
-    rows = rows.select("doc", "line", F.split("line", " ").alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return rows.select("doc", "line", _node(F.col("tokens"), 0, depth).alias("node"))
+def _n_tokens(line: Column) -> Column:
+    """Tokens of a squeezed line, without splitting it."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _node(tokens: Column, first: int, depth: int, above: Column | None = None) -> Column:
-    return F.xxhash64(F.size(tokens) if above is None else above, *[F.get(tokens, F.lit(first + k)) for k in range(depth)])
+def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
+    """``doc, line, node`` of the lines that go into the tree."""
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    rows = rows.where(_n_tokens(squeezed(F.col("line"))) >= min_tokens).select("doc", masked(F.col("line")).alias("line"))
+    return rows.select("doc", "line", F.xxhash64(_n_tokens(F.col("line")), F.substring_index("line", " ", depth)).alias("node"))
 
 
 class Node:
@@ -114,7 +120,7 @@ def templates(lines: DataFrame, similar: int = SIMILAR, depth: int = DEPTH, node
         F.min("line").alias("line"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
     distinct = cut(distinct, "lines")
     crowded = distinct.groupBy("node").count().where(F.col("count") > node_lines).select("node", F.lit(True).alias("crowded"))
-    deeper = _node(F.split("line", " "), depth, depth, F.col("node"))
+    deeper = F.xxhash64("node", F.substring_index("line", " ", 2 * depth))
     placed = distinct.join(crowded, "node", "left").withColumn("node", F.when(F.col("crowded"), deeper).otherwise(F.col("node")))
     return map_groups(placed.select("node", "first_doc", "line_hash", "line", "last_doc"), "node", _grow(similar), _CLUSTERS)
 
