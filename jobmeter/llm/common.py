@@ -15,6 +15,8 @@ from jobmeter.session import file_system, scratch_path
 
 #: Entries that a cache of words in a Python worker may hold before it starts anew.
 CACHE_ENTRIES = 300_000
+#: Bytes of the Arrow batches that Python workers get at most; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -30,6 +32,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``, so that a worker's memory doesn't follow the rows' size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple]]], schema: str) -> DataFrame:
     """Rows of ``df`` turned into rows of ``schema``, one bounded Arrow batch at a time.
 
@@ -44,7 +52,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple]]
             columns = zip(*rows) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return map_batches(df, run, out)
 
 
 class Cache(dict):
@@ -69,14 +77,13 @@ def text_bytes(name: str = "text"):
 
 
 def shared_slots(rows: DataFrame, key: str, owner: str, bits: int) -> np.ndarray:
-    """A table of ``2 ** bits`` bits, as 64-bit words: set where two or more owners have keys in the slot.
+    """A table of ``2 ** bits`` bits, as 64-bit words: set in the slots of keys (longs) that two or more owners have.
 
-    Slots are the low bits of the keys (longs). The table is of fixed size, so it may be sent to every task; with more keys than
-    slots it tells less, but never misses a shared key.
+    Slots are the low bits of the keys. The table is of fixed size, so it may be sent to every task; with very many shared keys it
+    tells less, but never misses one.
     """
-    slot = F.col(key).bitwiseAND((1 << bits) - 1)
-    seen = rows.groupBy(slot.alias("slot")).agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a != b")
-    return slot_table(seen, bits)
+    seen = rows.groupBy(key).agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a != b")
+    return slot_table(seen.select(F.col(key).bitwiseAND((1 << bits) - 1).alias("slot")), bits)
 
 
 def slot_table(slots: DataFrame, bits: int) -> np.ndarray:
@@ -103,7 +110,7 @@ def only_slots(rows: DataFrame, key: str, table: np.ndarray) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_slots(batch.column(at).to_numpy(zero_copy_only=False), table)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_batches(rows, run, rows.schema)
 
 
 def map_groups(rows: DataFrame, key: str, handle: Callable[[int, list[list]], Iterable[tuple]], schema: str) -> DataFrame:
@@ -141,7 +148,7 @@ def map_groups(rows: DataFrame, key: str, handle: Callable[[int, list[list]], It
             made.extend(handle(current, held))
         yield flush(made)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, out)
+    return map_batches(rows.repartition(key).sortWithinPartitions(key), run, out)
 
 
 def in_blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
@@ -150,7 +157,8 @@ def in_blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
     The rows of a crowded key are dealt into blocks of about ``most``, and every two blocks get a key of their own.
     """
     crowded = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    crowded = crowded.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
+    # Written, so that its size is known: it is broadcast where it is small, and then ``rows`` need no shuffle for it.
+    crowded = cut(crowded.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / most).cast("int").alias("_blocks")), "crowded")
     joined = rows.join(crowded, F.col(key) == F.col("_key"), "left")
     own = F.pmod(F.xxhash64(member), F.col("_blocks"))
     others = F.when(F.col("_blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))

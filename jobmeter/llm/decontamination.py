@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from jobmeter.llm.common import map_batches
+
 WINDOW = 13
 #: UTF-8 bytes of benchmark text handled in one pass.
 BLOCK_BYTES = 8 << 20
@@ -204,7 +206,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         return run
 
     for block in benchmark_blocks(benchmark, window, block_bytes):
-        docs = docs.mapInArrow(search(block), schema)
+        docs = map_batches(docs, search(block), schema)
     return docs
 
 

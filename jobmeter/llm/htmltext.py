@@ -38,6 +38,9 @@ _ENDS = {
     "body": (_set("head"), frozenset()),
 }
 _ENDS_PARAGRAPH = _BLOCK - _set("html body tr td th thead tbody tfoot option optgroup caption")
+#: What an end tag of a block doesn't reach beyond; those of other elements end at any block.
+_CELLS = _set("table td th")
+_WHOLE = dict.fromkeys(_set("table div ul ol"), frozenset()) | dict.fromkeys(_set("tr thead tbody tfoot td th"), _set("table"))
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
@@ -110,8 +113,7 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.open[-1].children.append(Element("br", {}))
         elif self.open_tags.get(tag):
-            inside = frozenset() if tag in ("table", "div", "ul", "ol", "tr", "thead", "tbody", "tfoot") else _set("table td th")
-            self._end_nearest(frozenset((tag,)), inside - {tag})
+            self._end_nearest(frozenset((tag,)), _BLOCK if tag not in _BLOCK else _WHOLE.get(tag, _CELLS))
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
@@ -262,9 +264,11 @@ def _render(start: Element, out: Writer, depth: int = 0) -> None:
             if element is not start:
                 preformatted -= element.tag == "pre"
                 _leave(element, out)
+        elif element.tag == "details" and "open" not in element.attrs and getattr(child, "tag", "") != "summary":
+            continue
         elif isinstance(child, str):
             (out.verbatim if preformatted else out.text)(child)
-        elif not child.seen() or (element.tag == "details" and "open" not in element.attrs and child.tag != "summary"):
+        elif not child.seen():
             continue
         elif child.tag == "br":
             out.line()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmeter.llm.common import Cache, components, cut, in_blocks, in_slots, map_groups, map_rows, only_slots, shared_slots, slot_table, text_bytes
+from jobmeter.llm.common import Cache, components, cut, in_blocks, in_slots, map_batches, map_groups, map_rows, only_slots, shared_slots, slot_table, text_bytes
 
 #: Words are counted in so many slots (a power of two).
 COUNT_BITS = 19
@@ -99,7 +99,7 @@ def word_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["slot", "n"])
 
-    found = docs.select(text_bytes()).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = map_batches(docs.select(text_bytes()), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << bits, np.int64)
     table[found.column("slot").to_numpy()] = found.column("n").to_numpy()  # 2 ** bits rows at most
     return np.minimum(table, (1 << 20) - 1)
@@ -300,7 +300,7 @@ def _keys(classes: DataFrame) -> DataFrame:
             own = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(own, pa.int64())], ["key", "class"])
 
-    return classes.select("class", "keys").mapInArrow(run, "key long, class long")
+    return map_batches(classes.select("class", "keys"), run, "key long, class long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from jobmeter.llm.common import map_rows
+from jobmeter.llm.common import map_batches, map_rows
 
 #: Labelled documents that learning reads at most.
 SAMPLE = 10_000
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(measure(t)) for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, _SCORE])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
