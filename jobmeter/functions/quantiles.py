@@ -1,8 +1,8 @@
 """Exact percentiles that never hold a whole group in one task.
 
 Values are counted first. A monotone bucket of each value gives a short cumulative table per group
-that tells in which bucket each wanted rank lies; only the values of those buckets are then ranked.
-When all files read are known to be small, the counted values go to the built-in percentile instead.
+that tells in which bucket each wanted rank lies. Those buckets are cut into slices the same way, and
+only the values of the slices that hold a rank are put in order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 512  # a bucket spans 0.14 % of its value: about 2 minutes at one day
 SMALLEST = 4096  # values below 1/4096 share few buckets
+SLICES = 4096  # of a bucket, equally wide
 
 
 def _bucket(value: Column) -> Column:
@@ -23,28 +24,12 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -step).otherwise(step)
 
 
-def _is_small(df: DataFrame) -> bool:
-    """Whether the tables that ``df`` reads have together at most ``spark.jobmeter.smallInput`` bytes (16 MB).
-
-    A table of unknown size counts as large.
-    """
-    limit = int(df.sparkSession.conf.get("spark.jobmeter.smallInput", str(16 << 20)))
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(sizes) <= limit
-
-
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """How often each value occurs: (by, _v, _n). Null values and null group keys are left out.
-
-    On small input each row stays and counts once, which saves a shuffle.
-    """
+    """How often each value occurs: (by, _v, _n). Null values and null group keys are left out."""
     v = F.col(value).cast("double")
     clean = df.where(v.isNotNull() & ~F.isnan(v))
     for key in by:
         clean = clean.where(F.col(key).isNotNull())
-    if _is_small(df):
-        return clean.select(*by, v.alias("_v"), F.lit(1).cast("long").alias("_n"))
     # The join on the bucket adds this test to its side; with it on both sides the counts are made only once.
     clean = clean.where(_bucket(v).isNotNull())
     return clean.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -61,8 +46,6 @@ def exact_stats(df: DataFrame, value: str, probs: Mapping[str, float], by: Seque
 def stats_of_counts(counted: DataFrame, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """``exact_stats`` from a table made by ``value_counts``."""
     by = list(by)
-    if _is_small(counted):
-        return _small_stats(counted, probs, by)
     counted = counted.withColumn("_b", _bucket(F.col("_v")))
     buckets = counted.groupBy(*by, "_b").agg(
         F.sum("_n").alias("_bn"), F.sum(F.col("_v") * F.col("_n")).alias("_bs"),
@@ -71,7 +54,7 @@ def stats_of_counts(counted: DataFrame, probs: Mapping[str, float], by: Sequence
     whole = Window.partitionBy(*by)
     running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = buckets.select(
-        *by, "_b", "_bn",
+        *by, "_b", "_bn", "_bmin", "_bmax",
         (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
         F.sum("_bn").over(whole).alias("count"),
         (F.sum("_bs").over(whole) / F.sum("_bn").over(whole)).alias("mean"),
@@ -87,9 +70,19 @@ def stats_of_counts(counted: DataFrame, probs: Mapping[str, float], by: Sequence
         wanted = wanted | holds(F.floor(pos), "_before", "_bn") | holds(F.ceil(pos), "_before", "_bn")
     marks = marks.where(wanted)
 
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.join(marks, by + ["_b"]).withColumn(
-        "_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
+    width = F.greatest(F.col("_bmax") - F.col("_bmin"), F.lit(1e-300))
+    sliced = counted.join(marks, by + ["_b"]).withColumn("_s", F.floor((F.col("_v") - F.col("_bmin")) / width * SLICES))
+    slices = sliced.groupBy(*by, "_b", "_s").agg(F.sum("_n").alias("_sn"), F.first("_before").alias("_before"), F.first("count").alias("count"))
+    running = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = slices.withColumn("_start", F.col("_before") + F.sum("_sn").over(running) - F.col("_sn"))
+    wanted = F.lit(False)
+    for pos in position.values():
+        wanted = wanted | holds(F.floor(pos), "_start", "_sn") | holds(F.ceil(pos), "_start", "_sn")
+    slices = slices.where(wanted).select(*by, "_b", "_s", "_start")
+
+    inside = Window.partitionBy(*by, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = sliced.join(slices, by + ["_b", "_s"]).withColumn(
+        "_first", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
     aggs = [F.max(c).alias(c) for c in ("count", "mean", "min", "max")]
     for i, pos in enumerate(position.values()):
         aggs.append(F.max(F.when(holds(F.floor(pos), "_first", "_n"), F.col("_v"))).alias(f"_lo{i}"))
@@ -100,13 +93,3 @@ def stats_of_counts(counted: DataFrame, probs: Mapping[str, float], by: Sequence
     between = {p: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos))
                for i, (p, pos) in enumerate(position.items())}
     return found.select(*by, "count", "mean", "min", "max", *[between[p].alias(name) for name, p in probs.items()])
-
-
-def _small_stats(counted: DataFrame, probs: Mapping[str, float], by: list[str]) -> DataFrame:
-    n = F.sum("_n")
-    wanted = sorted(set(probs.values()))
-    found = counted.groupBy(*by).agg(
-        n.alias("count"), (F.sum(F.col("_v") * F.col("_n")) / n).alias("mean"), F.min("_v").alias("min"),
-        F.max("_v").alias("max"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in wanted]), F.col("_n")).alias("_p"))
-    return found.where(F.col("count").isNotNull()).select(
-        *by, "count", "mean", "min", "max", *[F.col("_p")[wanted.index(p)].alias(name) for name, p in probs.items()])

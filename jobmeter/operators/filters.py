@@ -6,6 +6,7 @@ import datetime as dt
 import logging
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +48,15 @@ def in_partitions(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
 
 
 def complete_only(df: DataFrame, grain: str, as_of: dt.date | str | None = None) -> DataFrame:
-    """Drop jobs of the month, week or year that holds ``as_of`` and later ones; the day grain keeps all."""
+    """Drop jobs of the month, week or year that holds ``as_of`` and later ones; the day grain keeps all.
+
+    The bound is a plain one on Submit, so that it reaches the scan, and on its year and month where those are columns.
+    """
     if grain == "day":
         return df
-    today = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
-    return df.where(period_start("Submit", grain) < period_start(today, grain))
+    today = dt.date.today() if as_of is None else dt.date.fromisoformat(str(as_of))
+    first = {"week": today - dt.timedelta(days=today.weekday()), "month": today.replace(day=1), "year": today.replace(month=1, day=1)}[grain]
+    return submit_between(df, end=first - dt.timedelta(days=1))
 
 
 def complete_periods(df: DataFrame, grain: str, as_of: dt.date | str | None = None) -> DataFrame:
@@ -70,7 +75,7 @@ def format_accounts(df: DataFrame, formatter: int | Callable[[Column], Column] |
     try:
         value = formatter(F.col("Account")) if callable(formatter) else account_prefix("Account", formatter)
         return df.withColumn("Account", value)
-    except Exception as error:
+    except (AnalysisException, ArithmeticError, LookupError, TypeError, ValueError) as error:
         log.warning("account formatter failed, names kept: %s", error)
         return df
 

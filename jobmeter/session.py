@@ -29,19 +29,23 @@ def build_session(app: str = "jobmeter", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}  # by application, the folder of a local session that names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a machine-local folder, made once per session.
+    Only a local master, whose executors are the driver itself, may go without; it gets one folder for the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir is not set; name a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="jobmeter-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="jobmeter-")
+    return _OWN[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

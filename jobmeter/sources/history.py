@@ -68,7 +68,8 @@ def schema_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
 def _with_cluster(df: DataFrame) -> DataFrame:
     folder = "|".join(DATA_FOLDERS)
     name = F.regexp_extract(F.col("_metadata.file_path"), f"/([^/]+)/(?:{folder})/[^/]+$", 1)
-    return df.select("*", name.alias("cluster"))
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return df.select("*", name.alias("cluster"), place.alias("_place"))
 
 
 def scan_history(spark: SparkSession, root: str, clusters: list[str] | None = None) -> DataFrame:
@@ -96,15 +97,19 @@ def merge_old_names(df: DataFrame) -> DataFrame:
 
 
 def normalize_history(df: DataFrame) -> DataFrame:
-    """One file dialect as canonical jobs. Files without JobID get one made from the row's values."""
+    """One file dialect as canonical jobs.
+
+    Rows without JobID get one made from all their values and, where ``_place`` tells it, their place in the files, so that equal
+    tasks of an array stay apart.
+    """
+    if "JobID" not in df.columns:
+        df = df.withColumn("_made", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
     df = with_resource_names(merge_old_names(df))
     df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("Submit", "Start", "End") if c in df.columns})
     if "End" not in df.columns:
         df = df.withColumn("End", F.lit(None).cast("timestamp"))
     if "JobID" not in df.columns:
-        key = [c for c in ("cluster", "User", "Account", "Partition", "QOS", "State", "Submit", "Start", "End",
-                           "CPUs", "GPUs", "CPUHours") if c in df.columns]
-        df = df.withColumn("JobID", F.concat(F.lit("h"), F.hex(F.xxhash64(*key))))
+        df = df.withColumn("JobID", F.concat(F.lit("h"), F.hex(F.col("_made"))))
     if "NodeList" in df.columns:
         df = with_node_array(df)
     return conform(with_job_periods(with_hours(df)))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import keep_last
+from ..operators.filters import submit_between
 from ..schema import JOBS
 from ..session import file_system, staged
 
 STORE_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 ROW_KEYS = ["cluster", "SubmitYear", "JobID"]
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of a null
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -22,8 +24,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def drop_partitions(spark: SparkSession, path: str, partitions) -> None:
     """Delete the folders of the given (cluster, year, month) partitions."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for cluster, year, month in partitions:
-        fs, folder = file_system(spark, f"{path}/cluster={escape(cluster)}/SubmitYear={year}/SubmitMonth={month}")
+    for values in partitions:
+        named = "/".join(f"{k}={_NO_VALUE if v is None else escape(str(v))}" for k, v in zip(STORE_KEYS, values))
+        fs, folder = file_system(spark, f"{path}/{named}")
         fs.delete(folder, True)
 
 
@@ -44,28 +47,39 @@ def _partitions(df: DataFrame) -> set[tuple]:
 
 def _within(partitions: set[tuple], depth: int) -> Column:
     """Predicate on the first ``depth`` partition columns, which prunes folders at planning time."""
-    key = F.concat_ws("/", *[F.col(k).cast("string") for k in STORE_KEYS[:depth]])
-    return key.isin(sorted({"/".join(str(v) for v in p[:depth]) for p in partitions}))
+    key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit(_NO_VALUE)) for k in STORE_KEYS[:depth]])
+    return key.isin(sorted({"/".join(_NO_VALUE if v is None else str(v) for v in p[:depth]) for p in partitions}))
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Equal row keys; nulls are equal to each other."""
+    condition = F.lit(True)
+    for k in ROW_KEYS:
+        condition = condition & left[k].eqNullSafe(right[k])
+    return condition
 
 
 def upsert_jobs(new: DataFrame, path: str) -> DataFrame:
-    """Merge canonical jobs into the store; the last record of a job within its cluster and year stays.
+    """Merge canonical jobs into the store; a job's record in the batch replaces those stored for its cluster and year.
 
-    Months that hold neither a new job nor an older record of one are not touched. The merged rows go to the shared
+    A stored record stays only where both name their order and its ``ingest_seq`` is higher: a late load of older records. Within
+    the batch the highest ``ingest_seq`` counts. Stored rows are not sorted or grouped again. Months that hold neither a new job nor an older record of one are not touched. The merged rows go to the shared
     folder first, because a partition cannot be overwritten by a plan that reads it. Returns the months rewritten.
     """
     spark = new.sparkSession
-    with staged(new.select(*JOBS.fieldNames()), "batch") as batch:
+    with staged(keep_last(new.select(*JOBS.fieldNames()), ROW_KEYS), "batch") as batch:
         touched = _partitions(batch)
         merged = batch
         fs, folder = file_system(spark, path)
         if touched and fs.exists(folder):
             store = read_store(spark, path)
             # A narrow scan of the years finds the months in which earlier records of the new jobs lie.
-            earlier = store.where(_within(touched, 2)).select("JobID", *STORE_KEYS)
-            touched |= _partitions(earlier.join(batch.select(*ROW_KEYS).distinct(), ROW_KEYS, "left_semi"))
-            merged = store.where(_within(touched, 3)).unionByName(batch)
-        with staged(keep_last(merged, ROW_KEYS), "merged") as result:
+            earlier = store.where(_within(touched, 2)).select("JobID", "ingest_seq", *STORE_KEYS)
+            touched |= _partitions(earlier.join(batch, _same(earlier, batch), "left_semi"))
+            earlier, stored = earlier.where(_within(touched, 3)), store.where(_within(touched, 3))
+            newer = batch.join(earlier, _same(batch, earlier) & (earlier["ingest_seq"] > batch["ingest_seq"]), "left_anti")
+            merged = stored.join(newer, _same(stored, newer), "left_anti").unionByName(newer)
+        with staged(merged, "merged") as result:
             write_store(result, path)
             drop_partitions(spark, path, touched - _partitions(result))
     return read_store(spark, path).where(_within(touched, 3))
@@ -84,10 +98,10 @@ def file_years(jobs: DataFrame, file: str = "_file") -> DataFrame:
 
 
 def write_weekly(jobs: DataFrame, path: str) -> None:
-    """One partition per ISO year and week of Submit."""
+    """One partition per ISO year and week of Submit; each week is gathered into files of the advisory size."""
     ts = F.col("Submit")
     weekly = jobs.withColumns({"iso_year": F.extract(F.lit("YEAROFWEEK"), ts).cast("int"), "iso_week": F.weekofyear(ts)})
-    weekly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    weekly.hint("rebalance", F.col("iso_year"), F.col("iso_week")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("iso_year", "iso_week").parquet(path)
 
 
@@ -97,7 +111,8 @@ def retention_cutoff(keep_months: int, as_of: dt.date | str) -> Column:
 
 def retention_plan(jobs: DataFrame, keep_months: int, as_of) -> DataFrame:
     """What a clean-up would drop: rows and CPU-hours by cluster and submit week."""
-    old = jobs.where(F.col("Submit") < retention_cutoff(keep_months, as_of))
+    last = dt.date.fromisoformat(str(as_of)) - dt.timedelta(days=keep_months * 30 + 1)
+    old = submit_between(jobs, end=last)
     return old.groupBy("cluster", "SubmitYear", "SubmitWeek").agg(
         F.count(F.lit(1)).alias("jobs"), F.sum("CPUHours").alias("cpu_hours"))
 
@@ -138,6 +153,9 @@ def missing_weeks(jobs: DataFrame, start, end) -> DataFrame:
     spark = jobs.sparkSession
     day = lambda d: F.date_trunc("week", F.lit(str(d)).cast("date")).cast("date")
     weeks = spark.range(1).select(F.explode(F.sequence(day(start), day(end), F.expr("interval 7 days"))).alias("week"))
+    monday = lambda d: d - dt.timedelta(days=d.weekday())
+    first, last = [monday(dt.date.fromisoformat(str(b))) for b in (start, end)]
+    jobs = submit_between(jobs, first, last + dt.timedelta(days=6))
     stored = jobs.select(F.date_trunc("week", "Submit").cast("date").alias("week")).distinct()
     return weeks.join(stored, "week", "left_anti").select(
         "week", F.extract(F.lit("YEAROFWEEK"), F.col("week")).cast("int").alias("iso_year"),

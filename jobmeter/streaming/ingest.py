@@ -19,17 +19,14 @@ def record_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str | None = None,
                  audit: str | None = None, once: bool = False) -> StreamingQuery:
-    """Merge each micro-batch into the store; the last record of a job wins.
+    """Merge each micro-batch into the store; its records replace stored ones of the same jobs.
 
     ``audit`` is a folder that gets one row per batch and cluster: (cluster, ingest_ts, n_jobs).
 
-    Records without their own ``ingest_seq`` get the batch number. A repeated batch merges the same rows again, which
-    leaves the store as it is.
+    Arrival decides, so a new checkpoint, whose batches count from 0 again, does no harm; only records that bring their own
+    ``ingest_seq`` give way to stored ones with a higher one. A repeated batch leaves the store as it is.
     """
-    has_order = "ingest_seq" in stream.columns
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if has_order else batch.withColumn("ingest_seq", F.lit(batch_id).cast("long"))
+    def merge(rows: DataFrame, batch_id: int) -> None:
         if rows.isEmpty():
             return
         jobs = normalize_records(rows, cluster)

@@ -10,22 +10,13 @@ from jobmeter.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("OFF")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
 
-@pytest.fixture(params=["small", "large"])
-def both_paths(request, spark):
-    """Run a test once with small-input shortcuts and once without."""
-    spark.conf.set("spark.jobmeter.smallInput", str(1 << 60) if request.param == "small" else "-1")
-    yield request.param
-    spark.conf.unset("spark.jobmeter.smallInput")
-
-
 def rows(df, *columns):
     df = df.select(*columns) if columns else df
     return [tuple(r) for r in df.collect()]

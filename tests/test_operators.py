@@ -153,7 +153,7 @@ def test_resources_per_job(jobs, pdf):
     assert got == pdf.GPUs[pdf.GPUs > 0].value_counts().to_dict()
 
 
-def test_describe(jobs, pdf, both_paths):
+def test_describe(jobs, pdf):
     got = {r.period: r for r in M.describe_by_period(jobs, "WaitingTimeHours", "week").collect()}
     want = pdf.groupby("SubmitWeek").WaitingTimeHours.describe()
     for period, w in want.iterrows():
@@ -193,7 +193,7 @@ def test_share_and_order(spark):
 # Histograms and percentiles ------------------------------------------------------------------------
 
 
-def test_exact_stats_against_numpy(spark, both_paths):
+def test_exact_stats_against_numpy(spark):
     rng = np.random.default_rng(7)
     hot = np.concatenate([np.zeros(3000), rng.lognormal(2, 3, 2000), -rng.exponential(5, 500), [1e-9, 1e12, -1e12]])
     groups = {"hot": hot, "ties": rng.integers(0, 3, 501).astype(float), "one": np.array([4.25]), "two": np.array([1.0, 2.0])}
@@ -209,7 +209,7 @@ def test_exact_stats_against_numpy(spark, both_paths):
     assert [whole[q] for q in probs] == pytest.approx(list(np.quantile(groups["ties"], list(probs.values()))))
 
 
-def test_trends(jobs, pdf, both_paths):
+def test_trends(jobs, pdf):
     got = {r.period: r for r in H.trends(jobs, "ElapsedHours", "week", positive=True).collect()}
     for period, g in pdf[pdf.ElapsedHours > 0].groupby("StartWeek").ElapsedHours:
         r = got[period]
@@ -224,7 +224,7 @@ def test_trend_by_group_is_dense(jobs, stat):
     assert got.count() == periods * 4 and got.where("value is null").count() == 0
 
 
-def test_value_histogram(jobs, pdf, both_paths):
+def test_value_histogram(jobs, pdf):
     got = H.value_histogram(jobs, "WaitingTimeHours").orderBy("bin").collect()
     waits = pdf.WaitingTimeHours.dropna()
     counts, _ = np.histogram(waits, bins=[0, 1, 4, 12, 24, 72, 168, np.inf])

@@ -221,6 +221,44 @@ def test_old_records_do_not_replace_newer_ones(spark, tmp_path):
     assert [r[2] for r in stored(spark, path)] == ["TIMEOUT"]
 
 
+def test_the_batch_wins_whatever_its_values(spark, tmp_path):
+    """Neither the order of states by name nor a higher number of an earlier load matters where no order is given."""
+    path = str(tmp_path / "store")
+    O.upsert_jobs(batch(spark, record("1", "2024-01-05", "RUNNING", None), record("2", "2024-01-05", "FAILED", 7)), path)
+    O.upsert_jobs(batch(spark, record("1", "2024-01-05", "COMPLETED", None), record("2", "2024-01-05", "COMPLETED", None)), path)
+    assert [r[2] for r in stored(spark, path)] == ["COMPLETED", "COMPLETED"]
+
+
+def test_jobs_without_submit_time_stay(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for name in ("1", "2", "2"):
+        O.upsert_jobs(batch(spark, record(name, "2024-01-05")).withColumns({c: F.lit(None).cast(k) for c, k in (
+            ("Submit", "timestamp"), ("SubmitDay", "date"), ("SubmitWeek", "date"), ("SubmitMonth", "date"), ("SubmitYear", "int"))}), path)
+    assert stored(spark, path) == [("m", "1", "COMPLETED", None), ("m", "2", "COMPLETED", None)]
+
+
+def test_equal_tasks_without_id_stay_apart(spark, tmp_path):
+    root, store = tmp_path / "history", str(tmp_path / "store")
+    task = spark.range(0, 5, 1, 2).select(
+        F.lit("2024-01-05 10:00:00").cast("timestamp").alias("Submit"), F.lit("2024-01-05 11:00:00").cast("timestamp").alias("Start"),
+        *[F.lit(v).alias(c) for c, v in {"User": "u", "Account": "a", "Partition": "cpu", "State": "COMPLETED", "CPUHours": 2.0, "GPUs": 0, "CPUs": 2}.items()])
+    task.write.parquet(str(root / "m" / "data"))
+    jobs = Y.scan_history(spark, str(root))
+    assert jobs.count() == 5 and jobs.select("JobID").distinct().count() == 5
+    O.compact(spark, jobs, store)
+    assert O.read_store(spark, store).count() == 5
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    from jobmeter.operators.filters import complete_only
+    path = str(tmp_path / "store")
+    O.upsert_jobs(batch(spark, record("1", "2023-11-05"), record("2", "2024-01-10")), path)
+    store = O.read_store(spark, path)
+    for df in (complete_only(store, "month", "2024-01-20"), O.retention_plan(store, 1, "2024-01-20"), O.missing_weeks(store, "2023-11-06", "2023-11-20")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "LessThan(Submit," in plan and "SubmitMonth" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_upsert_leaves_no_scratch(spark, tmp_path):
     from pathlib import Path
     from jobmeter.session import shared_dir
