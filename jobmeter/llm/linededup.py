@@ -143,12 +143,13 @@ def drop_recurring(docs: DataFrame, **options) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("_llm_drop", line_hash(x)))
     text = F.when(F.col("_llm_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], text.alias("_llm_kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_llm_lines"), "_llm_drop")
-    now = F.size(F.split("_llm_kept", "\n")).cast("long")
-    emptied = F.when(F.col("_llm_kept") == "", F.col("_llm_lines")).otherwise(F.col("_llm_lines") - now)
-    dropped = F.when(F.col("_llm_drop").isNull(), F.lit(0).cast("long")).otherwise(emptied)
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    n_kept = F.when(F.col("_llm_drop").isNull(), n_lines).otherwise(F.size(kept).cast("long"))
+    # Filters on these stay above the generator; pushed below, they would do the work once for each use.
+    made = F.inline(F.array(F.struct(text.alias("_llm_kept"), n_lines.alias("_llm_lines"), (n_lines - n_kept).alias("_llm_dropped"))))
+    made = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], made)
     order = [F.col("_llm_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*order, "_llm_lines", dropped.alias("_llm_dropped"))
+    return made.select(*order, "_llm_lines", "_llm_dropped")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:

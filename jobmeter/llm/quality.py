@@ -100,8 +100,7 @@ def measures(docs: DataFrame) -> DataFrame:
     n = F.size("words")
     hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
     cut = cut.select("*", F.when(n >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")).alias("hashes"))
-    return cut.select(
-        "doc_id",
+    found = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -110,6 +109,8 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*stop))).cast("long").alias("n_stop_words"),
     )
+    # Filters on measures stay above the generator; pushed into the projection, they would work it out once for each use.
+    return cut.select("doc_id", found.alias("found")).select("doc_id", F.inline(F.array("found")))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
