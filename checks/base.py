@@ -38,7 +38,7 @@ jobs AS (
 node_lists AS (
   SELECT * FROM (VALUES ('gpu[01-03,05]', 'gpu01'), ('gpu[01-03,05]', 'gpu02'), ('gpu[01-03,05]', 'gpu03'),
     ('gpu[01-03,05]', 'gpu05'), ('cpu7', 'cpu7'), ('cpu1,cpu2', 'cpu1'), ('cpu1,cpu2', 'cpu2'),
-    ('influ[1-2]', 'influ1'), ('influ[1-2]', 'influ2')) AS t(nodelist, node)),
+    ('ibex[1-2]', 'ibex1'), ('ibex[1-2]', 'ibex2')) AS t(nodelist, node)),
 job_nodes AS (SELECT jobs.*, node FROM jobs JOIN node_lists USING (nodelist))
 """
 

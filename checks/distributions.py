@@ -255,7 +255,7 @@ def l05(c: Context):
 def config_path(c: Context) -> str:
     """A cluster config made from the region, nation and node tables.
 
-    Nodes gpu01 to gpu05 have their own hardware and a synonym; cpu7 is left out; influ and cpu nodes have patterns.
+    Nodes gpu01 to gpu05 have their own hardware and a synonym; cpu7 is left out; ibex and cpu nodes have patterns.
     """
     region = c.table("region").select("r_regionkey", F.regexp_replace(F.lower("r_name"), " ", "_").alias("cluster"))
     nation = c.table("nation")
@@ -287,7 +287,7 @@ def config_path(c: Context) -> str:
         F.lit("cpu").alias("default_node_type"), F.lit(False).alias("case_sensitive"),
         F.lit(True).alias("auto_generate_labels"),
         F.create_map(F.lit("gpu"), default(40, 3), F.lit("cpu"), default(36, 0)).alias("hardware_defaults"),
-        F.array(pattern("influ", r"^INFLU\d+", 96, 8), pattern("any", r"^i", 1, 1), pattern("one", r"^cpu1$", 32, 0))
+        F.array(pattern("ibex", r"^IBEX\d+", 96, 8), pattern("any", r"^i", 1, 1), pattern("one", r"^cpu1$", 32, 0))
         .alias("node_type_patterns"))
     whole = clusters.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "c"))).alias("clusters")) \
         .withColumn("settings", settings)
@@ -297,8 +297,8 @@ def config_path(c: Context) -> str:
 
 
 _HARDWARE = """
-hw AS (SELECT * FROM (VALUES ('gpu01', 48, 4), ('gpu02', 48, 4), ('gpu03', 48, 4), ('gpu05', 48, 4), ('influ1', 96, 8),
-  ('influ2', 96, 8), ('cpu1', 32, 0), ('cpu2', 36, 0), ('cpu7', 36, 0)) AS h(node, cpu_cores, gpu_count))
+hw AS (SELECT * FROM (VALUES ('gpu01', 48, 4), ('gpu02', 48, 4), ('gpu03', 48, 4), ('gpu05', 48, 4), ('ibex1', 96, 8),
+  ('ibex2', 96, 8), ('cpu1', 32, 0), ('cpu2', 36, 0), ('cpu7', 36, 0)) AS h(node, cpu_cores, gpu_count))
 """
 
 
@@ -324,12 +324,11 @@ def j01(c: Context):
 def j02(c: Context):
     from jobmeter.operators.metadata import with_nodes
     dims = load_dims(c.spark, config_path(c))
-    synonyms = dims["synonym"].where("cluster = 'asia'")
     counts = with_nodes(c.jobs.groupBy("cluster", "NodeList").agg(F.count("*").alias("jobs")))
     # Names as they might arrive: in capitals, with '-' for '0', or in mixed case.
     odd = F.when(F.col("cluster") == "asia", F.upper("node")).when(
         F.col("cluster") == "europe", F.regexp_replace("node", "0", "-")).otherwise(F.initcap("node"))
-    renamed = N.canonical_node(counts.withColumn("node", F.when(F.col("node") != "cpu7", odd).otherwise("cpu7")), synonyms)
+    renamed = N.canonical_node(counts.withColumn("node", F.when(F.col("node") != "cpu7", odd).otherwise("cpu7")), dims["synonym"])
     return renamed.groupBy("cluster", "node").agg(F.sum("jobs").alias("jobs"))
 
 
@@ -353,8 +352,8 @@ def _legacy(c: Context):
 
 
 _LEGACY = """
-legacy AS (SELECT * FROM (VALUES ('gpu01', 64, 4), ('gpu02', 32, 8), ('gpu03', 32, 8), ('gpu05', 32, 8), ('influ1', 128, 0),
-  ('cpu1', 128, 0), ('cpu7', 1, 0), ('influ2', 16, 2), ('cpu2', 16, 2)) AS h(node, cpus, gpus))
+legacy AS (SELECT * FROM (VALUES ('gpu01', 64, 4), ('gpu02', 32, 8), ('gpu03', 32, 8), ('gpu05', 32, 8), ('ibex1', 128, 0),
+  ('cpu1', 128, 0), ('cpu7', 1, 0), ('ibex2', 16, 2), ('cpu2', 16, 2)) AS h(node, cpus, gpus))
 """
 
 
@@ -404,6 +403,47 @@ def a25(c: Context):
     return coarse(N.node_utilisation(N.node_usage(c.jobs), dims, total, "asia"), "hours")
 
 
+# Clusters that share names of nodes but not their hardware.
+_CLUSTER_HARDWARE = "," + _HARDWARE.replace("hw AS", "shared AS").strip() + """,
+hw AS (SELECT cluster, node, CASE WHEN node LIKE 'gpu%' THEN CAST(length(cluster) AS INT) ELSE cpu_cores END AS cpu_cores, gpu_count
+  FROM shared, (SELECT DISTINCT cluster FROM jobs) c),
+u AS (SELECT cluster, node, sum(cpu_h) AS cpu, sum(gpu_h) AS gpu FROM job_nodes GROUP BY ALL),
+usage AS (SELECT cluster, node, 'cpu' AS resource, cpu AS value FROM u UNION ALL SELECT cluster, node, 'gpu', gpu FROM u)
+"""
+
+
+def _dims_by_cluster(c: Context) -> dict:
+    dims = load_dims(c.spark, config_path(c))
+    own = F.when(F.col("cpu_cores").isNotNull(), F.length("cluster"))
+    return {**dims, "node": dims["node"].withColumn("cpu_cores", own)}
+
+
+@query("a24_node_usage_by_cluster", _CLUSTER_HARDWARE + "SELECT cluster, node, resource, round(value, 4) AS value FROM usage")
+def a24_cluster(c: Context):
+    return coarse(N.node_usage(c.jobs, by_cluster=True), "value")
+
+
+@query("a25_utilisation_by_cluster", _CLUSTER_HARDWARE + f"""
+SELECT cluster, node, resource, round(value, 4) AS hours, cpu_cores, gpu_count, round({_PERCENT}, 6) AS value
+FROM usage JOIN hw USING (cluster, node)""")
+def a25_cluster(c: Context):
+    total = c.jobs.agg(data_range_hours()).scalar()
+    return coarse(N.node_utilisation(N.node_usage(c.jobs, by_cluster=True), _dims_by_cluster(c), total), "hours")
+
+
+@query("a27_utilisation_of_each_cluster", _CLUSTER_HARDWARE + f"""
+SELECT cluster, resource, round(avg({_PERCENT}), 6) AS percent FROM usage JOIN hw USING (cluster, node) GROUP BY ALL""")
+def a27_cluster(c: Context):
+    total = c.jobs.agg(data_range_hours()).scalar()
+    return N.cluster_utilisation(N.node_utilisation(N.node_usage(c.jobs, by_cluster=True), _dims_by_cluster(c), total))
+
+
+@query("j06_unknown_nodes_by_cluster", "SELECT DISTINCT cluster, node FROM job_nodes WHERE node = 'cpu7' OR cluster = 'europe'")
+def j06_cluster(c: Context):
+    known = load_dims(c.spark, config_path(c))["synonym"].where("cluster <> 'europe'")
+    return N.unknown_nodes(c.jobs, known, by_cluster=True)
+
+
 @query("a26_usage_per_core", _PLAIN_USAGE + "," + _LEGACY + """
 SELECT node, resource, round(value / greatest(CASE resource WHEN 'cpu' THEN cpus ELSE gpus END, 1), 4) AS value
 FROM usage JOIN legacy USING (node)""")

@@ -27,7 +27,7 @@ SAMPLE_COLUMNS = {
     "GPUs": "cast(case when o_orderkey % 4 = 0 then 1 + o_orderkey % 3 else 0 end as int)",
     "Nodes": "cast(case o_orderkey % 5 when 0 then 4 when 1 then 1 when 2 then 2 when 3 then 0 else 2 end as int)",
     "NodeList": "case o_orderkey % 5 when 0 then 'gpu[01-03,05]' when 1 then 'cpu7' when 2 then 'cpu1,cpu2' "
-                "when 3 then 'None assigned' else 'influ[1-2]' end",
+                "when 3 then 'None assigned' else 'ibex[1-2]' end",
 }
 
 

@@ -300,7 +300,7 @@ def small_dims(spark):
         "synonym": make([("m", "gpu01", "gpu01"), ("m", "GPU1", "gpu01"), ("m", "login1", "login1")], "cluster string, name string, node string"),
         "node": make([("m", "gpu01", "gpu", "first", 48, 4), ("m", "login1", "login", "door", None, None)],
                      "cluster string, node string, type string, description string, cpu_cores int, gpu_count int"),
-        "pattern": make([(0, "a", r"^influ\d+", 96, 8), (1, "b", r"^inf", 1, 1)], "priority int, name string, pattern string, cpu_cores int, gpu_count int"),
+        "pattern": make([(0, "a", r"^ibex\d+", 96, 8), (1, "b", r"^inf", 1, 1)], "priority int, name string, pattern string, cpu_cores int, gpu_count int"),
         "type_default": make([("login", 8, 0)], "type string, cpu_cores int, gpu_count int"),
         "settings": make([("cpu", False, True)], "default_node_type string, case_sensitive boolean, auto_generate_labels boolean"),
         "account": make([("m", "a", "Alpha", "A")], "cluster string, Account string, display_name string, short_name string"),
@@ -310,9 +310,9 @@ def small_dims(spark):
 
 
 def test_hardware_lookup_order(spark):
-    names = spark.createDataFrame([("gpu01",), ("GPU1",), ("gpu1",), ("INFLU7",), ("info",), ("login1",), ("other",)], "node string")
+    names = spark.createDataFrame([("gpu01",), ("GPU1",), ("gpu1",), ("IBEX7",), ("info",), ("login1",), ("other",)], "node string")
     got = {r.node: (r.cpu_cores, r.gpu_count) for r in N.with_hardware(names, small_dims(spark), "m").collect()}
-    assert got == {"gpu01": (48, 4), "GPU1": (48, 4), "gpu1": (48, 4), "INFLU7": (96, 8), "info": (1, 1), "login1": (8, 0), "other": (64, 0)}
+    assert got == {"gpu01": (48, 4), "GPU1": (48, 4), "gpu1": (48, 4), "IBEX7": (96, 8), "info": (1, 1), "login1": (8, 0), "other": (64, 0)}
 
 
 def test_synonyms_and_unknown_nodes(spark):
