@@ -80,7 +80,7 @@ def s22(c: Context):
 @query("u01_union_by_name", "SELECT cluster, count(*) AS jobs, count(*) FILTER (WHERE cluster IN ('asia', 'europe')) AS with_id FROM jobs GROUP BY cluster")
 def u01(c: Context):
     some = F.col("cluster").isin("asia", "europe")
-    both = c.jobs.where(some).unionByName(c.jobs.where(~some).drop("JobID"), allowMissingColumns=True)
+    both = S.conform(c.jobs.where(some)).unionByName(S.conform(c.jobs.where(~some).drop("JobID")))
     return both.groupBy("cluster").agg(F.count("*").alias("jobs"), F.count("JobID").alias("with_id"))
 
 
@@ -369,6 +369,25 @@ def s07(c: Context):
     return S.read_records(c.spark, _json_records(c)).select("JobID", "User", "QOS", "CPUHours", "GPUHours", "AllocGPUS", "NodeList")
 
 
+def _odd_records(c: Context) -> str:
+    """Records of which some lines are cut off and some lack a required field."""
+    whole = c.jobs.select(F.to_json(F.struct(
+        F.when(c.key % 7 != 0, F.col("JobID")).alias("JobID"), "User", "Account", "Partition", "State",
+        F.when(c.key % 5 != 0, F.date_format("Submit", "yyyy-MM-dd'T'HH:mm:ss")).alias("Submit"))).alias("value"), c.key.alias("k"))
+    path = c.scratch("odd-records")
+    whole.select(F.when(F.col("k") % 11 == 0, F.left("value", F.lit(20))).otherwise(F.col("value")).alias("value")).write.text(path)
+    return path
+
+
+@query("s07_odd_records", """
+SELECT CASE WHEN k % 11 = 0 THEN 'broken line' WHEN k % 7 = 0 THEN 'no JobID' WHEN k % 5 = 0 THEN 'no Submit' ELSE 'taken' END AS reason,
+  count(*) AS records FROM jobs GROUP BY ALL""")
+def s07_odd(c: Context):
+    path = _odd_records(c)
+    taken = S.read_records(c.spark, path).select(F.lit("taken").alias("reason"), "JobID")
+    return taken.unionByName(S.rejected_records(c.spark, path).select("reason", "JobID")).groupBy("reason").agg(F.count("*").alias("records"))
+
+
 @query("s23_normalize_records", """
 SELECT 'main' AS cluster, jobid AS "JobID", submit AS "Submit", start_ AS "Start", cpus AS "CPUs", gpus AS "GPUs", nodes AS "Nodes",
   round(wait_h, 6) AS "WaitingTimeHours", round(el_h, 6) AS "ElapsedHours", round(gpu_h, 6) AS "GPUHours", sday AS "SubmitDay", sweek AS "SubmitWeek",

@@ -11,6 +11,7 @@ from ..functions.text import as_column
 from ..functions.time import hours_between, period_start, resource_hours
 from ..schema import JOBS, RECORD
 
+REQUIRED = ("JobID", "User", "Account", "Partition", "State", "Submit")
 RESOURCE_NAMES = {"AllocNodes": "Nodes", "AllocCPUS": "CPUs", "AllocGPUS": "GPUs"}
 
 
@@ -20,12 +21,30 @@ def parse_time(text: Column | str, strict: bool = True) -> Column:
     return text.cast("timestamp") if strict else text.try_cast("timestamp")
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Every line as a record, with ``_line`` where it is no JSON object, and ``reason`` where it can't be taken."""
+    schema = T.StructType([*RECORD.fields, T.StructField("_line", T.StringType())])
+    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(path)
+    reason = F.when(F.col("_line").isNotNull(), F.lit("broken line"))
+    for name in REQUIRED:
+        reason = reason.when(F.col(name).isNull(), F.lit(f"no {name}"))
+    return lines.withColumn("reason", reason)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded records, one JSON object per line; absent hours and counts become 0."""
-    return spark.read.schema(RECORD).json(path).fillna(
+    """Uploaded records, one JSON object per line; absent hours and counts become 0.
+
+    Broken lines and records without a required field are left out; ``rejected_records`` lists them.
+    """
+    return _parsed(spark, path).where(F.col("reason").isNull()).drop("_line", "reason").fillna(
         {"CPUHours": 0.0, "GPUHours": 0.0, "AllocCPUS": 0, "AllocGPUS": 0, "AllocNodes": 0})
 
 
+def rejected_records(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that ``read_records`` leaves out: what could be read of them, the text of broken lines (``_line``), and why."""
+    return _parsed(spark, path).where(F.col("reason").isNotNull())
+
+
 def with_resource_names(df: DataFrame) -> DataFrame:
     """Rename AllocNodes, AllocCPUS and AllocGPUS unless the short name is there already."""
     return df.withColumnsRenamed(
