@@ -80,7 +80,8 @@ def s22(c: Context):
 @query("u01_union_by_name", "SELECT cluster, count(*) AS jobs, count(*) FILTER (WHERE cluster IN ('asia', 'europe')) AS with_id FROM jobs GROUP BY cluster")
 def u01(c: Context):
     some = F.col("cluster").isin("asia", "europe")
-    both = S.conform(c.jobs.where(some)).unionByName(S.conform(c.jobs.where(~some).drop("JobID")))
+    jobs = S.with_node_array(c.jobs)
+    both = S.conform(jobs.where(some)).unionByName(S.conform(jobs.where(~some).drop("JobID")))
     return both.groupBy("cluster").agg(F.count("*").alias("jobs"), F.count("JobID").alias("with_id"))
 
 
