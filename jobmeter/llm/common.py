@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from jobmeter.session import file_system, scratch_path
 
 #: Entries that a cache of words in a Python worker may hold before it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Bytes of the Arrow batches that Python workers get at most; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmeter.llm.common import Cache, components, cut, in_blocks, in_slots, map_batches, map_groups, map_rows, only_slots, shared_slots, slot_table, text_bytes
+from jobmeter.llm.common import Cache, components, cut, in_blocks, in_slots, map_batches, map_groups, map_rows, shared_slots, slot_table, text_bytes
 
 #: Words are counted in so many slots (a power of two).
 COUNT_BITS = 19
@@ -308,13 +308,14 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     slot = F.xxhash64("rep").bitwiseAND((1 << TABLE_BITS) - 1)
     table = slot_table(wanted.select(slot.alias("slot")), TABLE_BITS)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    given = only_slots(given.select("doc_id", "text", F.xxhash64("doc_id").alias("slot")), "slot", table)
+    given = given.select("doc_id", "text", F.xxhash64("doc_id").alias("slot"))
 
     def make():
         shingler = Shingler(words)
 
         def step(columns):
-            for doc_id, text, _ in zip(*columns):
+            wanted = in_slots(np.array(columns[2], np.int64), table)
+            for doc_id, text in ((columns[0][k], columns[1][k]) for k in np.flatnonzero(wanted)):
                 shingles = np.unique(shingler.shingles(shingler.word_hashes(text)))
                 if len(shingles):
                     yield doc_id, xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63), text
