@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from jobmeter.llm.common import Cache, components, cut, in_blocks, in_slots, map_batches, map_groups, map_rows, shared_slots, slot_table, text_bytes
 
 #: Words are counted in so many slots (a power of two).
-COUNT_BITS = 19
+COUNT_BITS = 21
 #: Bits of the tables that leave out what only one document has: 8 MB.
 TABLE_BITS = 26
 #: Rows of a group, and texts of a connected set, that one task compares with each other.
@@ -102,7 +102,7 @@ def word_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
     found = map_batches(docs.select(text_bytes()), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << bits, np.int64)
     table[found.column("slot").to_numpy()] = found.column("n").to_numpy()  # 2 ** bits rows at most
-    return np.minimum(table, (1 << 20) - 1)
+    return np.minimum(table, (1 << 20) - 1).astype(np.int32)
 
 
 def sketches(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
