@@ -15,8 +15,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines kept in the first document that has them; documents left without words go."""
-    return linededup.dedup_lines(docs)
+    """Lines kept in the first document that has them; documents left without words go."""
+    return linededup.dedup_lines(docs, short_lines=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,13 +5,16 @@ digits count as variable; the node it reaches holds the templates of such lines.
 it shares at least ``SIMILAR`` percent of the tokens, place by place; places that differ become variable. A template
 that occurs in two or more documents is dropped from all of them but the one with the smallest id.
 
+With ``short_lines``, as the query and the pipeline have it, shorter lines are held against each other too, blank ones apart: they
+must be equal but for variable tokens, or equal if they have no others. Characters of scripts without blanks are tokens then.
+Without it shorter lines stay.
+
 Lines of a node that only one document reaches cannot recur. They are left out early by a bit table of fixed size, which may let
 through more than it must but never less. Nodes with many different lines are split by further leading tokens. Only hashes and
 lines of shared nodes are shuffled; equal lines are counted, not gathered.
 
 Defined cases: a null text stays null and an empty one empty; rows with the same id are one document and keep each other's lines;
-rows without id together are one document, before all others; of equal templates the smallest id keeps its line; shorter lines
-always stay; an empty table gives no rows; other columns pass through. A document that loses its last word goes.
+rows without id together are one document, before all others; of equal templates the smallest id keeps its line; an empty table gives no rows; other columns pass through. A document that loses its last word goes.
 """
 
 from __future__ import annotations
@@ -35,35 +38,72 @@ TABLE_BITS = 26
 _SPACE = " \t\r"
 _LOWEST = -(2**63)
 _CLUSTERS = "node long, line_hash long, template_id long, first_doc long, last_doc long, template string"
+#: Characters of scripts that set no blanks between words.
+_UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
 
-def squeezed(line: Column) -> Column:
-    """A line without outer blanks, its tokens one blank apart."""
-    bare = F.btrim(line, F.lit(_SPACE))
+def _tight(bare: Column) -> Column:
     odd = bare.contains("  ") | bare.contains("\t") | bare.contains("\r")
     return F.when(odd, F.regexp_replace(bare, "[ \\t\\r]+", " ")).otherwise(bare)
 
 
+def squeezed(line: Column) -> Column:
+    """A line without outer blanks, its tokens one blank apart."""
+    return _tight(F.btrim(line, F.lit(_SPACE)))
+
+
+def _parted(bare: Column) -> Column:
+    """A squeezed line in which the characters of unspaced scripts are tokens."""
+    odd = (F.octet_length(bare) != F.length(bare)) & bare.rlike(_UNSPACED)
+    return F.when(odd, squeezed(F.regexp_replace(bare, _UNSPACED, " $0 "))).otherwise(bare)
+
+
+def _variable(bare: Column) -> Column:
+    return F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(bare)
+
+
+def _told(bare: Column, line: Column, min_tokens: int) -> Column:
+    """A masked line, or the squeezed one where it is short and has variable tokens only."""
+    alike = line.startswith("<*>") & (_n_tokens(line) < min_tokens) & line.rlike("^<\\*>( <\\*>)*$")
+    return F.when(alike, bare).otherwise(line)
+
+
 def masked(line: Column) -> Column:
     """A squeezed line, its tokens with digits as ``<*>``."""
-    bare = squeezed(line)
-    return F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(bare)
+    return _variable(squeezed(line))
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(masked(line))
 
 
+def _hashed(lines: Column, min_tokens: int, short_lines: bool) -> Column:
+    """``line, hash`` of an array of lines; step by step, as nothing is worked out once only within one lambda."""
+    if not short_lines:
+        return F.transform(lines, lambda x: F.struct(x.alias("line"), line_hash(x).alias("hash")))
+    step = F.transform(lines, lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(_SPACE)).alias("bare")))
+    step = F.transform(step, lambda x: F.struct(x["line"].alias("line"), _tight(x["bare"]).alias("bare")))
+    step = F.transform(step, lambda x: F.struct(x["line"].alias("line"), _parted(x["bare"]).alias("bare")))
+    step = F.transform(step, lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), _variable(x["bare"]).alias("masked")))
+    return F.transform(step, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(_told(x["bare"], x["masked"], min_tokens)).alias("hash")))
+
+
 def _n_tokens(line: Column) -> Column:
     """Tokens of a squeezed line, without splitting it."""
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """``doc, line, node`` of the lines that go into the tree."""
+def _lines(docs: DataFrame, min_tokens: int, depth: int, short_lines: bool) -> DataFrame:
+    """``doc, line, node`` of the lines that go into the tree; a short line has a node of its own."""
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
-    rows = rows.where(_n_tokens(squeezed(F.col("line"))) >= min_tokens).select("doc", masked(F.col("line")).alias("line"))
-    return rows.select("doc", "line", F.xxhash64(_n_tokens(F.col("line")), F.substring_index("line", " ", depth)).alias("node"))
+    leading = F.xxhash64(_n_tokens(F.col("line")), F.substring_index("line", " ", depth))
+    if not short_lines:
+        rows = rows.where(_n_tokens(squeezed(F.col("line"))) >= min_tokens).select("doc", masked(F.col("line")).alias("line"))
+        return rows.select("doc", "line", leading.alias("node"))
+    rows = rows.select("doc", squeezed(F.col("line")).alias("bare")).where("bare != ''").select("doc", _parted(F.col("bare")).alias("bare"))
+    rows = rows.select("doc", "bare", _variable(F.col("bare")).alias("line")).select("doc", _told(F.col("bare"), F.col("line"), min_tokens).alias("line"))
+    short = _n_tokens(F.col("line")) < min_tokens
+    return rows.select("doc", "line", F.when(short, F.xxhash64("line")).otherwise(leading).alias("node"))
 
 
 class Node:
@@ -126,9 +166,9 @@ def templates(lines: DataFrame, similar: int = SIMILAR, depth: int = DEPTH, node
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, similar: int = SIMILAR, depth: int = DEPTH,
-                    bits: int = TABLE_BITS, node_lines: int = NODE_LINES) -> DataFrame:
+                    bits: int = TABLE_BITS, node_lines: int = NODE_LINES, short_lines: bool = False) -> DataFrame:
     """``doc, drop``: for each document that loses lines, the hashes of those."""
-    lines = _lines(docs.select("doc_id", "text"), min_tokens, depth)
+    lines = _lines(docs.select("doc_id", "text"), min_tokens, depth, short_lines)
     shared = cut(only_slots(lines, "node", shared_slots(lines.select("doc", "node"), "node", "doc", bits)), "shared-lines")
     found = templates(shared, similar, depth, node_lines).where("first_doc != last_doc").select("line_hash", "first_doc")
     places = shared.select("doc", F.xxhash64("line").alias("line_hash"))
@@ -136,12 +176,12 @@ def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, similar: int
     return dropped.groupBy("doc").agg(F.collect_set("line_hash").alias("drop"))
 
 
-def drop_recurring(docs: DataFrame, **options) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, short_lines: bool = False, **options) -> DataFrame:
     """``docs`` with the lines that stay in ``text`` and ``_llm_lines``, ``_llm_dropped``: lines before, lines dropped."""
-    drop = recurring_lines(docs, **options).select(F.col("doc").alias("_llm_doc"), F.col("drop").alias("_llm_drop"))
+    drop = recurring_lines(docs, min_tokens, short_lines=short_lines, **options).select(F.col("doc").alias("_llm_doc"), F.col("drop").alias("_llm_drop"))
     joined = docs.join(drop.hint("shuffle_hash"), F.coalesce(F.col("doc_id"), F.lit(_LOWEST)) == F.col("_llm_doc"), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_llm_drop", line_hash(x)))
+    kept = F.filter(_hashed(lines, min_tokens, short_lines), lambda x: ~F.array_contains("_llm_drop", x["hash"]))["line"]
     text = F.when(F.col("_llm_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_kept = F.when(F.col("_llm_drop").isNull(), n_lines).otherwise(F.size(kept).cast("long"))

@@ -83,7 +83,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(_table(spark, sf_dir, "documents"))
+    return linededup.line_report(_table(spark, sf_dir, "documents"), short_lines=True)
 
 
 @_query("op9_toxicity")

@@ -103,3 +103,13 @@ def test_emptied_documents_go_and_lengths_follow(spark):
     rows = [(1, line, 50), (2, line, 50), (3, "own\n" + line, 54), (3, line, 50), (4, None, None)]
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, line, 50), (3, "own", 3), (4, None, None)], key=str)
+
+
+def test_short_lines(spark):
+    han = "\u672c\u6587\u6863\u7684\u7248\u6743\u5f52\u4f5c\u8005\u6240\u6709"
+    rows = [(1, f"All rights reserved.\n\nPage 1 of 9\n12\n{han}2019\nown"), (2, f"mine\n\n  All rights  reserved.\nPage 3 of 9\n13\n{han}2024"),
+            (3, "All rights waived.\n12\nPage one of 9\n\u672c2"), (4, "\u7248 3\n\u672c7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs, short_lines=True) == [(1, rows[0][1], 6, 0), (2, "mine\n\n13", 6, 3),
+                                             (3, "All rights waived.\nPage one of 9\n\u672c2", 4, 1), (4, "\u7248 3", 2, 1)]
+    assert found(docs) == [(i, t, len(t.split("\n")), 0) for i, t in rows]
