@@ -113,3 +113,18 @@ def test_short_lines(spark):
     assert found(docs, short_lines=True) == [(1, rows[0][1], 6, 0), (2, "mine\n\n13", 6, 3),
                                              (3, "All rights waived.\nPage one of 9\n\u672c2", 4, 1), (4, "\u7248 3", 2, 1)]
     assert found(docs) == [(i, t, len(t.split("\n")), 0) for i, t in rows]
+
+
+def test_crowded_nodes_have_the_results_of_whole_ones(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        n = rng.choice((10, 15))
+        line = ["the", "same", "words", *(rng.choice("abc") if rng.random() < 0.5 else "x" for _ in range(n - 3))]
+        rows.append((rng.randrange(150), " ".join(line) + "\nthe same words then " + " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{k}" for k in "uvwxyz")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = linededup._lines(docs, 8, 3, False)
+    rows_of = lambda most: sorted(tuple(r)[1:] for r in linededup.templates(lines, node_lines=most).collect())
+    whole = rows_of(10_000)
+    assert 420 < len({r[1] for r in whole}) < len(whole) - 40
+    assert rows_of(120) == whole
