@@ -40,7 +40,7 @@ GROUP_TEXTS = 4_000
 _WIDEST = 4096
 _EMPTY = 0
 
-_SKETCH = ("doc_id long, n_shingles long, class long, band int, next_band int, bitmap binary, next_bitmap binary, keys binary")
+_SKETCH = ("doc_id long, n_shingles long, class long, band int, next_band int, bitmap binary, next_bitmap binary, keys binary, text_hash long")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,12 +116,12 @@ def sketches(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
         shingler = Shingler(words)
 
         def step(columns):
-            for doc_id, text in zip(*columns):
+            for doc_id, text, text_hash in zip(*columns):
                 hashes = shingler.word_hashes(text)
                 shingles, first = np.unique(shingler.shingles(hashes), return_index=True)
                 n = len(shingles)
                 if not n:
-                    yield doc_id, 0, _EMPTY, None, None, None, None, None
+                    yield doc_id, 0, _EMPTY, None, None, None, None, None, text_hash
                     continue
                 rarity = counts[(hashes & mask).astype(np.int64)]
                 width = min(words, len(hashes))
@@ -132,11 +132,12 @@ def sketches(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
                 band = band_of(n)
                 above = band + 1 if 100 * n >= percent * ((1 << band) + 1) else None
                 yield (doc_id, n, xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63), band, above, bitmap(shingles, band_width(band)),
-                       None if above is None else bitmap(shingles, band_width(above)), keys.tobytes())
+                       None if above is None else bitmap(shingles, band_width(above)), keys.tobytes(), text_hash)
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), make, _SKETCH)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(), F.xxhash64(text_bytes()).alias("text_hash"))
+    return map_rows(given, make, _SKETCH)
 
 
 class SignatureTree:
@@ -328,7 +329,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def find_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Per document ``doc_id, n_shingles, class``, and per class ``class, label``, for classes linked with others."""
+    """Per document ``doc_id, n_shingles, class, text_hash``, and per class ``class, label``, for classes linked with others."""
     all_sets = cut(sketches(docs, words, percent, word_counts(docs)), "sketches")
     payload = ("n_shingles", "band", "next_band", "bitmap", "next_bitmap", "keys")
     classes = all_sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first(F.struct(*payload)).alias("p"))
@@ -341,7 +342,7 @@ def find_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     texts = cut(_texts(docs, wanted, words), "texts")
     dealt = in_blocks(texts, "group", "class", GROUP_TEXTS)
     linked = components(map_groups(dealt, "group", _confirmed(words, percent), "a long, b long"))
-    return all_sets.select("doc_id", "n_shingles", "class"), linked.select(F.col("node").alias("class"), "label")
+    return all_sets.select("doc_id", "n_shingles", "class", "text_hash"), linked.select(F.col("node").alias("class"), "label")
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -360,13 +361,21 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns as given.
+    """``docs`` with one row of each component; all columns as given.
 
-    Rows that repeat an id count as one document if their texts are equal; of equal rows without id one stays.
+    The row with the smallest id stays, of those with one id the one with the smallest text hash, and rows without id come last. Rows that
+    repeat id and text are one; rows without words are in no component.
     """
-    found = cut(similarity_components(docs, words, percent), "components")
-    # Rows of one id that are not alike may be kept and dropped; what is told apart by id alone is told apart by text too.
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id")).distinct()
-    stays = docs.join(dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("_llm_id"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    sets, linked = find_links(docs, words, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    named = sets.where("n_shingles > 0").groupBy("class").agg(F.min(order).alias("least"))
+    named = named.join(linked, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("kept")), "label").select(F.col("class").alias("_class"), "kept")
+    found = sets.where("n_shingles > 0").join(named, F.col("class") == F.col("_class"))
+    # An id may have several texts, and texts may lack one, so rows are told by both.
+    dropped = found.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))))
+    dropped = cut(dropped.select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct(), "dropped")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & (F.xxhash64(text_bytes()) == F.col("_llm_hash"))
+    stays = docs.join(dropped.hint("shuffle_hash"), same, "left_anti")
+    repeated = sets.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return stays.dropDuplicates(["doc_id", "text"]) if repeated else stays

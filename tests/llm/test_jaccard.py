@@ -96,3 +96,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect() if r.text) == sorted(set((i, t) for i, t in docs if t and i not in (None, 5)))
     assert jaccard.keep_one_of_each(no_docs).count() == 0
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    one, two, clean, alone = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, one), (2, one + " more"), (2, clean), (None, one), (None, alone), (None, alone + " more"), (3, two), (3, two + " more"), (None, "")]
+    kept = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text.split(" ")[0]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "a0"), (2, "c0"), (None, "d0"), (3, "b0"), (None, "")], key=str)
