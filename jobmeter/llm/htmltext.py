@@ -2,7 +2,7 @@
 
 A tree is built from the tags, with end tags implied as HTML does (paragraphs end before blocks, items, cells and rows before their
 like), then walked once. What browsers don't show is left out: scripts, styles, head, templates, ``hidden``, ``display:none``,
-closed dialogs and details. White space collapses except in ``pre``. Nothing is dropped as boilerplate.
+closed dialogs and details, and in svg all but its texts. White space collapses except in ``pre`` and ``textarea``. Nothing is dropped as boilerplate.
 
 Defined cases: a null or empty page gives an empty text; broken markup never fails, text in it counts as text; nesting may be of any
 depth; tables within more than ``TABLES`` tables are laid out as blocks; cells are padded to at most ``CELL`` characters; repeated
@@ -24,7 +24,9 @@ CELL = 60
 
 _set = lambda names: frozenset(names.split())
 _VOID = _set("area base br col embed hr img input link meta param source track wbr")
-_UNSEEN = _set("script style head title template noscript iframe object video audio canvas svg math textarea select datalist noembed noframes frameset area map")
+_UNSEEN = _set("script style head title template noscript iframe object video audio canvas datalist noembed noframes frameset area annotation annotation-xml")
+#: Within svg only these show their text.
+_SVG_TEXT = _set("text foreignobject")
 _SPACED = _set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr")
 _BLOCK = _SPACED | _set("html body div article section nav header footer main aside address form li dt dd tr caption details summary dialog figcaption center legend menu optgroup option thead tbody tfoot td th search hgroup")
 #: By tag: open elements that its start ends, and those it doesn't look behind.
@@ -41,6 +43,7 @@ _ENDS_PARAGRAPH = _BLOCK - _set("html body tr td th thead tbody tfoot option opt
 #: What an end tag of a block doesn't reach beyond; those of other elements end at any block.
 _CELLS = _set("table td th")
 _WHOLE = dict.fromkeys(_set("table div ul ol"), frozenset()) | dict.fromkeys(_set("tr thead tbody tfoot td th"), _set("table"))
+_VERBATIM = _set("pre textarea")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
@@ -105,7 +108,19 @@ class TreeBuilder(HTMLParser):
             self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
+        depth = len(self.open)
+        foreign = tag in ("svg", "math") or (self._foreign() and tag not in _VOID)
         self.handle_starttag(tag, attrs)
+        if foreign and len(self.open) > 1 and self.open[-1].tag == tag and len(self.open) <= depth + 1:
+            self._close(len(self.open) - 1)
+
+    def _foreign(self) -> bool:
+        """Whether the innermost of svg, math and what holds HTML in them is one of the first two."""
+        if self.open_tags.get("svg") or self.open_tags.get("math"):
+            for element in reversed(self.open):
+                if element.tag in ("svg", "math", "foreignobject"):
+                    return element.tag != "foreignobject"
+        return False
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
@@ -255,19 +270,22 @@ def _table(table: Element, out: Writer, depth: int) -> None:
 def _render(start: Element, out: Writer, depth: int = 0) -> None:
     """Writes what is seen of ``start``, whose own block is up to the caller; no recursion but for tables in tables."""
     stack: list[tuple[Element, object, int]] = [(start, iter(start.children), 0)]
-    preformatted = int(start.tag == "pre")
+    drawn = [start.tag == "svg"]  # by element on the stack: whether it's in svg outside of text
+    preformatted = int(start.tag in _VERBATIM)
     while stack:
         element, children, count = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
+            drawn.pop()
             if element is not start:
-                preformatted -= element.tag == "pre"
+                preformatted -= element.tag in _VERBATIM
                 _leave(element, out)
         elif element.tag == "details" and "open" not in element.attrs and getattr(child, "tag", "") != "summary":
             continue
         elif isinstance(child, str):
-            (out.verbatim if preformatted else out.text)(child)
+            if not drawn[-1]:
+                (out.verbatim if preformatted else out.text)(child)
         elif not child.seen():
             continue
         elif child.tag == "br":
@@ -284,8 +302,9 @@ def _render(start: Element, out: Writer, depth: int = 0) -> None:
                 _enter_item(child, out, f"{first + count - 1}. " if element.tag == "ol" else "- ")
             else:
                 _enter(child, out)
-            preformatted += child.tag == "pre"
+            preformatted += child.tag in _VERBATIM
             stack.append((child, iter(child.children), 0))
+            drawn.append(child.tag == "svg" or (drawn[-1] and child.tag not in _SVG_TEXT))
 
 
 def _enter(element: Element, out: Writer) -> None:

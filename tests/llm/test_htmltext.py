@@ -79,3 +79,17 @@ def test_pages_are_whole(spark):
         body = re.sub(r"(?s)<script.*?</script>|<head>.*?</head>|<!--.*?-->", " ", r.html)
         want = re.findall(r"\w+", __import__("html").unescape(re.sub(r"<[^>]*>", " ", body)))
         assert re.findall(r"\w+", re.sub(r"(?m)^( *)(- |\d+\. )", r"\1", found[r.page_id])) == want
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p><svg id='i'/>Text</p>", "Text"), ("<p><math/>Text", "Text"), ("<p>a <svg><path d='m'/><g/><text>in svg</text></svg> b", "a in svg b"),
+    ("<svg><title>t</title><desc>d</desc><style>s</style><g>x<text>y<tspan>z</tspan></text></g></svg>", "yz"),
+    ("<svg><foreignObject><p>in <b>html</b></p></foreignObject></svg>c", "in html\n\nc"),
+    ("x <math><mi>a</mi><mo>+</mo><mi>b</mi><mspace/></math> y", "x a+b y"),
+    ("<math><semantics><mi>a</mi><annotation>\\alpha</annotation></semantics></math>", "a"),
+    ("<textarea>one\n  two</textarea>", "one\n  two"), ("<p>m <map><area><a>link</a></map> n", "m link n"),
+    ("<select><option>one<option>two</select>", "one\ntwo"), ("<select><optgroup><option>one</option><option>two</option></optgroup></select>three", "one\ntwo\nthree"),
+    ("<p>a<b/>c</p>d", "ac\n\nd"),
+])
+def test_foreign_and_form_text(html, text):
+    assert visible_text(html) == text
