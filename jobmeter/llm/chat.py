@@ -10,6 +10,8 @@ to and its own.
 A conversation may hold a third of all messages: the message before is found within parts of a range partitioning, where one row of each
 part carries over to the next, and quotes meet by conversation and hash.
 
+Passages of any length count; one of marks and blanks only is none.
+
 Defined cases: null and empty texts have no passages and empty content; messages without conversation or turn stay without links;
 of messages with the same conversation and turn each is a row, and a link names their turn; a quote that fits several earlier
 messages belongs to the latest; a message never replies to itself or a later one; empty tables give no rows.
@@ -23,8 +25,6 @@ from pyspark.sql.window import Window
 
 from jobmeter.llm.common import cut
 
-#: Characters that a passage must have to count as quoted from a message.
-LEAST_CHARS = 8
 _MARKS = "^([ \\t]*>)+[ \\t]?"
 
 
@@ -56,7 +56,7 @@ def passages(messages: DataFrame) -> DataFrame:
     last = F.aggregate(lines, start, add, lambda s: F.concat(s["done"], F.array(F.struct(s["level"].alias("level"), s["text"].alias("text")))))
     both = F.array_distinct(F.concat(last, lines))
     found = messages.select("conv_id", "turn", F.explode(both).alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.text")).alias("text"))
-    found = found.where(F.length("text") >= LEAST_CHARS)
+    found = found.where("text != ''")
     return found.select("conv_id", "turn", "level", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"))
 
 

@@ -61,3 +61,9 @@ def test_large_conversation_is_split(spark):
     rows = spark.range(n).selectExpr("1L AS conv_id", "id * 2 AS turn", "'u' AS role", "concat('message number ', id) AS text")
     got = chat.reply_order(rows).where("turn > 0 and (reply_to is null or reply_to != turn - 2)").count()
     assert got == 0
+
+
+def test_short_quotes_lead_to_their_messages(spark):
+    got = ordered(spark, [(1, 0, "u", "why?"), (1, 1, "u", "\u4e3a\u4ec0\u4e48"), (1, 2, "u", "a longer one\nyes"), (1, 3, "u", "other"),
+                          (1, 4, "u", "> Why?\nb"), (1, 5, "u", "> \u4e3a\u4ec0\u4e48\nc"), (1, 6, "u", "> yes\nd"), (1, 7, "u", "> ye\ne"), (1, 8, "u", "> why?\n\n> a longer one\nf")])
+    assert [r[2:] for r in got[4:]] == [("b", 0, True), ("c", 1, True), ("d", 2, True), ("e", 6, False), ("f", 2, True)]
