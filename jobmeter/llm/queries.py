@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmeter.llm import chat, decontamination, htmltext, jaccard, licences, linededup, packing, quality, tokencount, toxicity
+from jobmeter.llm import chat, decontamination, htmltext, jaccard, licences, linededup, packing, periodic, quality, tokencount, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_chat_formatting")
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.reply_order(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(_table(spark, sf_dir, "documents"))
