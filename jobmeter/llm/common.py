@@ -151,14 +151,18 @@ def map_groups(rows: DataFrame, key: str, handle: Callable[[int, list[list]], It
     return map_batches(rows.repartition(key).sortWithinPartitions(key), run, out)
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, member: str, most: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
     """``rows`` so that no key has more than about ``2 * most`` of them, and any two rows of a key still share a key.
 
-    The rows of a crowded key are dealt into blocks of about ``most``, and every two blocks get a key of their own.
+    The rows of a crowded key are dealt into blocks of about ``most``, and every two blocks get a key of their own. With a column
+    ``weight`` the sum of it in a block is held to about ``heaviest`` too, but for single rows that weigh more.
     """
-    crowded = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    blocks = F.ceil(F.count("*") / most)
+    if weight:
+        blocks = F.greatest(blocks, F.least(F.count("*"), F.ceil(F.sum(weight) / heaviest)))
+    crowded = rows.groupBy(F.col(key).alias("_key")).agg(blocks.cast("int").alias("_blocks")).where(F.col("_blocks") > 1)
     # Written, so that its size is known: it is broadcast where it is small, and then ``rows`` need no shuffle for it.
-    crowded = cut(crowded.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / most).cast("int").alias("_blocks")), "crowded")
+    crowded = cut(crowded, "crowded")
     joined = rows.join(crowded, F.col(key) == F.col("_key"), "left")
     own = F.pmod(F.xxhash64(member), F.col("_blocks"))
     others = F.when(F.col("_blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -167,14 +171,15 @@ def in_blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
     return dealt.select(*[F.when(F.col("_other").isNull(), F.col(key)).otherwise(pair).alias(key) if c == key else F.col(c) for c in rows.columns])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for all nodes of ``edges`` (``a, b``, longs): the label is the smallest node that can be reached.
 
-    Large-star and small-star steps in turn: each node points to the smallest neighbour until all point to the label.
+    Large-star and small-star steps in turn: each node points to the smallest neighbour until all point to the label. The rounds go on until
+    nothing changes; they grow with the logarithm of the longest chain.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
