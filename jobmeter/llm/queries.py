@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmeter.llm import chat, decontamination, divergence, htmltext, jaccard, licences, linededup, packing, periodic, quality, tokencount, toxicity
+from jobmeter.llm import chat, decontamination, divergence, htmltext, hyperminhash, jaccard, licences, linededup, packing, periodic, quality, tokencount, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ FROM parts QUALIFY part = 'pair' OR rank <= 10"""
 @_query("op11_source_divergence", _DIVERGENCE_SQL)
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_copies(_table(spark, sf_dir, "documents"), words=5, percent=85)
