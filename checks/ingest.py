@@ -77,6 +77,18 @@ def s22(c: Context):
         "CPUHours", "GPUHours", "WaitingTimeHours", "ElapsedHours", "SubmitWeek", "SubmitMonth", "SubmitYear", "StartDay", "NodeList")
 
 
+@query("s22_ids_without_path", """
+SELECT cluster, count(*) AS jobs, count(*) AS ids, count(*) AS known FROM jobs WHERE cluster IN ('africa', 'america') GROUP BY cluster""")
+def s22_ids(c: Context):
+    """Ids made for jobs without one are those of the same jobs in other files under other names."""
+    root, moved = history_root(c), c.scratch("moved")
+    for cluster, folder in (("africa", "data"), ("america", "weekly-data")):
+        c.spark.read.parquet(f"{root}/{cluster}/{folder}").repartition(3, "Submit").write.parquet(f"{moved}/{cluster}/data")
+    old, new = (Y.scan_history(c.spark, r, ["africa", "america"]).select("cluster", "JobID") for r in (root, moved))
+    known = old.join(new.withColumnRenamed("JobID", "_id"), (F.col("JobID") == F.col("_id")) & (old["cluster"] == new["cluster"]), "left")
+    return known.groupBy(old["cluster"]).agg(F.count("*").alias("jobs"), F.count_distinct("JobID").alias("ids"), F.count("_id").alias("known"))
+
+
 @query("u01_union_by_name", "SELECT cluster, count(*) AS jobs, count(*) FILTER (WHERE cluster IN ('asia', 'europe')) AS with_id FROM jobs GROUP BY cluster")
 def u01(c: Context):
     some = F.col("cluster").isin("asia", "europe")
@@ -427,6 +439,48 @@ def s09(c: Context):
     return O.read_store(c.spark, path).select(*_KEPT)
 
 
+_LAST_SQL = """
+SELECT jobid AS "JobID", CASE WHEN k % 2 = 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS "State", round(cpu_h, 6) AS "CPUHours" FROM jobs"""
+
+
+def _twice(c: Context, order: str):
+    """Uploaded records that name each job as running and as completed; even jobs complete last, the others are sent in the other order.
+
+    ``order`` is 'line': both in one file, or 'file': the later ones in files of their own.
+    """
+    rows = c.spark.read.json(_json_records(c))
+    even = rows["JobID"].cast("long") % 2 == 0
+    first, last = [rows.withColumn("State", F.when(even, a).otherwise(b)) for a, b in (("RUNNING", "COMPLETED"), ("COMPLETED", "RUNNING"))]
+    path = c.scratch("twice")
+    if order == "line":
+        both = lambda state: F.struct(*[F.lit(state).alias("State") if n == "State" else F.col(n) for n in rows.columns])
+        pair = F.when(even, F.array(both("RUNNING"), both("COMPLETED"))).otherwise(F.array(both("COMPLETED"), both("RUNNING")))
+        rows.select(F.inline(pair)).write.json(path)
+    else:
+        first.write.json(path)
+        last.write.mode("append").json(path)
+    return S.normalize_records(S.read_records(c.spark, path), "main")
+
+
+@query("s09_last_line_of_a_load", _LAST_SQL)
+def s09_last_line(c: Context):
+    path = c.scratch("store")
+    O.upsert_jobs(_twice(c, "line"), path)
+    return O.read_store(c.spark, path).select("JobID", "State", "CPUHours")
+
+
+@query("s10_compact_last_file", _LAST_SQL)
+def s10_last_file(c: Context):
+    path = c.scratch("store")
+    O.compact(c.spark, _twice(c, "file"), path)
+    return O.read_store(c.spark, path).select("JobID", "State", "CPUHours")
+
+
+@query("w02_last_line", _LAST_SQL)
+def w02_last_line(c: Context):
+    return keep_last(_twice(c, "line")).select("JobID", "State", "CPUHours")
+
+
 @query("s10_compact", _KEPT_SQL)
 def s10(c: Context):
     path = c.scratch("store")
@@ -458,6 +512,16 @@ def s11(c: Context):
     return c.spark.read.parquet(path).groupBy("iso_year", "iso_week").agg(F.count("*").alias("jobs"))
 
 
+@query("s11_write_weekly_by_cluster", """
+SELECT cluster, CAST(isoyear(submit) AS INT) AS iso_year, CAST(weekofyear(submit) AS INT) AS iso_week, count(*) AS jobs FROM jobs GROUP BY ALL""")
+def s11_clusters(c: Context):
+    """Clusters are written one after the other, the last one twice; each leaves the weeks of the others alone."""
+    path = c.scratch("weekly")
+    for name in ("africa", "america", "asia", "europe", "middle_east", "middle_east"):
+        O.write_weekly(c.jobs.where(F.col("cluster") == name), path)
+    return c.spark.read.parquet(path).groupBy("cluster", "iso_year", "iso_week").agg(F.count("*").alias("jobs"))
+
+
 @query("s12_retention_dry_run", """
 SELECT cluster, syear AS "SubmitYear", sweek AS "SubmitWeek", count(*) AS jobs, round(sum(cpu_h), 4) AS cpu_hours FROM jobs
 WHERE submit < DATE '2000-06-30' - 540 GROUP BY ALL""")
@@ -513,7 +577,14 @@ def _polls(c: Context):
     polls = F.sequence(F.col("_a"), F.col("_b"), F.lit(step).cast("long"))
     array_id = F.when(c.key % 3 == 0, F.concat("JobID", F.lit("_"), (c.key % 10).cast("string"))).otherwise(F.col("JobID"))
     return pending.select(F.explode(polls).alias("_t"), array_id.alias("JobID"), "Submit", "User").select(
-        at(F.col("_t")).alias("snapshot_ts"), "JobID", "Submit", "User")
+        at(F.col("_t")).alias("snapshot_ts"), "JobID", "Submit", "User", F.lit(None).cast("timestamp").alias("previous_ts"))
+
+
+def _every_poll(polls):
+    """Markers for a poll each six hours, whether something was pending or not, until two days after the last job."""
+    step = F.expr("interval 6 hours")
+    times = polls.agg(F.min("snapshot_ts").alias("a"), (F.max("snapshot_ts") + F.expr("interval 2 days")).alias("b"))
+    return G.poll_markers(times.select(F.explode(F.sequence("a", "b", step)).alias("snapshot_ts")))
 
 
 _POLLS_SQL = """
@@ -544,15 +615,55 @@ def t01_counts(c: Context):
 
 @query("t01_queue_stream", _WAITS_SQL)
 def t01_stream(c: Context):
-    source, out = c.scratch("polls"), c.scratch("queue")
-    # One file per run of polls, written in time order.
-    from pyspark.sql import Window
-    _polls(c).repartitionByRange(4, "snapshot_ts").sortWithinPartitions("snapshot_ts").write.parquet(source)
-    stream = c.spark.readStream.schema(G.SNAPSHOT).parquet(source)
-    G.start_queue_monitor(stream, out, f"{out}/checkpoint", once=True).awaitTermination()
+    polls = _polls(c)
+    return _monitored(c, polls, G.poll_markers(polls.select("snapshot_ts")))
+
+
+def _monitored(c: Context, polls, markers):
+    """Polls as files cut without regard to polls, each a batch of its own, with a restart of the stream before the last two."""
+    source, out, cuts = c.scratch("polls"), c.scratch("queue"), c.scratch("cuts")
+    rows = polls.unionByName(markers).repartitionByRange(4, "snapshot_ts", "JobID")
+    rows.withColumn("cut", F.spark_partition_id()).write.partitionBy("cut").parquet(cuts)
+    end = rows.agg((F.max("snapshot_ts") + F.expr("interval 1 day")).alias("snapshot_ts"))
+    null = lambda name: F.lit(None).cast(G.SNAPSHOT[name].dataType).alias(name)
+    end = end.select("snapshot_ts", *[null(name) for name in G.SNAPSHOT.fieldNames()[1:]])
+    files = [c.spark.read.schema(G.SNAPSHOT).parquet(f"{cuts}/cut={k}") for k in range(4)] + [end]
+    for k, part in enumerate(files):
+        part.coalesce(1).write.mode("append").parquet(source)
+        if k in (2, 4):
+            stream = c.spark.readStream.schema(G.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(source)
+            G.start_queue_monitor(stream, out, f"{out}/checkpoint", once=True).awaitTermination()
     return G.read_waits(c.spark, out).drop("seen_gone")
 
 
+_EVERY_POLL_SQL = _POLLS_SQL + """
+, grid AS (SELECT unnest(generate_series(lo, hi, 21600)) AS t FROM (SELECT min(t) AS lo, max(t) + 172800 AS hi FROM s))
+"""
+_ALL_WAITS_SQL = _POLLS_SQL + """
+SELECT jobid AS "JobID", CASE WHEN k % 3 = 0 THEN CAST(k % 10 AS VARCHAR) ELSE '' END AS "TaskIndex", usr AS "User",
+  CAST(b + 21600 - epoch(submit) AS BIGINT) AS waiting_seconds FROM p WHERE a <= b"""
+
+
+@query("t01_queue_waits_empty_polls", _ALL_WAITS_SQL)
+def t01_empty(c: Context):
+    polls = _polls(c)
+    return G.queue_waits(polls.unionByName(_every_poll(polls))).drop("seen_gone")
+
+
+@query("t01_queue_stream_empty_polls", _ALL_WAITS_SQL)
+def t01_stream_empty(c: Context):
+    polls = _polls(c)
+    return _monitored(c, polls, _every_poll(polls))
+
+
+@query("t01_queue_counts_empty_polls", _EVERY_POLL_SQL + """
+SELECT make_timestamp(grid.t * 1000000) AS snapshot_ts, (SELECT count(*) FROM s WHERE s.t = grid.t) AS waiting,
+  (SELECT count(*) FROM p WHERE a <= b AND a = grid.t) AS new, (SELECT count(*) FROM p WHERE a <= b AND b + 21600 = grid.t) AS started FROM grid""")
+def t01_counts_empty(c: Context):
+    polls = _polls(c)
+    return G.queue_counts(polls.unionByName(_every_poll(polls)))
+
+
 @query("t02_ingest_stream", _KEPT_SQL)
 def t02(c: Context):
     source, path = c.scratch("loads"), c.scratch("store")
@@ -565,6 +676,41 @@ def t02(c: Context):
     return O.read_store(c.spark, path).select(*_KEPT)
 
 
+@query("t02_ingest_stream_one_batch", _KEPT_SQL)
+def t02_one_batch(c: Context):
+    """Both loads come in one micro-batch; nothing but the order of the files tells which records are newer."""
+    source, path = c.scratch("loads"), c.scratch("store")
+    for load in _loads(c):
+        load.drop("ingest_seq").write.mode("append").parquet(source)
+    stream = I.record_stream(c.spark, source, load.drop("ingest_seq").schema)
+    I.start_ingest(stream, path, f"{path}-checkpoint", once=True).awaitTermination()
+    return O.read_store(c.spark, path).select(*_KEPT)
+
+
+_RESENT_SQL = """
+, l AS (SELECT cluster, jobid, state, submit, cpu_h, 1 AS seq FROM jobs UNION ALL
+  SELECT cluster, jobid, 'TIMEOUT', CASE WHEN k % 50 = 0 THEN submit + INTERVAL 40 DAY ELSE submit END, coalesce(el_h, 0) * cpus, 2 FROM jobs WHERE k % 10 = 0),
+kept AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY cluster, jobid ORDER BY seq DESC) = 1)
+SELECT CAST(date_trunc('month', submit) AS DATE) AS period, state AS series, count(*) AS jobs, round(sum(cpu_h), 6) AS cpu_hours FROM kept GROUP BY ALL"""
+
+
+@query("t03_live_totals_resent", _RESENT_SQL)
+def t03_resent(c: Context):
+    """Jobs sent again take back what they added before, some of them from another month and all from another state."""
+    source, out = c.scratch("loads"), c.scratch("live")
+    for load in _loads(c):
+        load.drop("ingest_seq").write.mode("append").parquet(source)
+        jobs = S.normalize_records(I.record_stream(c.spark, source, load.drop("ingest_seq").schema))
+        V.start_live_totals(jobs, f"{out}/totals", f"{out}/checkpoint", "month", "State", once=True).awaitTermination()
+    return V.read_live_totals(c.spark, f"{out}/totals", "State")
+
+
+@query("t03_live_totals_resent_as_batch", _RESENT_SQL)
+def t03_resent_batch(c: Context):
+    first, again = _loads(c)
+    return V.live_totals(S.normalize_records(first.unionByName(again)), "month", "State")
+
+
 _LIVE_SQL = """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type AS series, count(*) AS jobs, round(sum(value), 6) AS cpu_hours
 FROM events GROUP BY ALL"""
@@ -578,9 +724,8 @@ def _event_jobs(df):
 def t03(c: Context):
     out = c.scratch("live")
     stream = c.stream("events")
-    totals = V.live_totals(_event_jobs(stream), "day", "State")
-    V.start_live_totals(totals, f"{out}/totals", f"{out}/checkpoint", once=True).awaitTermination()
-    return V.read_live_totals(c.spark, f"{out}/totals")
+    V.start_live_totals(_event_jobs(stream), f"{out}/totals", f"{out}/checkpoint", "day", "State", once=True).awaitTermination()
+    return V.read_live_totals(c.spark, f"{out}/totals", "State")
 
 
 @query("t03_live_totals_as_batch", _LIVE_SQL, jobs=False)

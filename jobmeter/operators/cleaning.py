@@ -29,11 +29,15 @@ def fill_forward(df: DataFrame, columns: Sequence[str], file: str = "_file") ->
             .select(*df.columns))
 
 
-def keep_last(df: DataFrame, keys: Sequence[str] = ("cluster", "JobID"), order: str = "ingest_seq") -> DataFrame:
-    """One row per key: the one with the highest ``order``, ties broken by the row's values.
+def keep_last(df: DataFrame, keys: Sequence[str] = ("cluster", "JobID"), order: Sequence[str] = ("ingest_seq", "arrival")) -> DataFrame:
+    """One row per key: the last one by the columns of ``order`` that are there.
 
-    An aggregate rather than a window, so copies of a hot key are reduced before the shuffle.
+    A record without ``ingest_seq`` comes before those that have one. Only the order is compared; rows that share it, or have none, are
+    told apart by a hash of their values, so that the answer is the same in each run. An aggregate rather than a window, so copies of a hot key are
+    reduced before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys and c != order]
-    best = df.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_best"))
+    order = [c for c in order if c in df.columns]
+    rest = [c for c in df.columns if c not in keys]
+    hashed = F.xxhash64(*[c for c in rest if c not in order]) if set(rest) - set(order) else F.lit(0)
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, hashed)).alias("_best"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.`{c}`").alias(c) for c in df.columns])

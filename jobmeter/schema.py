@@ -40,6 +40,15 @@ JOBS = T.StructType([
     T.StructField("SubmitMonth", T.DateType()),
 ])
 
+# Where a row came in, in the order in which loads take effect: by time of the file, then its name, then the place in it. Readers add it as column
+# ``arrival``; it decides between records of one job in a load and is not stored.
+ARRIVAL = T.StructType([
+    T.StructField("time", T.TimestampType()),
+    T.StructField("file", T.StringType()),
+    T.StructField("split", T.LongType()),
+    T.StructField("place", T.LongType()),
+])
+
 # Step metrics carried along as text.
 STEP_METRICS = ["AveDiskRead", "AveDiskWrite", "AveCPU", "MaxRSS", "TotalCPU"]
 

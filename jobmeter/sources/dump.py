@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .records import conform, parse_time, with_job_periods, with_node_array
+from .records import arrival, conform, parse_time, with_job_periods, with_node_array
 from ..functions import nodes as N
 from ..functions.text import clean_text, is_present, job_state, parse_tres
 from ..functions.time import elapsed_to_hours, hours_between, resource_hours
@@ -19,9 +19,8 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """Dump lines as text columns, with the file, the split and the line's place in the split."""
     lines = (spark.read.schema(DUMP).option("sep", "|").option("header", "true").option("quote", "")
              .option("encoding", "ISO-8859-1").csv(path))
-    return lines.select(
-        *DUMP_FIELDS, F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    return lines.select(*DUMP_FIELDS, arrival()).select(
+        "*", F.col("arrival.file").alias("_file"), F.col("arrival.split").alias("_split"), F.col("arrival.place").alias("_line"))
 
 
 def drop_non_final(df: DataFrame, whole_line: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import file_system
@@ -68,8 +70,7 @@ def schema_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
 def _with_cluster(df: DataFrame) -> DataFrame:
     folder = "|".join(DATA_FOLDERS)
     name = F.regexp_extract(F.col("_metadata.file_path"), f"/([^/]+)/(?:{folder})/[^/]+$", 1)
-    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    return df.select("*", name.alias("cluster"), place.alias("_place"))
+    return df.select("*", name.alias("cluster"))
 
 
 def scan_history(spark: SparkSession, root: str, clusters: list[str] | None = None) -> DataFrame:
@@ -77,11 +78,24 @@ def scan_history(spark: SparkSession, root: str, clusters: list[str] | None = No
     paths = history_files(spark, root, clusters)
     if not paths:
         raise FileNotFoundError(f"no Parquet files below {root}")
-    parts = [spark.read.option("mergeSchema", "true").parquet(*group) for group in schema_groups(spark, paths)]
-    whole = normalize_history(_with_cluster(parts[0]))
-    for part in parts[1:]:
-        whole = whole.unionByName(normalize_history(_with_cluster(part)))
-    return whole
+    named, unnamed = [], []
+    for group in schema_groups(spark, paths):
+        part = _with_cluster(spark.read.option("mergeSchema", "true").parquet(*group))
+        (named if "JobID" in part.columns else unnamed).append(_canonical(part))
+    # Equal rows are numbered across files, so that ids don't depend on how rows are dealt to files.
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(named + ([with_made_ids(union(unnamed))] if unnamed else []))
+
+
+def with_made_ids(jobs: DataFrame) -> DataFrame:
+    """``JobID`` made from a job's values and, as tasks of an array may be equal, its number among equal jobs.
+
+    The files that hold the rows and their order make no difference. Without use of the id nothing is shuffled.
+    """
+    values = [c for c in jobs.columns if c not in ("JobID", "ingest_seq", "arrival")]
+    jobs = jobs.withColumn("_values", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in values]))
+    number = F.row_number().over(Window.partitionBy("_values").orderBy("_values"))
+    return jobs.withColumn("JobID", F.concat(F.lit("h"), F.hex(F.xxhash64("_values", number)))).drop("_values")
 
 
 def merge_old_names(df: DataFrame) -> DataFrame:
@@ -96,20 +110,17 @@ def merge_old_names(df: DataFrame) -> DataFrame:
     return df
 
 
-def normalize_history(df: DataFrame) -> DataFrame:
-    """One file dialect as canonical jobs.
-
-    Rows without JobID get one made from all their values and, where ``_place`` tells it, their place in the files, so that equal
-    tasks of an array stay apart.
-    """
-    if "JobID" not in df.columns:
-        df = df.withColumn("_made", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+def _canonical(df: DataFrame) -> DataFrame:
+    """One file dialect as canonical jobs; ``JobID`` stays null where the files have none."""
     df = with_resource_names(merge_old_names(df))
     df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("Submit", "Start", "End") if c in df.columns})
     if "End" not in df.columns:
         df = df.withColumn("End", F.lit(None).cast("timestamp"))
-    if "JobID" not in df.columns:
-        df = df.withColumn("JobID", F.concat(F.lit("h"), F.hex(F.col("_made"))))
     if "NodeList" in df.columns:
         df = with_node_array(df)
     return conform(with_job_periods(with_hours(df)))
+
+
+def normalize_history(df: DataFrame) -> DataFrame:
+    """One file dialect as canonical jobs; those without JobID get one made from their values."""
+    return _canonical(df) if "JobID" in df.columns else with_made_ids(_canonical(df))

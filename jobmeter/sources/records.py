@@ -21,10 +21,22 @@ def parse_time(text: Column | str, strict: bool = True) -> Column:
     return text.cast("timestamp") if strict else text.try_cast("timestamp")
 
 
+def arrival(place: Column | None = None) -> Column:
+    """The place of a row in the order of arrival, for rows that come straight from a file reader.
+
+    Readers cut files into splits and deliver the rows of a split in the order in which they stand; ``place`` is their number, counted here unless given. Streams
+    can't count, so theirs is null where the format has none, and is counted where a batch is taken in.
+    """
+    place = F.monotonically_increasing_id() if place is None else place
+    return F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").cast("long").alias("split"), place.cast("long").alias("place")).alias("arrival")
+
+
 def _parsed(spark: SparkSession, path: str) -> DataFrame:
     """Every line as a record, with ``_line`` where it is no JSON object, and ``reason`` where it can't be taken."""
     schema = T.StructType([*RECORD.fields, T.StructField("_line", T.StringType())])
-    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(path)
+    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(path).select("*", arrival())
     reason = F.when(F.col("_line").isNotNull(), F.lit("broken line"))
     for name in REQUIRED:
         reason = reason.when(F.col(name).isNull(), F.lit(f"no {name}"))
@@ -34,7 +46,8 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded records, one JSON object per line; absent hours and counts become 0.
 
-    Broken lines and records without a required field are left out; ``rejected_records`` lists them.
+    Broken lines and records without a required field are left out; ``rejected_records`` lists them. Column ``arrival`` tells which of several
+    records of a job came last.
     """
     return _parsed(spark, path).where(F.col("reason").isNull()).drop("_line", "reason").fillna(
         {"CPUHours": 0.0, "GPUHours": 0.0, "AllocCPUS": 0, "AllocGPUS": 0, "AllocNodes": 0})
@@ -86,10 +99,11 @@ def with_node_array(df: DataFrame) -> DataFrame:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Project to the canonical columns; absent ones become null."""
+    """Project to the canonical columns; absent ones become null. The order of ``arrival`` is carried along where there is one."""
     have = set(df.columns)
+    extra = [F.col("arrival")] if "arrival" in have else []
     return df.select([
-        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in JOBS])
+        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in JOBS] + extra)
 
 
 def normalize_records(df: DataFrame, cluster: str | Column | None = None) -> DataFrame:

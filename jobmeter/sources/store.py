@@ -31,11 +31,11 @@ def drop_partitions(spark: SparkSession, path: str, partitions) -> None:
 
 
 def write_store(jobs: DataFrame, path: str) -> None:
-    """Replace the partitions that ``jobs`` has rows for.
+    """Replace the partitions that ``jobs`` has rows for; only the columns of the store are written.
 
     Rebalancing gathers each month into files of the advisory size and splits months that are too large for one task.
     """
-    (jobs.hint("rebalance", *[F.col(k) for k in STORE_KEYS])
+    (jobs.drop("arrival").hint("rebalance", *[F.col(k) for k in STORE_KEYS])
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*STORE_KEYS).parquet(path))
 
@@ -63,11 +63,13 @@ def upsert_jobs(new: DataFrame, path: str) -> DataFrame:
     """Merge canonical jobs into the store; a job's record in the batch replaces those stored for its cluster and year.
 
     A stored record stays only where both name their order and its ``ingest_seq`` is higher: a late load of older records. Within
-    the batch the highest ``ingest_seq`` counts. Stored rows are not sorted or grouped again. Months that hold neither a new job nor an older record of one are not touched. The merged rows go to the shared
-    folder first, because a partition cannot be overwritten by a plan that reads it. Returns the months rewritten.
+    the batch the highest ``ingest_seq`` counts, then the last ``arrival``, which the readers add. Stored rows are not sorted or grouped again.
+    Months that hold neither a new job nor an older record of one are not touched. The merged rows go to the shared folder first, because a
+    partition cannot be overwritten by a plan that reads it. Returns the months rewritten.
     """
     spark = new.sparkSession
-    with staged(keep_last(new.select(*JOBS.fieldNames()), ROW_KEYS), "batch") as batch:
+    given = new.select(*JOBS.fieldNames(), *[c for c in ("arrival",) if c in new.columns])
+    with staged(keep_last(given, ROW_KEYS).drop("arrival"), "batch") as batch:
         touched = _partitions(batch)
         merged = batch
         fs, folder = file_system(spark, path)
@@ -98,11 +100,12 @@ def file_years(jobs: DataFrame, file: str = "_file") -> DataFrame:
 
 
 def write_weekly(jobs: DataFrame, path: str) -> None:
-    """One partition per ISO year and week of Submit; each week is gathered into files of the advisory size."""
+    """One partition per cluster, ISO year and week of Submit, replaced as a whole; each is gathered into files of the advisory size."""
     ts = F.col("Submit")
     weekly = jobs.withColumns({"iso_year": F.extract(F.lit("YEAROFWEEK"), ts).cast("int"), "iso_week": F.weekofyear(ts)})
-    weekly.hint("rebalance", F.col("iso_year"), F.col("iso_week")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("iso_year", "iso_week").parquet(path)
+    keys = ["cluster", "iso_year", "iso_week"]
+    weekly.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*keys).parquet(path)
 
 
 def retention_cutoff(keep_months: int, as_of: dt.date | str) -> Column:

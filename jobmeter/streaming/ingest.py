@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.records import normalize_records
+from ..sources.records import arrival, normalize_records
 from ..sources.store import upsert_jobs
 
 
 def record_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """Arriving files as a stream of records; ``arrival`` tells the order of records that one batch brings."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.format(fmt).load(path)
+    place = F.col("_metadata.row_index") if fmt == "parquet" else F.lit(None)
+    return reader.format(fmt).load(path).select("*", arrival(place))
 
 
 def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str | None = None,
@@ -29,6 +31,9 @@ def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str |
     def merge(rows: DataFrame, batch_id: int) -> None:
         if rows.isEmpty():
             return
+        if "arrival" in rows.columns:
+            place = F.coalesce("arrival.place", F.monotonically_increasing_id())
+            rows = rows.withColumn("arrival", F.col("arrival").withField("place", place))
         jobs = normalize_records(rows, cluster)
         upsert_jobs(jobs, store)
         if audit:

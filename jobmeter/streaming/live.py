@@ -1,37 +1,123 @@
-"""Totals that stay current while jobs arrive."""
+"""Totals that stay current while jobs arrive, and are right when jobs are sent again."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.time import period_start
+from ..operators.cleaning import keep_last
 from ..session import keep_versions
 
+# Sums must give back exactly what was added, so hours are decimals of the precision of a double.
+_HOURS = "decimal(38,18)"
+_DELTA = f"period date, series string, jobs long, cpu_hours {_HOURS}"
+_STATE = f"period date, series string, cpu_hours {_HOURS}, seq long"
+_KEYS = ["cluster", "JobID"]
+_ORDER = ["seq", "time", "file", "split", "place"]
+
+
+def _entries(jobs: DataFrame, grain: str, dim: str | None) -> DataFrame:
+    """What a record adds to the totals, and where it comes in the order of records."""
+    have, null = set(jobs.columns), F.lit(None)
+    series = F.col(dim).cast("string") if dim else null.cast("string")
+    came = {"time": F.unix_micros("arrival.time"), "file": F.col("arrival.file"), "split": F.col("arrival.split"), "place": F.col("arrival.place")}
+    if "arrival" not in have:
+        came = {"time": null.cast("long"), "file": null.cast("string"), "split": null.cast("long"), "place": null.cast("long")}
+    return jobs.select(
+        (F.col("cluster") if "cluster" in have else F.lit("")).alias("cluster"), (F.col("JobID") if "JobID" in have else null.cast("string")).alias("JobID"),
+        period_start("Submit", grain).alias("period"), series.alias("series"), F.coalesce(F.col("CPUHours"), F.lit(0.0)).cast(_HOURS).alias("cpu_hours"),
+        (F.col("ingest_seq") if "ingest_seq" in have else null.cast("long")).alias("seq"), *[c.alias(name) for name, c in came.items()])
+
+
+def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the rows of a task where the reader of the stream did not."""
+    seen = 0
+    for batch in batches:
+        counted = pa.array(range(seen, seen + len(batch)), pa.int64())
+        seen += len(batch)
+        at = batch.schema.get_field_index("place")
+        yield batch.set_column(at, batch.schema.field(at), pc.coalesce(batch.column(at), counted))
+
+
+def _replace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The change that a job's new records make: its last record comes in, and the one known before goes out."""
+    last = None
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            order = tuple((v is not None and v == v, v if v is not None and v == v else 0) for v in (getattr(row, c) for c in _ORDER))
+            if last is None or order >= last[0]:
+                last = (order, row)
+    order, row = last
+    seq = int(row.seq) if order[0][0] else None
+    changes = []
+    if state.exists:
+        period, series, hours, known = state.get
+        if seq is not None and known is not None and known > seq:
+            return
+        changes.append((period, series, -1, -hours))
+    state.update((row.period, row.series, row.cpu_hours, seq))
+    changes.append((row.period, row.series, 1, row.cpu_hours))
+    yield pd.DataFrame(changes, columns=["period", "series", "jobs", "cpu_hours"])
 
-def live_totals(stream: DataFrame, grain: str = "month", dim: str | None = None) -> DataFrame:
-    """Running jobs and CPU-hours per submit period (and group). State holds one row per group.
 
-    Works alike on a stream and on a table.
+def total_changes(stream: DataFrame, grain: str = "month", dim: str | None = None) -> DataFrame:
+    """Additions to and retractions from the totals, as a stream.
+
+    State holds one short row per (cluster, JobID): what its last record added. The last record counts by ``ingest_seq`` where both have one, then by
+    batch, then by ``arrival`` in the batch. Records without JobID can't be told again and count each.
     """
-    keys = [period_start("Submit", grain).alias("period")] + ([F.col(dim).alias("series")] if dim else [])
-    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("jobs"), F.sum("CPUHours").alias("cpu_hours"))
+    entries = _entries(stream, grain, dim)
+    entries = entries.mapInArrow(_count_places, entries.schema)
+    named = entries.where(F.col("JobID").isNotNull()).groupBy(*_KEYS).applyInPandasWithState(
+        _replace, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout)
+    single = entries.where(F.col("JobID").isNull()).select("period", "series", F.lit(1).cast("long").alias("jobs"), "cpu_hours")
+    return (named.unionByName(single) if "JobID" in stream.columns else single)
+
+
+def live_totals(jobs: DataFrame, grain: str = "month", dim: str | None = None) -> DataFrame:
+    """The same totals over a table: jobs and CPU-hours per submit period (and group), each job by its last record."""
+    entries = _entries(jobs, grain, dim)
+    if "JobID" in jobs.columns:
+        last = keep_last(entries.where(F.col("JobID").isNotNull()), _KEYS, _ORDER)
+        entries = last.unionByName(entries.where(F.col("JobID").isNull()))
+    return _shown(entries.groupBy("period", "series").agg(F.count(F.lit(1)).alias("jobs"), F.sum("cpu_hours").alias("cpu_hours")), dim)
+
 
+def _shown(totals: DataFrame, dim) -> DataFrame:
+    keys = ["period", "series"] if dim else ["period"]
+    return totals.select(*keys, "jobs", F.col("cpu_hours").cast("double").alias("cpu_hours"))
 
-def start_live_totals(totals: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the totals of the last two triggers as ``path/batch=<n>``; a repeated trigger replaces its own folder."""
+
+def start_live_totals(stream: DataFrame, path: str, checkpoint: str, grain: str = "month", dim: str | None = None, once: bool = False) -> StreamingQuery:
+    """Keep the totals after each of the last two triggers as ``path/batch=<n>``.
+
+    A trigger adds its changes to the totals before it; a repeated one starts from the same totals and replaces its own folder. ``path`` and ``checkpoint``
+    belong together.
+    """
+    spark = stream.sparkSession
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        keep_versions(batch.sparkSession, path, "batch=")
+        older = [n for n in keep_versions(spark, path, "batch=") if n < batch_id]
+        changes = batch.groupBy("period", "series").agg(F.sum("jobs").alias("jobs"), F.sum("cpu_hours").alias("cpu_hours"))
+        if older:
+            changes = changes.unionByName(spark.read.schema(_DELTA).parquet(f"{path}/batch={max(older)}"))
+        totals = changes.groupBy("period", "series").agg(F.sum("jobs").alias("jobs"), F.sum("cpu_hours").cast(_HOURS).alias("cpu_hours"))
+        totals.where("jobs != 0").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keep_versions(spark, path, "batch=")
 
-    writer = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save)
+    writer = total_changes(stream, grain, dim).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_live_totals(spark, path: str) -> DataFrame:
-    """The totals of the latest trigger."""
-    table = spark.read.parquet(path)
-    latest = table.agg(F.max("batch")).scalar()
-    return table.where(F.col("batch") == latest).drop("batch")
+def read_live_totals(spark, path: str, dim: str | None = None) -> DataFrame:
+    """The totals of the latest trigger; give ``dim`` if they are grouped."""
+    latest = max(keep_versions(spark, path, "batch="))
+    return _shown(spark.read.schema(_DELTA).parquet(f"{path}/batch={latest}"), dim)

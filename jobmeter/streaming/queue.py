@@ -8,31 +8,53 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import array_job
-from ..session import keep_versions
 
-# One row per job that a poll found pending.
+# One row per job that a poll found pending, and one for the poll itself, without JobID: a marker that names the poll before it. So a poll that found
+# nothing is known too. A marker without ``previous_ts`` begins a new series of polls.
 SNAPSHOT = T.StructType([
     T.StructField("snapshot_ts", T.TimestampType()),
     T.StructField("JobID", T.StringType()),
     T.StructField("Submit", T.TimestampType()),
     T.StructField("User", T.StringType()),
+    T.StructField("previous_ts", T.TimestampType()),
 ])
 
+_NEVER = "36500 days"
+
+
+def poll_markers(polls: DataFrame) -> DataFrame:
+    """Marker rows for the times in column ``snapshot_ts``, each naming the one before it."""
+    followed = _next_polls(polls).where(F.col("next_ts").isNotNull()).select(F.col("next_ts").alias("snapshot_ts"), F.col("snapshot_ts").alias("previous_ts"))
+    first = polls.agg(F.min("snapshot_ts").alias("snapshot_ts")).withColumn("previous_ts", F.lit(None).cast("timestamp"))
+    null = lambda name: F.lit(None).cast(SNAPSHOT[name].dataType).alias(name)
+    return first.unionByName(followed).select("snapshot_ts", null("JobID"), null("Submit"), null("User"), "previous_ts")
+
 
 def _next_polls(snapshots: DataFrame) -> DataFrame:
-    """(snapshot_ts, next_ts): the list of polls, which has no row per job."""
-    polls = snapshots.select("snapshot_ts").distinct()
-    return polls.withColumn("next_ts", F.lead("snapshot_ts").over(Window.orderBy("snapshot_ts")))
+    """(snapshot_ts, next_ts): the list of polls, which has no row per job. Windows run inside a day, and over one row per day."""
+    polls = snapshots.select("snapshot_ts", F.to_date("snapshot_ts").alias("_day")).distinct()
+    days = polls.groupBy("_day").agg(F.min("snapshot_ts").alias("_first"))
+    days = days.select("_day", F.lead("_first").over(Window.orderBy("_day")).alias("_after"))
+    in_day = polls.withColumn("_next", F.lead("snapshot_ts").over(Window.partitionBy("_day").orderBy("snapshot_ts")))
+    return in_day.join(days, "_day").select("snapshot_ts", F.coalesce("_next", "_after").alias("next_ts"))
 
 
 def queue_waits(snapshots: DataFrame) -> DataFrame:
     """Jobs that were pending at one poll and gone at the next, with the seconds from submit to that next poll.
 
-    A job is looked up at (job, next poll) by an anti join, so no window runs over the rows of one job.
+    A poll is known by its jobs or its marker. A job is looked up at (job, next poll) by an anti join, so no window runs over the rows of one job.
     """
-    ahead = snapshots.join(_next_polls(snapshots).where(F.col("next_ts").isNotNull()), "snapshot_ts")
-    seen = snapshots.select(F.col("JobID").alias("_id"), F.col("snapshot_ts").alias("_ts"))
+    ahead = _jobs(snapshots).join(_next_polls(snapshots).where(F.col("next_ts").isNotNull()), "snapshot_ts")
+    seen = _jobs(snapshots).select(F.col("JobID").alias("_id"), F.col("snapshot_ts").alias("_ts"))
     gone = ahead.join(seen, (F.col("JobID") == F.col("_id")) & (F.col("next_ts") == F.col("_ts")), "left_anti")
+    return _waits(gone)
+
+
+def _jobs(snapshots: DataFrame) -> DataFrame:
+    return snapshots.where(F.col("JobID").isNotNull()).drop("previous_ts")
+
+
+def _waits(gone: DataFrame) -> DataFrame:
     parts = array_job("JobID")
     seconds = F.floor((F.unix_micros("next_ts") - F.unix_micros("Submit")) / 1000000).cast("long")
     return gone.select(parts["JobID"].alias("JobID"), parts["TaskIndex"].alias("TaskIndex"), "User",
@@ -42,7 +64,7 @@ def queue_waits(snapshots: DataFrame) -> DataFrame:
 def queue_counts(snapshots: DataFrame) -> DataFrame:
     """Per poll: jobs waiting, new since the poll before, and started (gone) since then."""
     polls = _next_polls(snapshots)
-    rows = snapshots.join(polls, "snapshot_ts")
+    rows = _jobs(snapshots).join(polls, "snapshot_ts")
     waiting = rows.groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("waiting"))
     # Each row counts at its own poll and at the next; a job present at both meets itself there.
     here = rows.select("JobID", F.col("snapshot_ts").alias("ts"), F.lit(1).alias("now"), F.lit(0).alias("before"))
@@ -58,33 +80,44 @@ def queue_counts(snapshots: DataFrame) -> DataFrame:
         F.coalesce("started", F.lit(0)).cast("long").alias("started"))
 
 
-def start_queue_monitor(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append waits found in each micro-batch to ``path/waits``.
+def stream_waits(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``queue_waits`` over a stream of :data:`SNAPSHOT` rows with a marker for each poll.
 
-    The last poll of a batch is kept as a table and opens the next batch, so the answer does not depend on how polls
-    are cut into batches. Polls must arrive in order, each within one batch. A repeated batch starts from the same kept
-    poll and replaces its own output.
+    A job's row meets the marker that names its poll as the one before, which tells the next poll, and then the rows of that poll: without an equal job there it
+    is gone. The watermark is ``delay`` behind the latest poll that is known to have a next one, however long after it that came. Rows and markers may come in any
+    number of batches and files, a poll in several of them, as long as they are not behind the watermark. A wait is given out when the watermark has
+    passed the poll that no longer had the job; rows of later polls are all the state there is.
     """
-    spark = stream.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        # Two kept polls suffice: that of the batch before, and this batch's own if it is being repeated.
-        older = [n for n in keep_versions(spark, f"{path}/last") if n < batch_id]
-        polls = batch
-        if older:
-            polls = spark.read.schema(SNAPSHOT).parquet(f"{path}/last/{max(older)}").unionByName(batch)
-        queue_waits(polls).write.mode("overwrite").parquet(f"{path}/waits/batch={batch_id}")
-        newest = batch.agg(F.max("snapshot_ts")).scalar()
-        batch.where(F.col("snapshot_ts") == newest).write.mode("overwrite").parquet(f"{path}/last/{batch_id}")
-
-    writer = stream.select(*SNAPSHOT.fieldNames()).writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    stream = stream.select(*SNAPSHOT.fieldNames())
+    # Only markers move the watermark; the other branches are too far behind to do so.
+    rows = stream.where(F.col("JobID").isNotNull()).withWatermark("snapshot_ts", _NEVER)
+    markers = stream.where(F.col("JobID").isNull()).select(
+        F.coalesce("previous_ts", "snapshot_ts").alias("_known"), F.col("snapshot_ts").alias("next_ts"),
+        F.coalesce("previous_ts", F.lit("1900-01-01").cast("timestamp")).alias("_follows")).withWatermark("_known", delay)
+    ahead = rows.join(markers, F.col("snapshot_ts") == F.col("_follows")).select("JobID", "Submit", "User", "next_ts")
+    seen = stream.where(F.col("JobID").isNotNull()).select(F.col("JobID").alias("_id"), F.col("snapshot_ts").alias("_ts")).withWatermark("_ts", _NEVER)
+    both = ahead.join(seen, (F.col("JobID") == F.col("_id")) & (F.col("next_ts") == F.col("_ts")), "left_outer")
+    return _waits(both.where(F.col("_id").isNull()))
+
+
+def start_queue_monitor(stream: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", once: bool = False) -> StreamingQuery:
+    """Append waits to ``path/waits`` as they are found; the sink takes each batch once, also after a restart.
+
+    The branches of the plan read the same files, so the furthest of their watermarks holds for all: that of the markers, which goes on while
+    nothing is pending.
+    """
+    conf, policy = stream.sparkSession.conf, "spark.sql.streaming.multipleWatermarkPolicy"
+    writer = stream_waits(stream, delay).writeStream.outputMode("append").format("parquet").option("path", f"{path}/waits").option("checkpointLocation", checkpoint)
+    before = conf.get(policy, "min")
+    conf.set(policy, "max")  # a query keeps the settings it is started with
+    try:
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        conf.set(policy, before)
 
 
 def read_waits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/waits").drop("batch")
+    return spark.read.parquet(f"{path}/waits")
 
 
 def export_waits(waits: DataFrame, path: str) -> None:

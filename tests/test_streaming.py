@@ -1,6 +1,7 @@
 import datetime as dt
 
 from conftest import rows
+from jobmeter.sources.records import arrival, normalize_records
 from jobmeter.sources.store import read_store, submission_stats
 from jobmeter.streaming import ingest as I
 from jobmeter.streaming import live as V
@@ -24,10 +25,14 @@ POLLS = {  # minute of the poll -> pending jobs
 
 
 def snapshots(spark, minutes):
-    data = [(at(m), j, T0 - dt.timedelta(minutes=5) if j != "4" else at(35), "u") for m in minutes for j in POLLS[m]]
+    data = [(at(m), j, T0 - dt.timedelta(minutes=5) if j != "4" else at(35), "u", None) for m in minutes for j in POLLS[m]]
     return spark.createDataFrame(data, G.SNAPSHOT)
 
 
+def marker(spark, minute, previous):
+    return spark.createDataFrame([(at(minute), None, None, None, None if previous is None else at(previous))], G.SNAPSHOT)
+
+
 def test_queue_waits(spark):
     got = rows(G.queue_waits(snapshots(spark, POLLS)), "JobID", "TaskIndex", "waiting_seconds")
     # The empty poll leaves no rows, so job 2_2 is seen gone at minute 40; job 1 came back and left again at 50.
@@ -39,14 +44,37 @@ def test_queue_counts(spark):
     assert got == {at(0): (3, 3, 0), at(10): (3, 1, 1), at(20): (1, 0, 2), at(40): (2, 2, 1), at(50): (1, 0, 1)}
 
 
+def test_markers_make_empty_polls_known(spark):
+    polls = spark.createDataFrame([(at(m),) for m in POLLS], "snapshot_ts timestamp")
+    markers = G.poll_markers(polls)
+    assert sorted(rows(markers, "snapshot_ts", "previous_ts"))[1:] == [(at(m), at(m - 10)) for m in (10, 20, 30, 40, 50)]
+    assert markers.schema == G.SNAPSHOT
+    got = rows(G.queue_waits(snapshots(spark, POLLS).unionByName(markers)), "JobID", "TaskIndex", "waiting_seconds")
+    assert sorted(got) == [("1", "", 900), ("1", "", 3300), ("2", "1", 1500), ("2", "2", 2100), ("3", "", 1500)]
+    counts = {r.snapshot_ts: (r.waiting, r.new, r.started) for r in G.queue_counts(snapshots(spark, POLLS).unionByName(markers)).collect()}
+    assert counts[at(30)] == (0, 0, 1) and counts[at(40)] == (2, 2, 0)
+
+
+def test_polls_over_days_follow_each_other(spark):
+    times = [0, 700, 1439, 1441, 2900, 9000]
+    polls = spark.createDataFrame([(at(m),) for m in times], "snapshot_ts timestamp")
+    assert sorted(rows(G._next_polls(polls)), key=str) == [(at(a), at(b) if b else None) for a, b in zip(times, [*times[1:], None])]
+
+
 def test_queue_stream_equals_batch(spark, tmp_path):
+    """Polls come split over files and batches, some empty, some markers before their rows; the stream is restarted after each file."""
     source, out = str(tmp_path / "polls"), str(tmp_path / "out")
-    want = sorted(rows(G.queue_waits(snapshots(spark, POLLS))))
-    for m in POLLS:  # one run per poll, as files arrive
-        if POLLS[m]:
-            snapshots(spark, [m]).coalesce(1).write.mode("append").parquet(source)
-            stream = spark.readStream.schema(G.SNAPSHOT).parquet(source)
-            G.start_queue_monitor(stream, out, f"{out}/checkpoint", once=True).awaitTermination()
+    every = snapshots(spark, POLLS).unionByName(G.poll_markers(spark.createDataFrame([(at(m),) for m in POLLS], "snapshot_ts timestamp")))
+    want = sorted(rows(G.queue_waits(every)))
+    files = []
+    for m in POLLS:
+        parts = [snapshots(spark, [m]).where(f"hash(JobID) % 2 {op} 0") for op in ("=", "!=")]
+        files += [parts[0], marker(spark, m, m - 10 if m else None), parts[1]] if m != 20 else [marker(spark, m, 10), *parts]
+    # The end of the series: a marker far behind that follows no poll.
+    for df in [*files, marker(spark, 600, None)]:
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(G.SNAPSHOT).parquet(source)
+        G.start_queue_monitor(stream, out, f"{out}/checkpoint", once=True).awaitTermination()
     assert sorted(rows(G.read_waits(spark, out))) == want
     G.export_waits(G.read_waits(spark, out), str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == ["JobID", "TaskIndex", "Username", "WaitingTime [s]"]
@@ -72,13 +100,54 @@ def test_ingest_stream(spark, tmp_path):
     assert sorted(rows(read_store(spark, store), "JobID", "State")) == [("1", "TIMEOUT"), ("2", "COMPLETED"), ("3", "COMPLETED")]
 
 
-def test_live_totals_equal_batch(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "totals")
-    loads = [records(spark, *[(str(i), i * 600 + n, "A" if i % 2 else "B") for i in range(9)]) for n in range(3)]
+def test_last_record_of_a_load_wins(spark, tmp_path):
+    """Two records of a job in one micro-batch, in both orders and over two files; nothing but the order of arrival tells them."""
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    loads = [records(spark, ("1", 0, "RUNNING"), ("1", 0, "COMPLETED"), ("2", 1, "COMPLETED"), ("2", 1, "RUNNING"), ("3", 2, "RUNNING")),
+             records(spark, ("3", 2, "COMPLETED"), ("4", 2, "RUNNING"), ("4", 2, "CANCELLED"))]
     for load in loads:
         load.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(load.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        V.start_live_totals(V.live_totals(stream, "day", "State"), out, str(tmp_path / "cp"), once=True).awaitTermination()
-    want = sorted(rows(V.live_totals(spark.read.parquet(source), "day", "State")))
-    assert sorted(rows(V.read_live_totals(spark, out))) == want
+    stream = I.record_stream(spark, source, loads[0].schema)
+    I.start_ingest(stream, store, str(tmp_path / "cp"), "m", once=True).awaitTermination()
+    want = [("1", "COMPLETED"), ("2", "RUNNING"), ("3", "COMPLETED"), ("4", "CANCELLED")]
+    assert sorted(rows(read_store(spark, store), "JobID", "State")) == want
+    assert "arrival" not in read_store(spark, store).columns
+
+
+def test_live_totals_take_back_what_was_sent_again(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "totals")
+    month = 32 * 1440
+    loads = [[("1", 0, "A"), ("2", 1, "A"), ("2", 1, "B")], [("1", month, "A"), ("3", 2, "B")], [("2", 1, "A")], [("1", 5, "C"), ("4", 9, "B")]]
+    want = []
+    schema = records(spark, *loads[0]).schema
+    for n, load in enumerate(loads):
+        records(spark, *load).coalesce(1).write.mode("append").parquet(source)
+        if n == 1:
+            continue  # two files in one trigger
+        stream = normalize_records(I.record_stream(spark, source, schema), "m")
+        V.start_live_totals(stream, out, str(tmp_path / "cp"), "month", "State", once=True).awaitTermination()
+        whole = normalize_records(spark.read.schema(schema).parquet(source).select("*", arrival()), "m")
+        want = sorted(rows(V.live_totals(whole, "month", "State")))
+        assert sorted(rows(V.read_live_totals(spark, out, "State"))) == want
+    assert want == [(T0.date(), "A", 1, 4.0), (T0.date(), "B", 2, 8.0), (T0.date(), "C", 1, 4.0)]
     assert len([p for p in (tmp_path / "totals").iterdir() if p.name.startswith("batch=")]) == 2
+
+
+def test_live_totals_heed_a_named_order(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "totals")
+    make = lambda seq, state: records(spark, ("1", 0, state)).selectExpr("*", f"cast({seq} as long) as ingest_seq")
+    for seq, state in ((5, "A"), (3, "B"), ("null", "C"), (2, "D")):
+        make(seq, state).coalesce(1).write.mode("append").parquet(source)
+        stream = normalize_records(I.record_stream(spark, source, make(1, "A").schema), "m")
+        V.start_live_totals(stream, out, str(tmp_path / "cp"), "day", "State", once=True).awaitTermination()
+    # The late load B is not taken; C names no order, so it and D are.
+    assert rows(V.read_live_totals(spark, out, "State")) == [(T0.date(), "D", 1, 4.0)]
+
+
+def test_records_without_id_count_each(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "totals")
+    df = records(spark, ("1", 0, "A")).selectExpr("Submit", "CPUHours", "cast(null as string) as JobID", "explode(sequence(1, 7)) as n")
+    df.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    V.start_live_totals(stream, out, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert rows(V.read_live_totals(spark, out)) == rows(V.live_totals(df)) == [(T0.date(), 7, 28.0)]
