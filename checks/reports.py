@@ -198,7 +198,7 @@ def _lines(charts: dict, names: dict) -> object:
     out = None
     for name, (x, series, value) in names.items():
         df = charts[name]
-        part = df.select(F.lit(name).alias("chart"), F.col(x).cast("string").alias("x"),
+        part = df.select(F.lit(name).alias("chart"), (F.col(x) if x else F.lit("")).cast("string").alias("x"),
                          (F.col(series) if series else F.lit("")).cast("string").alias("series"),
                          F.col(value).cast("double").alias("value"))
         out = part if out is None else out.unionByName(part)
@@ -207,11 +207,23 @@ def _lines(charts: dict, names: dict) -> object:
 
 _CHART_SQL = f"""
 , d AS (SELECT * FROM jobs WHERE submit >= DATE '1996-01-01' AND submit < DATE '2000-01-01' AND part LIKE '%cpu%'),
+groups AS (SELECT DISTINCT qos FROM d),
 charts AS (
-  SELECT 'cpu_usage_over_time' AS chart, CAST(tmonth AS VARCHAR) AS x, qos AS series, sum(cpu_h) AS value FROM d WHERE tmonth IS NOT NULL GROUP BY ALL
-  UNION ALL SELECT 'gpu_usage_over_time', CAST(tmonth AS VARCHAR), qos, sum(gpu_h) FROM d WHERE tmonth IS NOT NULL GROUP BY ALL
+  SELECT 'cpu_usage_over_time' AS chart, CAST(p.tmonth AS VARCHAR) AS x, g.qos AS series, coalesce(sum(cpu_h), 0) AS value
+    FROM (SELECT DISTINCT tmonth FROM d WHERE tmonth IS NOT NULL) p CROSS JOIN groups g LEFT JOIN d ON d.tmonth = p.tmonth AND d.qos = g.qos GROUP BY ALL
+  UNION ALL SELECT 'gpu_usage_over_time', CAST(p.tmonth AS VARCHAR), g.qos, coalesce(sum(gpu_h), 0)
+    FROM (SELECT DISTINCT tmonth FROM d WHERE tmonth IS NOT NULL) p CROSS JOIN groups g LEFT JOIN d ON d.tmonth = p.tmonth AND d.qos = g.qos GROUP BY ALL
   UNION ALL SELECT 'active_users_over_time', CAST(smonth AS VARCHAR), '', count(DISTINCT usr) FROM d GROUP BY ALL
-  UNION ALL SELECT 'jobs_over_time', CAST(smonth AS VARCHAR), qos, count(*) FROM d GROUP BY ALL
+  UNION ALL SELECT 'jobs_over_time', CAST(p.smonth AS VARCHAR), g.qos, count(k)
+    FROM (SELECT DISTINCT smonth FROM d) p CROSS JOIN groups g LEFT JOIN d ON d.smonth = p.smonth AND d.qos = g.qos GROUP BY ALL
+  UNION ALL SELECT 'total_hours', '', '', 1461 * 24.0
+  UNION ALL SELECT 'summary', '', '', count(DISTINCT usr) FROM d
+  UNION ALL SELECT 'gpus_per_job', CAST(gpus AS VARCHAR), '', count(*) FROM d WHERE gpus > 0 GROUP BY ALL
+  UNION ALL SELECT 'gpu_hours_by_dimension', qos, '', sum(gpu_h) FROM d GROUP BY ALL
+  UNION ALL SELECT 'waiting_times_hist', bin, '', n FROM (SELECT CASE WHEN h < 1 THEN 0 WHEN h < 4 THEN 1 WHEN h < 12 THEN 2 WHEN h < 24 THEN 3
+    WHEN h < 72 THEN 4 WHEN h < 168 THEN 5 ELSE 6 END AS b, count(*) AS n FROM (SELECT wait_h AS h FROM d WHERE wait_h >= 0) GROUP BY ALL)
+    RIGHT JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS b, CAST(b AS VARCHAR) AS bin) USING (b)
+  UNION ALL SELECT 'node_usage', node, qos, sum(cpu_h + gpu_h) FROM job_nodes WHERE k IN (SELECT k FROM d) GROUP BY ALL
   UNION ALL SELECT 'waiting_times_over_time', CAST(smonth AS VARCHAR), '', avg(wait_h) FROM d WHERE wait_h IS NOT NULL GROUP BY ALL
   UNION ALL SELECT 'job_duration_over_time', CAST(smonth AS VARCHAR), '', avg(el_h) FROM d WHERE el_h > 0 GROUP BY ALL
   UNION ALL SELECT 'jobs_by_partition', part, '', count(*) FROM d GROUP BY ALL
@@ -225,7 +237,7 @@ charts AS (
   UNION ALL SELECT 'jobs_distribution', qos, '', count(*) FROM d GROUP BY ALL
   UNION ALL SELECT 'user_activity_frequency', qos, '', sum(n) FROM (SELECT qos, usr, count(DISTINCT smonth) AS n FROM d GROUP BY ALL) GROUP BY ALL)
 SELECT chart, x, series, CASE WHEN chart LIKE '%trends' OR chart IN ('waiting_times_over_time', 'job_duration_over_time')
-  THEN round(value, 9) ELSE round(value, 4) END AS value FROM charts"""
+  THEN round(value, 9) ELSE round(coalesce(value, 0), 4) END AS value FROM charts"""
 
 
 @query("r07_dashboard", _CHART_SQL, digits=9)
@@ -236,11 +248,15 @@ def r07(c: Context):
         "waiting_times_over_time": ("period", None, "value"), "job_duration_over_time": ("period", None, "value"),
         "jobs_by_partition": ("label", None, "value"), "jobs_by_state": ("label", None, "value"),
         "waiting_times_trends": ("period", None, "p95"), "job_duration_trends": ("period", None, "p95"),
-        "cpus_per_job": ("units", None, "jobs"), "nodes_per_job": ("units", None, "jobs"),
+        "cpus_per_job": ("units", None, "jobs"), "nodes_per_job": ("units", None, "jobs"), "gpus_per_job": ("units", None, "jobs"),
+        "total_hours": (None, None, "total_hours"), "summary": (None, None, "users"), "waiting_times_hist": ("bin", None, "count"),
+        "gpu_hours_by_dimension": ("label", None, "value"), "node_usage": ("node", "series", "value"),
         "jobs_by_dimension": ("label", None, "value"), "cpu_hours_by_dimension": ("label", None, "value"),
         "jobs_distribution": ("label", None, "value"), "user_activity_frequency": ("label", None, "value")}
-    lines = _lines(P.dashboard(c.jobs, "month", "QOS", charts=list(shown), start="1996-01-01", end="1999-12-31",
-                               partitions=["cpu"]), shown)
+    charts = P.dashboard(c.jobs, "month", "QOS", charts=list(shown), start="1996-01-01", end="1999-12-31", partitions=["cpu"])
+    # Nodes come by cluster and resource; the SQL has them by name.
+    charts["node_usage"] = charts["node_usage"].groupBy("node", "series").agg(F.sum("value").alias("value"))
+    lines = _lines(charts, shown)
     fine = F.col("chart").endswith("trends") | F.col("chart").isin("waiting_times_over_time", "job_duration_over_time")
     return lines.withColumn("value", F.when(fine, F.col("value")).otherwise(F.round("value", 4)))
 

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .weights import job_count
+
 BUCKETS_PER_OCTAVE = 512  # a bucket spans 0.14 % of its value: about 2 minutes at one day
 SMALLEST = 4096  # values below 1/4096 share few buckets
 SLICES = 4096  # of a bucket, equally wide
@@ -25,14 +27,14 @@ def _bucket(value: Column) -> Column:
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """How often each value occurs: (by, _v, _n). Null values and null group keys are left out."""
+    """How often each value occurs: (by, _v, _n). Null values and null group keys are left out; rows may stand for several jobs."""
     v = F.col(value).cast("double")
     clean = df.where(v.isNotNull() & ~F.isnan(v))
     for key in by:
         clean = clean.where(F.col(key).isNotNull())
     # The join on the bucket adds this test to its side; with it on both sides the counts are made only once.
     clean = clean.where(_bucket(v).isNotNull())
-    return clean.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return clean.groupBy(*by, v.alias("_v")).agg(job_count(clean).alias("_n"))
 
 
 def exact_stats(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins as B
 from ..functions.quantiles import exact_stats, stats_of_counts, value_counts
+from ..functions.weights import WEIGHT, job_count
 from .measures import active_periods, dense_grid, period_column, with_activity_totals
 
 # The statistics of a trend chart.
@@ -59,7 +60,7 @@ def fine_histogram(df: DataFrame, value: str, bins: B.Bins, dim: str | None = No
 def stacked_bins(df: DataFrame, value: str, grain: str, bins: B.Bins, base: str = "Start") -> DataFrame:
     """Percent of jobs per bin in each period; jobs outside all bins do not count, a period without any gives null."""
     rows = df.withColumn("period", period_column(base, grain)).where(F.col("period").isNotNull())
-    return _stack(rows.withColumn("bin", B.bin_index(value, bins)), ["period"], bins)
+    return _stack(rows.withColumn("bin", B.bin_index(value, bins)), ["period"], bins, WEIGHT if WEIGHT in df.columns else None)
 
 
 def job_duration_stacked(df: DataFrame, grain: str = "month") -> DataFrame:
@@ -144,12 +145,12 @@ def active_users_histogram(df: DataFrame, grain: str = "month") -> DataFrame:
 
 
 def jobs_histogram(df: DataFrame, grain: str = "month") -> DataFrame:
-    return period_distribution(df, grain, F.count(F.lit(1)))
+    return period_distribution(df, grain, job_count(df))
 
 
 def jobs_per_user_histogram(df: DataFrame) -> DataFrame:
     """Equal-width histogram of jobs per user, with the square root of the number of users as bins, from 10 to 30."""
-    per_user = df.where(F.col("User").isNotNull()).groupBy("User").agg(F.count(F.lit(1)).alias("value"))
+    per_user = df.where(F.col("User").isNotNull()).groupBy("User").agg(job_count(df).alias("value"))
     n_bins = F.least(F.lit(30), F.greatest(F.lit(10), F.ceil(F.sqrt(F.count(F.lit(1)))).cast("int")))
     shown = B.equal_width(per_user, "value", n_bins)
     label = F.concat(F.col("lower").cast("long").cast("string"), F.lit("-"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_stats
 from ..functions.time import period_start
+from ..functions.weights import job_count
 from .topn import top_n, top_n_others
 
 
@@ -23,7 +24,7 @@ def period_column(base: str, grain: str, week_anchor: str = "monday") -> Column:
 
 def summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("jobs"), F.coalesce(F.sum("CPUHours"), F.lit(0.0)).alias("cpu_hours"),
+        F.coalesce(job_count(df), F.lit(0)).alias("jobs"), F.coalesce(F.sum("CPUHours"), F.lit(0.0)).alias("cpu_hours"),
         F.coalesce(F.sum("GPUHours"), F.lit(0.0)).alias("gpu_hours"), F.count_distinct("User").alias("users"))
 
 
@@ -37,9 +38,9 @@ def cluster_stats(df: DataFrame) -> DataFrame:
 
 # Timelines -----------------------------------------------------------------------------------------
 
-def _aggregate(agg: str, value: str | None) -> Column:
+def _aggregate(agg: str, value: str | None, df: DataFrame) -> Column:
     if agg == "count":
-        return F.count(F.lit(1))
+        return job_count(df)
     return {"sum": F.sum, "mean": F.avg, "nunique": F.count_distinct}[agg](value)
 
 
@@ -57,9 +58,9 @@ def timeline(df: DataFrame, value: str | None, grain: str, agg: str, base: str =
     if positive:
         df = df.where(F.col(value) > 0)
     if not color_by:
-        return df.groupBy("period").agg(_aggregate(agg, value).alias("value"))
+        return df.groupBy("period").agg(_aggregate(agg, value, df).alias("value"))
     long = df.where(F.col(color_by).isNotNull()).groupBy("period", F.col(color_by).alias("series")) \
-        .agg(_aggregate(agg, value).alias("value"))
+        .agg(_aggregate(agg, value, df).alias("value"))
     return dense_grid(long) if dense else long
 
 
@@ -132,12 +133,12 @@ def _totals(df: DataFrame, dim: str, metric: Column) -> DataFrame:
 
 def by_dimension(df: DataFrame, dim: str, metric: str = "count", top: int = 10) -> DataFrame:
     """Jobs, CPU-hours or GPU-hours per group: the top groups and one row for the others."""
-    measure = F.count(F.lit(1)) if metric == "count" else F.sum(metric)
+    measure = job_count(df) if metric == "count" else F.sum(metric)
     return top_n_others(_totals(df, dim, measure), top)
 
 
 def jobs_by(df: DataFrame, dim: str, top: int | None = 10) -> DataFrame:
-    totals = _totals(df, dim, F.count(F.lit(1)))
+    totals = _totals(df, dim, job_count(df))
     return totals.orderBy(F.desc("value"), "label") if top is None else top_n(totals, top)
 
 
@@ -203,7 +204,7 @@ def hours_by_group(df: DataFrame, value: str, dim: str, positive: bool = False,
 def resources_per_job(df: DataFrame, column: str, positive: bool = True, limit: int | None = 20) -> DataFrame:
     """How many jobs use each number of CPUs, GPUs or nodes: the ``limit`` smallest numbers."""
     rows = df.where(F.col(column) > 0) if positive else df.where(F.col(column).isNotNull())
-    counts = rows.groupBy(F.col(column).alias("units")).agg(F.count(F.lit(1)).alias("jobs")).orderBy("units")
+    counts = rows.groupBy(F.col(column).alias("units")).agg(job_count(df).alias("jobs")).orderBy("units")
     return counts.limit(limit) if limit else counts
 
 

@@ -1,4 +1,4 @@
-"""All charts of the dashboard for one filter."""
+"""All charts of the dashboard for one filter, from one reduced table."""
 
 from __future__ import annotations
 
@@ -6,72 +6,136 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.time import data_range_hours, range_hours
+from ..functions.weights import WEIGHT
 from ..operators import histograms as H
 from ..operators import measures as M
 from ..operators.filters import filter_jobs
 from ..operators.metadata import date_range, dimension_values
 from ..operators.nodes import node_usage
+from ..session import file_system, scratch_path
 
 # The columns that the charts read; everything else is pruned from the scan.
 CHART_COLUMNS = [
-    "Submit", "User", "Account", "Partition", "QOS", "State", "CPUs", "GPUs", "Nodes", "NodeList", "CPUHours",
+    "cluster", "Submit", "User", "Account", "Partition", "QOS", "State", "CPUs", "GPUs", "Nodes", "NodeList", "CPUHours",
     "GPUHours", "WaitingTimeHours", "ElapsedHours", "SubmitDay", "SubmitWeek", "SubmitMonth", "SubmitYear",
     "StartDay", "StartWeek", "StartMonth", "StartYear"]
 
 
+def _key_sets(grain: str, color_by: str | None) -> dict[str, list[str]]:
+    """The keys by which jobs are counted and hours summed; each chart reads one of these sets."""
+    color = [color_by] if color_by else []
+    sets = {
+        "submitted": [f"Submit{grain.capitalize()}", *color, "User"], "started": [f"Start{grain.capitalize()}", *color, "User"],
+        "partition": ["Partition"], "state": ["State"], "cpus": ["CPUs"], "gpus": ["GPUs"], "nodes": ["Nodes"],
+        "waiting": [f"Start{grain.capitalize()}", "WaitingTimeHours"], "duration": [f"Start{grain.capitalize()}", "ElapsedHours"],
+        "lists": ["cluster", "NodeList", *color]}
+    return {name: list(dict.fromkeys(keys)) for name, keys in sets.items()}
+
+
+def reduce_jobs(jobs: DataFrame, sets: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """One table per set of keys, all filled by a single pass over ``jobs``.
+
+    The columns are named as those of jobs, so that operators on jobs take a reduced table too: hours are sums, and ``_jobs`` tells how many jobs a
+    row stands for. The tables lie in the shared folder until the session ends.
+    """
+    keys = list(dict.fromkeys(k for s in sets.values() for k in s))
+    ran = F.when(F.col("ElapsedHours") > 0, F.col("ElapsedHours"))
+    measures = [
+        F.count(F.lit(1)).alias(WEIGHT), F.sum("CPUHours").alias("CPUHours"), F.sum("GPUHours").alias("GPUHours"),
+        F.sum("_w").alias("_waited"), F.count("_w").alias("_waits"), F.sum("_r").alias("_ran"), F.count("_r").alias("_runs"),
+        F.min("Submit").alias("_first"), F.max("Submit").alias("_last")]
+    number = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for name, s in sets.items()}
+    given = jobs.withColumns({"_w": F.col("WaitingTimeHours"), "_r": ran})
+    cube = given.groupingSets([[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_set"), *measures)
+    spark = jobs.sparkSession
+    path = scratch_path(spark, "dashboard")
+    cube.write.partitionBy("_set").parquet(path)
+    fs, folder = file_system(spark, path)
+    fs.deleteOnExit(folder)
+    stored = spark.read.schema(cube.schema).parquet(path)
+    own = [c for c in cube.columns if c not in keys and c != "_set"]
+    return {name: stored.where(F.col("_set") == number[name]).select(*s, *own) for name, s in sets.items()}
+
+
+def _mean_over_time(submitted: DataFrame, grain: str, total: str, n: str) -> DataFrame:
+    rows = submitted.withColumn("period", M.period_column("Submit", grain)).where(F.col("period").isNotNull())
+    return rows.groupBy("period").agg((F.sum(total) / F.nullif(F.sum(n), F.lit(0))).alias("value")).where(F.col("value").isNotNull())
+
+
 def dashboard(jobs: DataFrame, grain: str = "month", color_by: str | None = None, persist: bool = False,
-              charts: Sequence[str] | None = None, **filters) -> dict[str, DataFrame]:
-    """One lazy table per chart over the same filtered jobs; ``charts`` names those wanted.
+              charts: Sequence[str] | None = None, start=None, end=None, **filters) -> dict[str, DataFrame]:
+    """One table per chart over the same filtered jobs; ``charts`` names those wanted.
 
-    ``persist`` keeps the filtered columns on the executors, which pays when many charts are computed; the caller
-    releases them through ``result['jobs'].unpersist()``.
+    The jobs are read once, when this is called: they are reduced by all sets of keys that the wanted charts need, and charts are lazy queries on the
+    result. Grouped timelines have every series at every period. ``total_hours`` are those of the range of days, or else of the data. Node usage
+    is told by cluster. ``persist`` keeps the filtered jobs on the executors, for raw rows beside the charts; the caller releases them
+    through ``result['jobs'].unpersist()``.
     """
-    df = filter_jobs(jobs, **filters).select(*CHART_COLUMNS)
+    df = filter_jobs(jobs, start=start, end=end, **filters).select(*[c for c in CHART_COLUMNS if c in jobs.columns])
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    dense = {"dense": True} if color_by else {}
+    by_cluster = "cluster" in df.columns
+
+    def hours(t: DataFrame) -> DataFrame:
+        given = range_hours(start, end) if start is not None and end is not None else None
+        ends = t.agg(F.min("_first").alias("a"), F.max("_last").alias("b"))
+        spread = ends.select(F.explode(F.array("a", "b")).alias("t")).agg(data_range_hours("t").alias("total_hours"))
+        return spread if given is None else spread.select(given.alias("total_hours"))
+
     build = {
-        "summary": lambda: M.summary(df),
-        "cpu_usage_over_time": lambda: M.cpu_usage_over_time(df, grain, color_by),
-        "gpu_usage_over_time": lambda: M.gpu_usage_over_time(df, grain, color_by),
-        "active_users_over_time": lambda: M.active_users_over_time(df, grain, color_by),
-        "jobs_over_time": lambda: M.jobs_over_time(df, grain, color_by),
-        "waiting_times_over_time": lambda: M.waiting_times_over_time(df, grain),
-        "job_duration_over_time": lambda: M.job_duration_over_time(df, grain),
-        "jobs_by_partition": lambda: M.jobs_by(df, "Partition"),
-        "jobs_by_state": lambda: M.jobs_by(df, "State", None),
-        "waiting_times_hist": lambda: H.value_histogram(df, "WaitingTimeHours"),
-        "job_duration_hist": lambda: H.value_histogram(df, "ElapsedHours", positive=True),
-        "job_duration_stacked": lambda: H.job_duration_stacked(df, grain),
-        "waiting_times_stacked": lambda: H.waiting_times_stacked(df, grain),
-        "waiting_times_trends": lambda: H.trends(df, "WaitingTimeHours", grain),
-        "job_duration_trends": lambda: H.trends(df, "ElapsedHours", grain, positive=True),
-        "cpus_per_job": lambda: M.resources_per_job(df, "CPUs", positive=False),
-        "gpus_per_job": lambda: M.resources_per_job(df, "GPUs"),
-        "nodes_per_job": lambda: M.resources_per_job(df, "Nodes"),
-        "node_usage": lambda: node_usage(df, color_by),
+        "summary": ("submitted", M.summary),
+        "total_hours": ("submitted", hours),
+        "cpu_usage_over_time": ("started", lambda t: M.cpu_usage_over_time(t, grain, color_by, **dense)),
+        "gpu_usage_over_time": ("started", lambda t: M.gpu_usage_over_time(t, grain, color_by, **dense)),
+        "active_users_over_time": ("submitted", lambda t: M.active_users_over_time(t, grain, color_by, **dense)),
+        "jobs_over_time": ("submitted", lambda t: M.jobs_over_time(t, grain, color_by, **dense)),
+        "waiting_times_over_time": ("submitted", lambda t: _mean_over_time(t, grain, "_waited", "_waits")),
+        "job_duration_over_time": ("submitted", lambda t: _mean_over_time(t, grain, "_ran", "_runs")),
+        "jobs_by_partition": ("partition", lambda t: M.jobs_by(t, "Partition")),
+        "jobs_by_state": ("state", lambda t: M.jobs_by(t, "State", None)),
+        "waiting_times_hist": ("waiting", lambda t: H.value_histogram(t, "WaitingTimeHours")),
+        "job_duration_hist": ("duration", lambda t: H.value_histogram(t, "ElapsedHours", positive=True)),
+        "job_duration_stacked": ("duration", lambda t: H.job_duration_stacked(t, grain)),
+        "waiting_times_stacked": ("waiting", lambda t: H.waiting_times_stacked(t, grain)),
+        "waiting_times_trends": ("waiting", lambda t: H.trends(t, "WaitingTimeHours", grain)),
+        "job_duration_trends": ("duration", lambda t: H.trends(t, "ElapsedHours", grain, positive=True)),
+        "cpus_per_job": ("cpus", lambda t: M.resources_per_job(t, "CPUs", positive=False)),
+        "gpus_per_job": ("gpus", lambda t: M.resources_per_job(t, "GPUs")),
+        "nodes_per_job": ("nodes", lambda t: M.resources_per_job(t, "Nodes")),
+        "node_usage": ("lists", lambda t: node_usage(t, color_by, by_cluster=by_cluster).withColumn("total_hours", hours(t).scalar())),
     }
     if color_by:
         build |= {
-            "jobs_by_dimension": lambda: M.by_dimension(df, color_by),
-            "cpu_hours_by_dimension": lambda: M.by_dimension(df, color_by, "CPUHours"),
-            "gpu_hours_by_dimension": lambda: M.by_dimension(df, color_by, "GPUHours"),
-            "jobs_distribution": lambda: M.jobs_distribution(df, color_by),
+            "jobs_by_dimension": ("submitted", lambda t: M.by_dimension(t, color_by)),
+            "cpu_hours_by_dimension": ("submitted", lambda t: M.by_dimension(t, color_by, "CPUHours")),
+            "gpu_hours_by_dimension": ("submitted", lambda t: M.by_dimension(t, color_by, "GPUHours")),
+            "jobs_distribution": ("submitted", lambda t: M.jobs_distribution(t, color_by)),
         }
     else:
         build |= {
-            "jobs_per_user": lambda: H.jobs_per_user_histogram(df),
-            "cpu_hours_per_period": lambda: H.usage_histogram(df, "CPUHours", grain),
-            "gpu_hours_per_period": lambda: H.usage_histogram(df, "GPUHours", grain),
-            "jobs_distribution": lambda: H.jobs_histogram(df, grain),
+            "jobs_per_user": ("submitted", H.jobs_per_user_histogram),
+            "cpu_hours_per_period": ("started", lambda t: H.usage_histogram(t, "CPUHours", grain)),
+            "gpu_hours_per_period": ("started", lambda t: H.usage_histogram(t, "GPUHours", grain)),
+            "jobs_distribution": ("started", lambda t: H.jobs_histogram(t, grain)),
         }
-    users = {"Account": M.users_per_account, "User": lambda d: M.periods_per_user(d, grain)}.get(
-        color_by, lambda d: H.active_users_histogram(d, grain))
-    build["active_users_distribution"] = lambda: users(df)
+    build["active_users_distribution"] = {
+        "Account": ("submitted", M.users_per_account), "User": ("started", lambda t: M.periods_per_user(t, grain))}.get(
+        color_by, ("started", lambda t: H.active_users_histogram(t, grain)))
     grouped = color_by in ("User", "Account", "Partition", "QOS")
-    build["user_activity_frequency"] = lambda: (
-        M.activity_by_group(df, color_by, grain) if grouped else H.activity_histogram(df, grain))
-    return {"jobs": df} | {name: make() for name, make in build.items() if charts is None or name in charts}
+    build["user_activity_frequency"] = ("submitted", lambda t: (
+        M.activity_by_group(t, color_by, grain) if grouped else H.activity_histogram(t, grain)))
+
+    wanted = {name: part for name, part in build.items() if charts is None or name in charts}
+    sets = _key_sets(grain, color_by)
+    if not by_cluster:
+        sets["lists"].remove("cluster")
+    needed = {part[0] for part in wanted.values()}
+    tables = reduce_jobs(df, {name: keys for name, keys in sets.items() if name in needed}) if needed else {}
+    return {"jobs": df} | {name: make(tables[of]) for name, (of, make) in wanted.items()}
 
 
 def metadata(jobs: DataFrame, start=None, end=None) -> DataFrame:

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from jobmeter.operators import histograms as H
+from jobmeter.operators import measures as M
+from jobmeter.operators.filters import filter_jobs
 from jobmeter.plans import dashboard as P
 from jobmeter.plans import reports as R
 from jobmeter.plans.export import export_report
@@ -91,6 +94,42 @@ def test_dashboard(jobs, color_by):
         assert charts[name].count() > 0
 
 
+@pytest.mark.parametrize("color_by", [None, "Account", "User"])
+def test_charts_of_the_reduced_table_are_those_of_the_jobs(jobs, color_by):
+    filters = dict(start="1996-01-01", end="1997-12-31")
+    charts, df = P.dashboard(jobs, "year", color_by, **filters), filter_jobs(jobs, **filters)
+    dense = {"dense": True} if color_by else {}
+    want = {
+        "summary": M.summary(df), "cpu_usage_over_time": M.cpu_usage_over_time(df, "year", color_by, **dense),
+        "jobs_over_time": M.jobs_over_time(df, "year", color_by, **dense), "active_users_over_time": M.active_users_over_time(df, "year", color_by, **dense),
+        "waiting_times_over_time": M.waiting_times_over_time(df, "year"), "job_duration_over_time": M.job_duration_over_time(df, "year"),
+        "jobs_by_partition": M.jobs_by(df, "Partition"), "job_duration_hist": H.value_histogram(df, "ElapsedHours", positive=True),
+        "waiting_times_stacked": H.waiting_times_stacked(df, "year"), "job_duration_trends": H.trends(df, "ElapsedHours", "year", positive=True),
+        "gpus_per_job": M.resources_per_job(df, "GPUs")}
+    if color_by is None:
+        want |= {"jobs_per_user": H.jobs_per_user_histogram(df), "cpu_hours_per_period": H.usage_histogram(df, "CPUHours", "year"),
+                 "jobs_distribution": H.jobs_histogram(df, "year"), "active_users_distribution": H.active_users_histogram(df, "year"),
+                 "user_activity_frequency": H.activity_histogram(df, "year")}
+    else:
+        want |= {"jobs_by_dimension": M.by_dimension(df, color_by), "cpu_hours_by_dimension": M.by_dimension(df, color_by, "CPUHours"),
+                 "user_activity_frequency": M.activity_by_group(df, color_by, "year")}
+    plain = lambda df, columns: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows(df, *columns)), key=str)
+    for name, df in want.items():
+        assert plain(charts[name], df.columns) == plain(df, df.columns), name
+    assert charts["total_hours"].first()[0] == 731 * 24.0 and charts["node_usage"].first().total_hours == 731 * 24.0
+
+
+def test_charts_do_not_read_jobs_again(spark, jobs, tmp_path):
+    jobs.write.parquet(str(tmp_path / "jobs"))
+    charts = P.dashboard(spark.read.parquet(str(tmp_path / "jobs")), "month", "QOS")
+    for name, df in charts.items():
+        if name != "jobs":
+            assert str(tmp_path) not in " ".join(df.inputFiles()), name
+    # Without a range of days the hours are those of the data.
+    ends = jobs.selectExpr("min(Submit) as a", "max(Submit) as b").first()
+    assert charts["total_hours"].first()[0] == ((ends.b - ends.a).days + 1) * 24.0
+
+
 def test_persisted_dashboard_gives_the_same(jobs):
     some = dict(charts=["summary", "jobs_by_state"], users=["Customer#000000001", "Customer#000000002"])
     kept, plain = P.dashboard(jobs, persist=True, **some), P.dashboard(jobs, **some)
