@@ -179,7 +179,11 @@ UNION ALL SELECT 'summary', 'all', {_FOUR} FROM s
 UNION ALL SELECT 'previous_timeline', CAST(smonth AS VARCHAR), {_FOUR} FROM jobs
   WHERE submit >= DATE '1996-01-02' AND submit < DATE '1997-01-01' GROUP BY smonth""")
 def r06(c: Context):
-    r = R.report(c.jobs, "annual", 1997)
+    return report_lines(R.report(c.jobs, "annual", 1997))
+
+
+def report_lines(r: dict):
+    """The tables of a report as one long table."""
     none = F.lit(None)
     key = {"by_account": "Account", "by_partition": "Partition", "by_state": "State", "timeline": "date",
            "previous_timeline": "date", "summary": None}

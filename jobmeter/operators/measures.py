@@ -184,10 +184,10 @@ def activity_by_group(df: DataFrame, dim: str, grain: str = "day", top: int = 15
 
 
 def with_activity_totals(shown: DataFrame, df: DataFrame, grain: str) -> DataFrame:
-    period = df.select(period_column("Submit", grain).alias("period"))
-    total_periods = period.agg(F.count_distinct("period")).scalar()
-    total_users = df.agg(F.count_distinct("User")).scalar()
-    return shown.withColumns({"total_periods": total_periods, "total_users": total_users})
+    counts = df.select(period_column("Submit", grain).alias("period"), "User").agg(
+        F.count_distinct("period").alias("total_periods"), F.count_distinct("User").alias("total_users"))
+    totals = counts.select(F.struct("total_periods", "total_users")).scalar()
+    return shown.withColumn("_t", totals).select(*shown.columns, "_t.total_periods", "_t.total_users")
 
 
 def hours_by_group(df: DataFrame, value: str, dim: str, positive: bool = False, top: int = 15) -> DataFrame:

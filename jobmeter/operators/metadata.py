@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from ..functions.nodes import expand_nodelist
 from ..functions.text import partition_list
+from ..functions.weights import submit_bounds
 from ..schema import DIMENSIONS
 
 
 def date_range(df: DataFrame, by: Sequence[str] = ("cluster",)) -> DataFrame:
-    return df.groupBy(*by).agg(F.min("Submit").cast("date").alias("min_date"),
-                               F.max("Submit").cast("date").alias("max_date"))
+    first, last = submit_bounds(df)
+    return df.groupBy(*by).agg(first.cast("date").alias("min_date"), last.cast("date").alias("max_date"))
 
 
 def dimension_values(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import data_range_hours, range_hours
-from ..functions.weights import WEIGHT
 from ..operators import histograms as H
 from ..operators import measures as M
 from ..operators.filters import filter_jobs
 from ..operators.metadata import date_range, dimension_values
 from ..operators.nodes import node_usage
+from ..operators.reduce import MEASURES, reduce_by
 from ..session import file_system, scratch_path
+from ..sources.digests import read_digest
 
 # The columns that the charts read; everything else is pruned from the scan.
 CHART_COLUMNS = [
@@ -41,23 +42,14 @@ def reduce_jobs(jobs: DataFrame, sets: dict[str, list[str]]) -> dict[str, DataFr
     The columns are named as those of jobs, so that operators on jobs take a reduced table too: hours are sums, and ``_jobs`` tells how many jobs a
     row stands for. The tables lie in the shared folder until the session ends.
     """
-    keys = list(dict.fromkeys(k for s in sets.values() for k in s))
-    ran = F.when(F.col("ElapsedHours") > 0, F.col("ElapsedHours"))
-    measures = [
-        F.count(F.lit(1)).alias(WEIGHT), F.sum("CPUHours").alias("CPUHours"), F.sum("GPUHours").alias("GPUHours"),
-        F.sum("_w").alias("_waited"), F.count("_w").alias("_waits"), F.sum("_r").alias("_ran"), F.count("_r").alias("_runs"),
-        F.min("Submit").alias("_first"), F.max("Submit").alias("_last")]
-    number = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for name, s in sets.items()}
-    given = jobs.withColumns({"_w": F.col("WaitingTimeHours"), "_r": ran})
-    cube = given.groupingSets([[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_set"), *measures)
+    cube = reduce_by(jobs, sets)
     spark = jobs.sparkSession
     path = scratch_path(spark, "dashboard")
-    cube.write.partitionBy("_set").parquet(path)
+    cube.write.partitionBy("set").parquet(path)
     fs, folder = file_system(spark, path)
     fs.deleteOnExit(folder)
     stored = spark.read.schema(cube.schema).parquet(path)
-    own = [c for c in cube.columns if c not in keys and c != "_set"]
-    return {name: stored.where(F.col("_set") == number[name]).select(*s, *own) for name, s in sets.items()}
+    return {name: stored.where(F.col("set") == name).select(*keys, *MEASURES) for name, keys in sets.items()}
 
 
 def _mean_over_time(submitted: DataFrame, grain: str, total: str, n: str) -> DataFrame:
@@ -140,9 +132,17 @@ def dashboard(jobs: DataFrame, grain: str = "month", color_by: str | None = None
 
 def metadata(jobs: DataFrame, start=None, end=None) -> DataFrame:
     """Per cluster: dimension values of a range of days as sorted arrays, and the first and last day of all data."""
-    values = dimension_values(filter_jobs(jobs, start=start, end=end), by=["cluster"])
-    return values.join(date_range(jobs), "cluster", "right").select(
-        "cluster", "min_date", "max_date", "dimension", "value")
+    return _metadata(filter_jobs(jobs, start=start, end=end), jobs)
+
+
+def digest_metadata(spark: SparkSession, digests: str, start=None, end=None) -> DataFrame:
+    """``metadata`` from the digests of a store; the range is one of whole months."""
+    return _metadata(read_digest(spark, digests, "groups", start, end), read_digest(spark, digests, "groups"))
+
+
+def _metadata(in_range: DataFrame, everything: DataFrame) -> DataFrame:
+    values = dimension_values(in_range, by=["cluster"])
+    return values.join(date_range(everything), "cluster", "right").select("cluster", "min_date", "max_date", "dimension", "value")
 
 
 def filter_rows(jobs: DataFrame, columns: Sequence[str] | None = None, **filters) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from ..operators.cleaning import keep_last
 from ..operators.filters import submit_between
 from ..schema import JOBS
 from ..session import file_system, staged
+from .digests import write_digests
 
 STORE_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 ROW_KEYS = ["cluster", "SubmitYear", "JobID"]
@@ -59,13 +60,14 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return condition
 
 
-def upsert_jobs(new: DataFrame, path: str) -> DataFrame:
+def upsert_jobs(new: DataFrame, path: str, digests: str | None = None) -> DataFrame:
     """Merge canonical jobs into the store; a job's record in the batch replaces those stored for its cluster and year.
 
     A stored record stays only where both name their order and its ``ingest_seq`` is higher: a late load of older records. Within
     the batch the highest ``ingest_seq`` counts, then the last ``arrival``, which the readers add. Stored rows are not sorted or grouped again.
     Months that hold neither a new job nor an older record of one are not touched. The merged rows go to the shared folder first, because a
-    partition cannot be overwritten by a plan that reads it. Returns the months rewritten.
+    partition cannot be overwritten by a plan that reads it. Returns the months rewritten. The digests kept at ``digests`` follow; should the run end in between, the
+    same batch sets both right.
     """
     spark = new.sparkSession
     given = new.select(*JOBS.fieldNames(), *[c for c in ("arrival",) if c in new.columns])
@@ -83,10 +85,19 @@ def upsert_jobs(new: DataFrame, path: str) -> DataFrame:
             merged = stored.join(newer, _same(stored, newer), "left_anti").unionByName(newer)
         with staged(merged, "merged") as result:
             write_store(result, path)
-            drop_partitions(spark, path, touched - _partitions(result))
+            emptied = touched - _partitions(result)
+            drop_partitions(spark, path, emptied)
+            if digests:
+                write_digests(result, digests)
+                drop_partitions(spark, digests, emptied)
     return read_store(spark, path).where(_within(touched, 3))
 
 
+def build_digests(spark: SparkSession, path: str, digests: str) -> None:
+    """Digests of everything in the store, for one that has had none; upserts keep them from then on."""
+    write_digests(read_store(spark, path), digests)
+
+
 def compact(spark: SparkSession, source: DataFrame, path: str) -> DataFrame:
     """Merge many small loads into the store, one partition per cluster and year of Submit."""
     return upsert_jobs(source, path)
@@ -120,8 +131,8 @@ def retention_plan(jobs: DataFrame, keep_months: int, as_of) -> DataFrame:
         F.count(F.lit(1)).alias("jobs"), F.sum("CPUHours").alias("cpu_hours"))
 
 
-def apply_retention(spark: SparkSession, path: str, keep_months: int, as_of) -> DataFrame:
-    """Drop old jobs from the store: months before the cutoff go as folders, the cutoff month is rewritten."""
+def apply_retention(spark: SparkSession, path: str, keep_months: int, as_of, digests: str | None = None) -> DataFrame:
+    """Drop old jobs from the store, and from its digests: months before the cutoff go as folders, the cutoff month is rewritten."""
     cutoff = dt.date.fromisoformat(str(as_of)) - dt.timedelta(days=keep_months * 30)
     first = cutoff.replace(day=1)
     store = read_store(spark, path)
@@ -129,7 +140,11 @@ def apply_retention(spark: SparkSession, path: str, keep_months: int, as_of) ->
     edge = store.where((F.col("SubmitMonth") == F.lit(first)) & (F.col("Submit") >= F.lit(cutoff)))
     with staged(edge, "retained") as kept:
         write_store(kept, path)
-        drop_partitions(spark, path, old - _partitions(kept))
+        gone = old - _partitions(kept)
+        drop_partitions(spark, path, gone)
+        if digests:
+            write_digests(kept, digests)
+            drop_partitions(spark, digests, gone)
     return read_store(spark, path)
 
 

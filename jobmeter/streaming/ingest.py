@@ -20,10 +20,10 @@ def record_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str | None = None,
-                 audit: str | None = None, once: bool = False) -> StreamingQuery:
+                 audit: str | None = None, once: bool = False, digests: str | None = None) -> StreamingQuery:
     """Merge each micro-batch into the store; its records replace stored ones of the same jobs.
 
-    ``audit`` is a folder that gets one row per batch and cluster: (cluster, ingest_ts, n_jobs).
+    ``audit`` is a folder that gets one row per batch and cluster: (cluster, ingest_ts, n_jobs). ``digests`` names the digests of the store, if any.
 
     Arrival decides, so a new checkpoint, whose batches count from 0 again, does no harm; only records that bring their own
     ``ingest_seq`` give way to stored ones with a higher one. A repeated batch leaves the store as it is.
@@ -35,7 +35,7 @@ def start_ingest(stream: DataFrame, store: str, checkpoint: str, cluster: str |
             place = F.coalesce("arrival.place", F.monotonically_increasing_id())
             rows = rows.withColumn("arrival", F.col("arrival").withField("place", place))
         jobs = normalize_records(rows, cluster)
-        upsert_jobs(jobs, store)
+        upsert_jobs(jobs, store, digests)
         if audit:
             sizes = jobs.groupBy("cluster").agg(F.current_timestamp().alias("ingest_ts"), F.count(F.lit(1)).alias("n_jobs"))
             sizes.write.mode("overwrite").parquet(f"{audit}/batch={batch_id}")
