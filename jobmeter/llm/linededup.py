@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobmeter.llm.common import components, cut, map_groups, map_rows, only_slots, shared_slots
+from jobmeter.session import staged
 
 MIN_TOKENS = 8
 DEPTH = 3
@@ -76,37 +77,23 @@ def masked(line: Column) -> Column:
     return _variable(squeezed(line))
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(masked(line))
-
-
-def _hashed(lines: Column, min_tokens: int, short_lines: bool) -> Column:
-    """``line, hash`` of an array of lines; step by step, as nothing is worked out once only within one lambda."""
-    if not short_lines:
-        return F.transform(lines, lambda x: F.struct(x.alias("line"), line_hash(x).alias("hash")))
-    step = F.transform(lines, lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(_SPACE)).alias("bare")))
-    step = F.transform(step, lambda x: F.struct(x["line"].alias("line"), _tight(x["bare"]).alias("bare")))
-    step = F.transform(step, lambda x: F.struct(x["line"].alias("line"), _parted(x["bare"]).alias("bare")))
-    step = F.transform(step, lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), _variable(x["bare"]).alias("masked")))
-    return F.transform(step, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(_told(x["bare"], x["masked"], min_tokens)).alias("hash")))
-
-
 def _n_tokens(line: Column) -> Column:
     """Tokens of a squeezed line, without splitting it."""
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(docs: DataFrame, min_tokens: int, depth: int, short_lines: bool) -> DataFrame:
-    """``doc, line, node`` of the lines that go into the tree; a short line has a node of its own."""
+    """``doc, line, node, raw`` of the lines that go into the tree, ``raw`` the hash of the line as it stands; a short line has a node of its own."""
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    rows = rows.select("doc", "line", F.xxhash64("line").alias("raw"))
     leading = F.xxhash64(_n_tokens(F.col("line")), F.substring_index("line", " ", depth))
     if not short_lines:
-        rows = rows.where(_n_tokens(squeezed(F.col("line"))) >= min_tokens).select("doc", masked(F.col("line")).alias("line"))
-        return rows.select("doc", "line", leading.alias("node"))
-    rows = rows.select("doc", squeezed(F.col("line")).alias("bare")).where("bare != ''").select("doc", _parted(F.col("bare")).alias("bare"))
-    rows = rows.select("doc", "bare", _variable(F.col("bare")).alias("line")).select("doc", _told(F.col("bare"), F.col("line"), min_tokens).alias("line"))
+        rows = rows.where(_n_tokens(squeezed(F.col("line"))) >= min_tokens).select("doc", masked(F.col("line")).alias("line"), "raw")
+        return rows.select("doc", "line", leading.alias("node"), "raw")
+    rows = rows.select("doc", "raw", squeezed(F.col("line")).alias("bare")).where("bare != ''").select("doc", "raw", _parted(F.col("bare")).alias("bare"))
+    rows = rows.select("doc", "raw", "bare", _variable(F.col("bare")).alias("line")).select("doc", "raw", _told(F.col("bare"), F.col("line"), min_tokens).alias("line"))
     short = _n_tokens(F.col("line")) < min_tokens
-    return rows.select("doc", "line", F.when(short, F.xxhash64("line")).otherwise(leading).alias("node"))
+    return rows.select("doc", "line", F.when(short, F.xxhash64("line")).otherwise(leading).alias("node"), "raw")
 
 
 def stretches(tokens: list[str], similar: int) -> list[tuple]:
@@ -293,13 +280,14 @@ def templates(lines: DataFrame, similar: int = SIMILAR, depth: int = DEPTH, node
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, similar: int = SIMILAR, depth: int = DEPTH,
                     bits: int = TABLE_BITS, node_lines: int = NODE_LINES, short_lines: bool = False) -> DataFrame:
-    """``doc, drop``: for each document that loses lines, the hashes of those."""
-    lines = _lines(docs.select("doc_id", "text"), min_tokens, depth, short_lines)
-    shared = cut(only_slots(lines, "node", shared_slots(lines.select("doc", "node"), "node", "doc", bits)), "shared-lines")
-    found = templates(shared, similar, depth, node_lines).where("first_doc != last_doc").select("line_hash", "first_doc")
-    places = shared.select("doc", F.xxhash64("line").alias("line_hash"))
+    """``doc, drop``: for each document that loses lines, the hashes of those as they stand in the text."""
+    # Lines are normalised once; the copy goes when the shared ones are known.
+    with staged(_lines(docs.select("doc_id", "text"), min_tokens, depth, short_lines), "lines") as lines:
+        shared = cut(only_slots(lines, "node", shared_slots(lines.select("doc", "node"), "node", "doc", bits)), "shared-lines")
+    found = templates(shared.drop("raw"), similar, depth, node_lines).where("first_doc != last_doc").select("line_hash", "first_doc")
+    places = shared.select("doc", F.xxhash64("line").alias("line_hash"), "raw")
     dropped = places.join(found, "line_hash").where(F.col("doc") != F.col("first_doc"))
-    return dropped.groupBy("doc").agg(F.collect_set("line_hash").alias("drop"))
+    return dropped.groupBy("doc").agg(F.collect_set("raw").alias("drop"))
 
 
 def drop_recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, short_lines: bool = False, **options) -> DataFrame:
@@ -307,7 +295,7 @@ def drop_recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, short_lines: b
     drop = recurring_lines(docs, min_tokens, short_lines=short_lines, **options).select(F.col("doc").alias("_llm_doc"), F.col("drop").alias("_llm_drop"))
     joined = docs.join(drop.hint("shuffle_hash"), F.coalesce(F.col("doc_id"), F.lit(_LOWEST)) == F.col("_llm_doc"), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(_hashed(lines, min_tokens, short_lines), lambda x: ~F.array_contains("_llm_drop", x["hash"]))["line"]
+    kept = F.filter(lines, lambda x: ~F.array_contains("_llm_drop", F.xxhash64(x)))
     text = F.when(F.col("_llm_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_kept = F.when(F.col("_llm_drop").isNull(), n_lines).otherwise(F.size(kept).cast("long"))
