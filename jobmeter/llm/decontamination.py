@@ -27,6 +27,8 @@ WINDOW = 13
 #: UTF-8 bytes of benchmark text handled in one pass.
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 2_000_000
+#: Pairs of a place in a text and one in the benchmark that are held at once.
+PAIRS = 1_000_000
 _FILTER_BITS = 22
 _WORDS, _MATCHES = "_llm_n_words", "_llm_matches"
 _MATCH = "array<struct<item_id:bigint,doc_word:bigint,item_word:bigint,n_words:bigint>>"
@@ -39,6 +41,26 @@ def fold_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def _diagonals(hits: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Rows (item, lag, place, run, length): windows found at following places of a text and of an item, as runs of ``run`` windows.
+
+    ``hits`` has rows (place, first owner, number of owners, words of the window), ``owners`` rows (item, place in the item).
+    """
+    place, first, k, length = hits.T
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+    item, place, length = owners[at, 0], np.repeat(place, k), np.repeat(length, k)
+    return _joined(np.column_stack([item, place - owners[at, 1], place, np.ones(len(at), np.int64), length]))
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Runs of :func:`_diagonals` that follow each other, as one."""
+    item, lag, place, run, length = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))].T
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (lag[1:] != lag[:-1]) | (place[1:] != place[:-1] + run[:-1])
+    head = np.flatnonzero(new)
+    return np.column_stack([item[head], lag[head], place[head], np.add.reduceat(run, head), length[head]])
+
+
 class Vocabulary(dict):
     """Numbers of the benchmark's words from 1; any other word is 0."""
 
@@ -114,28 +136,26 @@ class BenchmarkBlock:
         keys = np.ascontiguousarray(rows).view(f"S{4 * self.window}").ravel()
         order = np.argsort(keys, kind="stable")
         keys, places = keys[order], places[order]
-        found = []
+        hits, tables, base = [], [], 0
         for length, low, high, owners, own in self.groups:
             first, last = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
-            hits = np.flatnonzero(last > first)
-            if not len(hits):
-                continue
-            n = (last - first)[hits]
-            window = np.repeat(hits, n)
-            place = places[np.repeat(first[hits] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            k = (own[1:] - own[:-1])[window]
-            owner = owners[np.repeat(own[window] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
-            found.append(np.column_stack([owner[:, 0], np.repeat(place, k) - owner[:, 1], np.repeat(place, k), np.full(k.sum(), length)]))
-        if not found:
+            met = np.flatnonzero(last > first)
+            n = (last - first)[met]
+            window = np.repeat(met, n)
+            place = places[np.repeat(first[met] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            hits.append(np.column_stack([place, base + own[:-1][window], (own[1:] - own[:-1])[window], np.full(len(window), length)]))
+            tables.append(owners)
+            base += len(owners)
+        hits = np.concatenate(hits)
+        if not len(hits):
             return {}
-        item, lag, place, length = np.concatenate(found).T
-        order = np.lexsort((place, lag, item))
-        item, lag, place, length = item[order], lag[order], place[order], length[order]
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (lag[1:] != lag[:-1]) | (place[1:] != place[:-1] + 1)
-        head = np.flatnonzero(new)
-        run = np.diff(np.append(head, len(item)))
-        item, lag, place, length = item[head], lag[head], place[head], length[head] + run - 1
+        hits, owners = hits[np.argsort(hits[:, 0], kind="stable")], np.concatenate(tables)
+        # A window may have many owners, and a text may repeat it, so only so many pairs of both are held at once.
+        batch = np.cumsum(hits[:, 2]) // PAIRS
+        cuts = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(hits)]
+        parts = [_diagonals(hits[a:b], owners) for a, b in zip(cuts, cuts[1:])]
+        item, lag, place, run, length = (parts[0] if len(parts) == 1 else _joined(np.concatenate(parts))).T
+        length = length + run - 1
         doc = np.searchsorted(starts, place, "right") - 1
         out: dict[int, list[tuple]] = {}
         for d, i, p, g, n in zip(doc.tolist(), item.tolist(), (place - starts[doc]).tolist(), (place - lag).tolist(), length.tolist()):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -61,6 +62,27 @@ def test_short_items_ties_and_blocks(spark, monkeypatch, block_bytes):
     assert got == brute(docs, items)
 
 
+@pytest.mark.parametrize("pairs", [1, 40, 1000])
+def test_pairs_are_taken_in_turns(monkeypatch, pairs):
+    docs, items = made_up(3)
+    block = D.BenchmarkBlock([(i, D.fold_words((t or "").encode())) for i, t in items], 13)
+    texts = [t.encode() for _, t in docs]
+    whole = block.annotate(texts)
+    assert sum(map(len, whole[1])) > 500
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    assert [sorted(x, key=str) for x in block.annotate(texts)[1]] == [sorted(x, key=str) for x in whole[1]]
+
+
+def test_repetitive_texts_in_bounded_memory():
+    n = 6000
+    block = D.BenchmarkBlock([(1, [b"a"] * n)], 13)
+    tracemalloc.start()
+    words, (found,) = block.annotate([b"a " * n])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == [n] and len(found) == 2 * (n - 12) - 1 and (1, 0, 0, n) in found and peak < 500 << 20
+
+
 def test_matches_are_longest_and_have_places(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(5, 25)) + " y")], "doc_id long, text string")
     items = spark.createDataFrame([(7, " ".join(f"W{i}," for i in range(30)))], "item_id long, text string")
