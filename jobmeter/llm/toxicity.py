@@ -114,12 +114,15 @@ class Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """``text, toxic`` of at most ``size`` labelled documents that may be learned from."""
+    """``text, toxic`` of at most ``size`` labelled documents that may be learned from, one row for an id; of several texts of an id one is taken."""
     given = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(is_train(F.col("doc_id")) & F.col("toxic").isNotNull())
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # Labels without a document teach nothing, so they must not take a place in the sample.
+    given = given.join(docs.select(F.col("doc_id").cast(dict(labels.dtypes)["doc_id"]).alias("doc_id")).distinct(), "doc_id", "left_semi")
     # `size` ids and labels at most, so small enough for each executor.
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:

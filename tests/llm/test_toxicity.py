@@ -15,6 +15,27 @@ def test_held_out_accuracy(spark):
     assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
 
 
+def labelled(spark, copies=1):
+    """100 documents, half of them with an insult, some of their ids repeated with other texts."""
+    rows = [(i, f"you are a zorgon number {i} {k}" if i % 2 else f"what a fine day number {i} {k} it is") for i in range(100) for k in range(copies if i < 10 else 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_labels_without_documents_take_no_place(spark):
+    docs = labelled(spark)
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    assert T.sample_labelled(docs, labels, 1000).count() == docs.where("crc32(cast(doc_id as string)) % 5 != 0").count() > 60
+    model = T.learn(docs, labels, sample=1000)
+    assert model == T.learn(docs, labels.where("doc_id < 100")) and model.weights
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    docs = labelled(spark, copies=500)
+    labels = spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    assert T.sample_labelled(docs, labels, 5).count() == 5
+    assert len(T.score_documents(docs, labels).collect()) == docs.count()
+
+
 def test_folding():
     fold = T.folder()
     assert fold("ІD1ОТ, tr@$h! ｆｏｏ​bar").split() == ["idiot", "trash", "foobar"]
