@@ -325,7 +325,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     found = map_rows(given, make, "doc_id long, class long, text binary")
     joined = found.join(wanted, (F.col("class") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    return joined.select(F.col("label").alias("group"), "class", "text")
+    # Rows without id, or with one id, may have the class more than once.
+    return joined.select(F.col("label").alias("group"), "class", "text").dropDuplicates(["class"])
 
 
 def find_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

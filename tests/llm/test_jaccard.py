@@ -98,6 +98,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert jaccard.keep_one_of_each(no_docs).count() == 0
 
 
+def test_copies_without_id_meet_as_one(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = spark.range(5000).selectExpr("cast(null as long) as doc_id", f"'{base}' as text").unionByName(
+        spark.createDataFrame([(4, base + " more"), (None, base + " less")], "doc_id long, text string"))
+    wanted = spark.createDataFrame([(c, 1, None) for c in [r[0] for r in jaccard.sketches(docs, 5, 80, jaccard.word_counts(docs)).select("class").distinct().collect()]],
+                                   "node long, label long, rep long")
+    texts = jaccard._texts(docs, wanted, 5)
+    assert texts.count() == texts.select("class").distinct().count() == 2  # the one with an id is not named by it here
+    got = {(r.doc_id, r.component_id) for r in jaccard.similarity_components(docs).collect()}
+    assert got == {(None, 4), (4, 4)}
+
+
 def test_rows_are_dropped_by_id_and_text(spark):
     one, two, clean, alone = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
     rows = [(1, one), (2, one + " more"), (2, clean), (None, one), (None, alone), (None, alone + " more"), (3, two), (3, two + " more"), (None, "")]
