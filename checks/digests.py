@@ -82,6 +82,25 @@ def a10_days(c: Context):
     return M.active_users_over_time(G.read_digest(c.spark, stored(c)[1], "days", "1996-03-15", "1998-05-20"), "week")
 
 
+@query("s13_diff_stores", """
+SELECT cluster, CASE WHEN k % 12 = 5 THEN jobid || 'n' ELSE jobid END AS "JobID",
+  CASE WHEN k % 12 = 5 THEN 'new' WHEN k % 12 = 7 THEN 'deleted' ELSE 'modified' END AS change FROM jobs
+WHERE k % 12 IN (5, 7, 9) AND smonth = DATE '1997-03-01'
+UNION ALL SELECT cluster, jobid, 'deleted' FROM jobs WHERE k % 12 = 5 AND smonth = DATE '1997-03-01'""")
+def s13_stores(c: Context):
+    """Two stores that differ in one month: its jobs only are read."""
+    store, digests = stored(c)
+    other, other_digests = c.scratch("store"), c.scratch("digests")
+    table = O.read_store(c.spark, store)
+    march = F.col("SubmitMonth") == F.lit("1997-03-01").cast("date")
+    new = table.where(~(march & (c.key % 12 == 7))).withColumns({
+        "State": F.when(march & (c.key % 12 == 9), "TIMEOUT").otherwise(F.col("State")),
+        "JobID": F.when(march & (c.key % 12 == 5), F.concat("JobID", F.lit("n"))).otherwise(F.col("JobID"))})
+    O.write_store(new, other)
+    O.build_digests(c.spark, other, other_digests)
+    return O.diff_stores(c.spark, store, digests, other, other_digests)
+
+
 @twin("h01_job_duration_hist")
 def h01_duration(read, c):
     return H.value_histogram(read("duration"), "ElapsedHours", positive=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import WEIGHT
@@ -14,10 +14,11 @@ from ..functions.weights import WEIGHT
 MEASURES = [WEIGHT, "CPUHours", "GPUHours", "_waited", "_waits", "_ran", "_runs", "_first", "_last"]
 
 
-def reduce_by(jobs: DataFrame, sets: Mapping[str, Sequence[str]], always: Sequence[str] = ()) -> DataFrame:
+def reduce_by(jobs: DataFrame, sets: Mapping[str, Sequence[str]], always: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """One row per set of keys (named in ``set``) and values of its keys and of ``always``; keys of other sets are null.
 
-    Columns are named as those of jobs, so operators on jobs take the rows of a set instead. Every task reduces its jobs before the one shuffle.
+    Columns are named as those of jobs, so operators on jobs take the rows of a set instead. ``extra`` are further aggregates. Every task reduces its jobs
+    before the one shuffle.
     """
     sets = {name: list(dict.fromkeys([*always, *keys])) for name, keys in sets.items()}
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
@@ -26,7 +27,7 @@ def reduce_by(jobs: DataFrame, sets: Mapping[str, Sequence[str]], always: Sequen
         F.sum("_w").alias("_waited"), F.count("_w").alias("_waits"), F.sum("_r").alias("_ran"), F.count("_r").alias("_runs"),
         F.min("Submit").alias("_first"), F.max("Submit").alias("_last")]
     given = jobs.withColumns({"_w": F.col("WaitingTimeHours"), "_r": F.when(F.col("ElapsedHours") > 0, F.col("ElapsedHours"))})
-    cube = given.groupingSets([[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_id"), *measures)
+    cube = given.groupingSets([[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_id"), *measures, *extra)
     name = F.lit(None).cast("string")
     for set_name, own in sets.items():
         absent = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in own)

@@ -28,12 +28,16 @@ SETS = {
     "waiting": ["StartMonth", "StartYear", "WaitingTimeHours"],
     "duration": ["StartMonth", "StartYear", "ElapsedHours"],
     "lists": ["NodeList"],
+    "rows": ["bucket"],
 }
+#: Buckets of a month, by a hash of (cluster, JobID); each has the combined hash of its rows, so two stores can be told apart without their jobs.
+BUCKETS = 256
 _KEYS = list(dict.fromkeys(k for keys in SETS.values() for k in keys))
+_OWN = {"bucket": T.StructField("bucket", T.IntegerType())}
 _MEASURE_TYPES = {WEIGHT: T.LongType(), "_waits": T.LongType(), "_runs": T.LongType(), "_first": T.TimestampType(), "_last": T.TimestampType()}
 SCHEMA = T.StructType(
-    [JOBS[k] for k in _KEYS] + [T.StructField(m, _MEASURE_TYPES.get(m, T.DoubleType())) for m in MEASURES]
-    + [T.StructField("set", T.StringType())] + [JOBS[k] for k in MONTH_KEYS])
+    [_OWN[k] if k in _OWN else JOBS[k] for k in _KEYS] + [T.StructField(m, _MEASURE_TYPES.get(m, T.DoubleType())) for m in MEASURES]
+    + [T.StructField("_hash", T.LongType()), T.StructField("set", T.StringType())] + [JOBS[k] for k in MONTH_KEYS])
 
 
 def write_digests(months: DataFrame, path: str) -> None:
@@ -41,7 +45,9 @@ def write_digests(months: DataFrame, path: str) -> None:
 
     Folders are those of the store. In the files rows stand by set, so a reader of one set skips the row groups of others.
     """
-    reduced = reduce_by(months, SETS, MONTH_KEYS).select(*SCHEMA.fieldNames())
+    payload = [c for c in sorted(months.columns) if c not in ("cluster", "JobID")]
+    months = months.withColumns({"bucket": bucket_of(), "_row": F.xxhash64("cluster", "JobID", *payload)})
+    reduced = reduce_by(months, SETS, MONTH_KEYS, [F.bit_xor("_row").alias("_hash")]).select(*SCHEMA.fieldNames())
     (reduced.hint("rebalance", *[F.col(k) for k in MONTH_KEYS]).sortWithinPartitions(*MONTH_KEYS, "set")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MONTH_KEYS).parquet(path))
 
@@ -79,7 +85,24 @@ def read_digest(spark: SparkSession, path: str, name: str, start=None, end=None,
             rows = rows.where(F.col("SubmitDay") <= F.lit(str(end)).cast("date"))
     if clusters is not None:
         rows = rows.where(F.col("cluster").isin(list(clusters)))
-    return rows.select(*MONTH_KEYS, *SETS[name], *MEASURES)
+    return rows.select(*MONTH_KEYS, *SETS[name], *MEASURES, *(["_hash"] if name == "rows" else []))
+
+
+def bucket_of() -> Column:
+    """The bucket of a job in its month."""
+    return F.pmod(F.xxhash64("cluster", "JobID"), F.lit(BUCKETS)).cast("int")
+
+
+def changed_buckets(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """(cluster, year, month, bucket) in which the rows of two stores differ, from their digests."""
+    side = lambda path, name: read_digest(spark, path, "rows").select(
+        *[F.col(k).alias(f"_{name}_{k}") for k in MONTH_KEYS], F.col("bucket").alias(f"_{name}_bucket"), F.struct(WEIGHT, "_hash").alias(f"_{name}"))
+    keys = [*MONTH_KEYS, "bucket"]
+    same = F.lit(True)
+    for k in keys:  # a month may be null
+        same = same & F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}"))
+    both = side(old, "old").join(side(new, "new"), same, "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    return both.select(*[F.coalesce(f"_old_{k}", f"_new_{k}").alias(k) for k in keys])
 
 
 def digest_range(jobs: DataFrame, path: str, name: str, start=None, end=None, clusters: Sequence[str] | None = None) -> DataFrame:

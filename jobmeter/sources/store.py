@@ -11,7 +11,7 @@ from ..operators.cleaning import keep_last
 from ..operators.filters import submit_between
 from ..schema import JOBS
 from ..session import file_system, staged
-from .digests import write_digests
+from .digests import bucket_of, changed_buckets, write_digests
 
 STORE_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 ROW_KEYS = ["cluster", "SubmitYear", "JobID"]
@@ -162,6 +162,31 @@ def diff_loads(old: DataFrame, new: DataFrame, keys=("cluster", "JobID")) -> Dat
     return both.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
 
 
+def diff_stores(spark: SparkSession, old: str, old_digests: str, new: str, new_digests: str) -> DataFrame:
+    """``diff_loads`` of two stores that have digests, reading only what differs.
+
+    Hashes of months and their buckets are compared first; jobs are read of the months that differ, and of those only the buckets that differ
+    are compared. A job that moved to another month is in a bucket that differs in both.
+    """
+    buckets = changed_buckets(spark, old_digests, new_digests)
+    with staged(buckets, "changed") as found:
+        months = _partitions(found)
+
+    def rows(path: str) -> DataFrame:
+        table = read_store(spark, path)
+        if not months:
+            return table.limit(0)
+        # Buckets of a month are few, and so are all that differ unless the stores have little in common; then Spark doesn't broadcast them.
+        keys = [*STORE_KEYS, "bucket"]
+        there = buckets.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        table, same = table.where(_within(months, 3)).withColumn("bucket", bucket_of()), F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return table.join(there, same, "left_semi").drop("bucket")
+
+    return diff_loads(rows(old), rows(new))
+
+
 def missing_weeks(jobs: DataFrame, start, end) -> DataFrame:
     """Mondays of the weeks from ``start`` to ``end`` for which no job is stored, week 53 included.
 

@@ -91,3 +91,22 @@ def test_retention_drops_digests(spark, tmp_path):
     O.apply_retention(spark, store, 1, "2024-03-06", digests)  # keeps jobs from 5 February on
     same(M.summary(G.read_digest(spark, digests, "groups")), M.summary(O.read_store(spark, store)))
     assert G.read_digest(spark, digests, "days").agg(F.min("SubmitDay")).first()[0] == dt.date(2024, 2, 5)
+
+
+def test_stores_that_differ(spark, kept, tmp_path):
+    store, digests = kept
+    other, other_digests = str(tmp_path / "store"), str(tmp_path / "digests")
+    O.write_store(O.read_store(spark, store), other)
+    O.build_digests(spark, other, other_digests)
+    assert rows(O.diff_stores(spark, store, digests, other, other_digests)) == []
+    # One job changes, one moves to another month, one is gone and one is new; nothing else is read than their months.
+    O.upsert_jobs(jobs(spark, ("2", "b", 15, "TIMEOUT", 5), ("4", "c", 45, "COMPLETED", 3), ("7", "z", 16, "COMPLETED", 1)), other, other_digests)
+    found = O.diff_stores(spark, store, digests, other, other_digests)
+    assert sorted(rows(found)) == [("c", "2", "modified"), ("c", "4", "modified"), ("c", "7", "new")]
+    assert sorted(rows(found)) == sorted(rows(O.diff_loads(O.read_store(spark, store), O.read_store(spark, other))))
+    scanned = G.changed_buckets(spark, digests, other_digests).select("SubmitMonth").distinct()
+    assert {r[0] for r in rows(scanned)} == {dt.date(2024, 2, 1), dt.date(2024, 3, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SubmitMonth" in plan[plan.index("PartitionFilters"):]
+    back = O.diff_stores(spark, other, other_digests, store, digests)
+    assert sorted(rows(back)) == [("c", "2", "modified"), ("c", "4", "modified"), ("c", "7", "deleted")]
