@@ -21,9 +21,10 @@ from jobmeter.operators.filters import complete_only, filter_jobs
 from jobmeter.plans import reports as R
 from jobmeter.session import build_session, scratch_path
 from jobmeter.functions.text import job_state
+from jobmeter.sources.digests import read_digest
 from jobmeter.sources.records import conform, with_hours, with_job_periods, with_node_array
 from jobmeter.sources.sample import sample_records
-from jobmeter.sources.store import diff_loads, read_store, upsert_jobs, write_store
+from jobmeter.sources.store import build_digests, diff_loads, read_store, upsert_jobs, write_store
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +49,11 @@ def main() -> None:
     jobs.where("SubmitMonth between '1997-01-01' and '1997-03-01'").withColumn("State", F.lit("TIMEOUT")).write.parquet(batch)
     months = spark.read.schema(jobs.schema).parquet(batch)
     year = {"start": "1997-01-01", "end": "1997-12-31"}
+    digests = scratch_path(spark, "digests")
+    started = time.time()
+    build_digests(spark, table, digests)
+    times["build_digests"] = round(time.time() - started, 3)
+    digest = lambda name: read_digest(spark, digests, name)
 
     queries = {
         "summary": lambda: M.summary(jobs),
@@ -69,6 +75,12 @@ def main() -> None:
         "complete_months": lambda: M.summary(complete_only(jobs, "month", "1995-06-15")),
         "deduplicate": lambda: keep_last(jobs).groupBy("cluster").agg(F.count("*").alias("jobs")),
         "diff_loads": lambda: diff_loads(jobs, jobs.where("Submit < '2001-01-01'")).groupBy("change").count(),
+        "digest_wait_trends_month": lambda: H.trends(digest("waiting"), "WaitingTimeHours", "month"),
+        "digest_wait_histogram": lambda: H.value_histogram(digest("waiting"), "WaitingTimeHours"),
+        "digest_user_activity_days": lambda: H.activity_histogram(digest("days"), "day"),
+        "digest_dimension_values": lambda: D.dimension_values(digest("groups")),
+        "digest_report_summary_every_month": lambda: R.report_summary(
+            digest("groups"), ["SubmitMonth"], {"duration": digest("duration"), "wait": digest("waiting")}),
         # Last, because it replaces files that the others read.
         "upsert_three_months": lambda: upsert_jobs(months, table).groupBy("cluster").count(),
     }

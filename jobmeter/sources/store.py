@@ -111,10 +111,13 @@ def file_years(jobs: DataFrame, file: str = "_file") -> DataFrame:
 
 
 def write_weekly(jobs: DataFrame, path: str) -> None:
-    """One partition per cluster, ISO year and week of Submit, replaced as a whole; each is gathered into files of the advisory size."""
+    """One partition per cluster, ISO year and week of Submit, replaced as a whole; each is gathered into files of the advisory size.
+
+    Jobs without column ``cluster`` are taken as those of one cluster, whose folder ``path`` is.
+    """
     ts = F.col("Submit")
     weekly = jobs.withColumns({"iso_year": F.extract(F.lit("YEAROFWEEK"), ts).cast("int"), "iso_week": F.weekofyear(ts)})
-    keys = ["cluster", "iso_year", "iso_week"]
+    keys = [k for k in ("cluster", "iso_year", "iso_week") if k in weekly.columns]
     weekly.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy(*keys).parquet(path)
 

@@ -307,6 +307,14 @@ def test_weekly_files_and_file_years(spark, tmp_path):
     assert dict(rows(O.file_years(jobs))) == {"a": 2021, "b": 2020}
 
 
+def test_weekly_files_of_clusters_leave_each_other_alone(spark, tmp_path):
+    path = str(tmp_path / "w")
+    for cluster, days in (("a", ["2021-01-04", "2021-01-11"]), ("b", ["2021-01-05"]), ("a", ["2021-01-12"])):
+        O.write_weekly(spark.createDataFrame([(cluster, ts(d)) for d in days], "cluster string, Submit timestamp"), path)
+    got = rows(spark.read.parquet(path), "cluster", "iso_week", "Submit")
+    assert sorted(got) == [("a", 1, ts("2021-01-04")), ("a", 2, ts("2021-01-12")), ("b", 1, ts("2021-01-05"))]
+
+
 def test_submission_stats(spark):
     audit = spark.createDataFrame([("m", ts("2024-01-01"), 5), ("m", ts("2024-01-02"), 7)], "cluster string, ingest_ts timestamp, n_jobs long")
     assert rows(O.submission_stats(audit)) == [("m", ts("2024-01-02"), 12)]
