@@ -62,6 +62,18 @@ def s04(c: Context):
     return with_nodes(jobs).groupBy("cluster", "node").agg(F.count("*").alias("jobs"))
 
 
+@query("s04_kept_catalogue", """
+SELECT cluster, node, count(*) AS jobs FROM (SELECT cluster, node FROM job_nodes UNION ALL
+  SELECT 'america', node FROM job_nodes WHERE cluster = 'asia') GROUP BY ALL""")
+def s04_catalogue(c: Context):
+    """A second scan, after files of another dialect came into a cluster's folder, reads the types of those files only."""
+    root, kept = history_root(c), c.scratch("catalogue")
+    Y.scan_history(c.spark, root, catalogue=kept)
+    c.spark.read.parquet(f"{root}/asia/data").write.mode("append").parquet(f"{root}/america/weekly-data")
+    jobs = Y.scan_history(c.spark, root, catalogue=kept)
+    return with_nodes(jobs).groupBy("cluster", "node").agg(F.count("*").alias("jobs"))
+
+
 @query("s22_normalize_history", """
 SELECT cluster, CASE WHEN cluster IN ('africa', 'america') THEN 'made' ELSE jobid END AS "JobID", usr AS "User", account AS "Account",
   part AS "Partition", qos AS "QOS", state AS "State", submit AS "Submit", start_ AS "Start", end_ AS "End", cpus AS "CPUs",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import file_system
+from ..session import file_system, keep_versions
 from .records import conform, with_hours, with_job_periods, with_node_array, with_resource_names
 
 # Column names of older files and the canonical name each stands for.
@@ -18,6 +21,7 @@ OLD_NAMES = {
     "WaitingTime": "WaitingTimeHours", "Elapsed [h]": "ElapsedHours",
 }
 DATA_FOLDERS = ("data", "weekly-data")  # the first one that has files is used
+CATALOGUE = "file string, size long, time long, columns map<string,string>"  # time in milliseconds
 
 
 def list_clusters(spark: SparkSession, root: str) -> list[str]:
@@ -39,32 +43,75 @@ def history_files(spark: SparkSession, root: str, clusters: list[str] | None = N
     return found
 
 
-def schema_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Split files into groups whose column types agree.
+def _status(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, size, time`` of files, from one listing of each folder."""
+    wanted, rows = set(paths), []
+    for folder in sorted({p.rpartition("/")[0] for p in paths}):
+        fs, path = file_system(spark, folder)
+        for s in fs.listStatus(path):
+            if (name := s.getPath().toString()) in wanted:
+                rows.append((name, s.getLen(), s.getModificationTime()))
+    return spark.createDataFrame(rows, "file string, size long, time long")
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The type of each column of the files, told by the Parquet types below it; only footers are read."""
+    for batch in batches:
+        found = []
+        for file in batch.column(0).to_pylist():
+            store, path = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", file)))
+            with store.open_input_file(path) as stream:
+                schema = pq.ParquetFile(stream).schema
+            types: dict[str, list[str]] = {}
+            for leaf in (schema.column(k) for k in range(len(schema))):
+                types.setdefault(leaf.path.split(".")[0], []).append(f"{leaf.path} {leaf.physical_type} {leaf.logical_type}")
+            found.append(sorted((name, ", ".join(sorted(t))) for name, t in types.items()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.map_(pa.string(), pa.string()))], [*batch.schema.names, "columns"])
+
+
+def file_catalogue(spark: SparkSession, paths: list[str], at: str | None = None) -> DataFrame:
+    """``file, size, time, columns`` of Parquet files, ``columns`` giving the type of each; footers are read in one parallel job.
+
+    With a folder ``at`` the catalogue is kept there for any number of scans, and only footers of files that are new or have another size or
+    time are read. What a failed run left out is read again.
+    """
+    files = _status(spark, paths)
+    if not at:
+        return _with_types(files, len(paths))
+    versions = keep_versions(spark, at, "v")
+    kept = spark.read.schema(CATALOGUE).parquet(f"{at}/v{versions[-1]}") if versions else spark.createDataFrame([], CATALOGUE)
+    fresh = files.join(kept, ["file", "size", "time"], "left_anti")
+    if not fresh.isEmpty():
+        number = versions[-1] + 1 if versions else 0
+        kept.join(fresh, "file", "left_anti").unionByName(_with_types(fresh, len(paths))).write.parquet(f"{at}/v{number}")
+        kept = spark.read.schema(CATALOGUE).parquet(f"{at}/v{number}")
+    return kept.join(files, ["file", "size", "time"], "left_semi")
+
+
+def _with_types(files: DataFrame, n: int) -> DataFrame:
+    tasks = max(1, min(n // 8, 4 * files.sparkSession.sparkContext.defaultParallelism))
+    return files.repartition(tasks).mapInArrow(_footers, CATALOGUE)
+
+
+def schema_groups(spark: SparkSession, paths: list[str], catalogue: str | None = None) -> list[list[str]]:
+    """Split files into groups whose column types agree; the number of jobs doesn't grow with the files or how their types alternate.
 
-    Footers are merged in parallel; only a clash splits the list, so runs of equal files cost one step.
+    ``catalogue`` is the folder of a kept ``file_catalogue``.
     """
+    found = file_catalogue(spark, paths, catalogue)
+    # Maps can't be grouped; their entries in order can. A row per combination of types, not per file, is compared here.
+    entries = F.array_sort(F.map_entries("columns")).alias("types")
+    kinds = found.groupBy(entries).agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
     groups: list[tuple[dict[str, str], list[str]]] = []
-
-    def place(part: list[str]) -> None:
-        try:
-            schema = spark.read.option("mergeSchema", "true").parquet(*part).schema
-        except (PySparkException, Py4JJavaError) as error:
-            if len(part) == 1 or "CANNOT_MERGE" not in str(error):
-                raise
-            place(part[:len(part) // 2])
-            place(part[len(part) // 2:])
-            return
-        types = {f.name: f.dataType.simpleString() for f in schema}
-        for known, members in groups:
-            if all(known.get(name, kind) == kind for name, kind in types.items()):
+    for types, members in sorted((sorted((e["key"], e["value"]) for e in r["types"]), r["files"]) for r in kinds):
+        for known, placed in groups:
+            if all(known.get(name, kind) == kind for name, kind in types):
                 known.update(types)
-                members.extend(part)
-                return
-        groups.append((types, list(part)))
-
-    place(paths)
-    return [members for _, members in groups]
+                placed.extend(members)
+                break
+        else:
+            groups.append((dict(types), list(members)))
+    return [sorted(members) for _, members in groups]
 
 
 def _with_cluster(df: DataFrame) -> DataFrame:
@@ -73,13 +120,16 @@ def _with_cluster(df: DataFrame) -> DataFrame:
     return df.select("*", name.alias("cluster"))
 
 
-def scan_history(spark: SparkSession, root: str, clusters: list[str] | None = None) -> DataFrame:
-    """All stored history as canonical jobs; files may differ in columns and in column types."""
+def scan_history(spark: SparkSession, root: str, clusters: list[str] | None = None, catalogue: str | None = None) -> DataFrame:
+    """All stored history as canonical jobs; files may differ in columns and in column types.
+
+    ``catalogue`` names a folder in which the types of known files are kept, so that a later scan reads footers of new files only.
+    """
     paths = history_files(spark, root, clusters)
     if not paths:
         raise FileNotFoundError(f"no Parquet files below {root}")
     named, unnamed = [], []
-    for group in schema_groups(spark, paths):
+    for group in schema_groups(spark, paths, catalogue):
         part = _with_cluster(spark.read.option("mergeSchema", "true").parquet(*group))
         (named if "JobID" in part.columns else unnamed).append(_canonical(part))
     # Equal rows are numbered across files, so that ids don't depend on how rows are dealt to files.

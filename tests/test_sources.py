@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,44 @@ def test_schema_groups_keep_equal_files_together(spark, history):
     assert sorted(len(g) for g in Y.schema_groups(spark, paths)) in ([1, 1, 1], [1, 2])
 
 
+def test_interleaved_types_take_no_more_jobs(spark, tmp_path):
+    def jobs_for(n, group):
+        folder = str(tmp_path / group)
+        for k in range(n):
+            one = spark.range(1).select(F.lit("a").alias("User"), (F.lit("n1") if k % 2 else F.array(F.lit("n1"))).alias("NodeList"))
+            one.coalesce(1).write.mode("append").parquet(folder)
+        paths = sorted(str(f) for f in Path(folder).glob("*.parquet"))
+        paths = [f"file:{p}" for p in paths]
+        spark.sparkContext.setJobGroup(group, group)
+        groups = Y.schema_groups(spark, paths)
+        taken = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        assert sorted(map(len, groups)) == [n // 2, n // 2] and sorted(sum(groups, [])) == paths
+        return taken
+
+    assert jobs_for(16, "few") == jobs_for(40, "many")
+
+
+def test_kept_catalogue_reads_new_files_only(spark, history, tmp_path):
+    at = str(tmp_path / "catalogue")
+    weekly, mixed = Y.history_files(spark, history, ["weekly"]), Y.history_files(spark, history, ["mixed"])
+    first = rows(Y.file_catalogue(spark, weekly, at), "file", "size", "time")
+    assert sorted(r[0] for r in first) == sorted(weekly)
+    # Entries whose size and time are those of the file are taken as they are.
+    marked = spark.read.parquet(f"{at}/v0").withColumn("columns", F.create_map(F.lit("mark"), F.lit("x")))
+    marked.write.parquet(f"{at}/v1")
+    both = {r.file: r.columns for r in Y.file_catalogue(spark, weekly + mixed, at).collect()}
+    assert both.keys() == {*weekly, *mixed}
+    assert [both[f] for f in weekly] == [{"mark": "x"}] * len(weekly) and all("NodeList" in both[f] for f in mixed)
+    # A scan of some clusters keeps what is known of the others; a changed file is read again.
+    assert Y.file_catalogue(spark, mixed, at).count() == 3
+    changed = spark.read.parquet(f"{at}/v2").withColumn("time", F.col("time") - 1)
+    changed.write.parquet(f"{at}/v3")
+    again = {r.file: r.columns for r in Y.file_catalogue(spark, weekly, at).collect()}
+    assert all("NodeList" in again[f] for f in weekly)
+    assert spark.read.parquet(f"{at}/v4").count() == len(weekly) + 3
+
+
 def test_missing_history(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
