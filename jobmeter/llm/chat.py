@@ -4,15 +4,16 @@ Lines that begin with ``>`` are quoted, once for each mark. A message is split i
 quote level. A passage of level n in a reply stood at level n - 1 in the message replied to, so passages are hashed after their
 text was normalised (case, white space, marks), and a quoted passage joins the message of the same conversation that has
 the hash one level lower, the latest before it. The message that the largest number of characters is quoted from is the
-one replied to; without any, it is the message before. Quotes are then taken out, and a message stands at the turn it replies
-to and its own.
+one replied to; without any, it is the message before. Quotes are then taken out, and each message gets its place: the branch of
+replies that it belongs to, its depth and its position there.
 
 A conversation may hold a third of all messages: the message before is found within parts of a range partitioning, where one row of each
 part carries over to the next, and quotes meet by conversation and hash.
 
 Passages of any length count; one of marks and blanks only is none.
 
-Defined cases: null and empty texts have no passages and empty content; messages without conversation or turn stay without links;
+Defined cases: null and empty texts have no passages and empty content; messages without conversation or turn stay without links
+and place;
 of messages with the same conversation and turn each is a row, and a link names their turn; a quote that fits several earlier
 messages belongs to the latest; a message never replies to itself or a later one; empty tables give no rows.
 """
@@ -42,20 +43,21 @@ def passages(messages: DataFrame) -> DataFrame:
 
     Replies often quote a part of a message, so each line of a passage counts as well as the whole.
     """
-    lines = F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\\r", ""), "\n"), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("text")))
-    # A passage ends where the level changes or a line is blank: the text so far, closed passages, then the last one.
-    start = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("done"), F.lit(0).alias("level"), F.lit("").alias("text"))
-
-    def add(state: Column, line: Column) -> Column:
-        blank = F.btrim(line["text"]) == ""
-        same = (line["level"] == state["level"]) & ~blank
-        closed = F.when(state["text"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["level"].alias("level"), state["text"].alias("text")))))
-        return F.struct(F.when(same, state["done"]).otherwise(closed).alias("done"), line["level"].alias("level"),
-                        F.when(same, F.concat(state["text"], F.lit(" "), line["text"])).otherwise(F.when(blank, F.lit("")).otherwise(line["text"])).alias("text"))
-
-    last = F.aggregate(lines, start, add, lambda s: F.concat(s["done"], F.array(F.struct(s["level"].alias("level"), s["text"].alias("text")))))
-    both = F.array_distinct(F.concat(last, lines))
-    found = messages.select("conv_id", "turn", F.explode(both).alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.text")).alias("text"))
+    text = F.translate(F.coalesce("text", F.lit("")), "\r\x01\x02", "")
+    line = lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("text"))
+    split = messages.select("conv_id", "turn", F.transform(F.split(text, "\n"), line).alias("lines"))
+    # A passage ends where the level changes or a line is blank. One pass marks where passages begin, a second one parts the text there.
+    blank = lambda x: F.btrim(x["text"]) == ""
+
+    def begin(x: Column, i: Column) -> Column:
+        before = F.get("lines", i - 1)
+        goes_on = (i > 0) & (before["level"] == x["level"]) & ~blank(before)
+        return F.when(blank(x), F.lit("\x01")).when(goes_on, F.concat(F.lit(" "), x["text"])).otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), x["text"]))
+
+    parts = F.filter(F.split(F.array_join(F.transform("lines", begin), ""), "\x01"), lambda p: p != "")
+    whole = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).cast("int").alias("level"), F.substring_index(p, "\x02", -1).alias("text")))
+    both = F.concat(whole, "lines")  # repeated ones are dropped where they meet
+    found = split.select("conv_id", "turn", F.explode(both).alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.text")).alias("text"))
     found = found.where("text != ''")
     return found.select("conv_id", "turn", "level", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"))
 
@@ -98,14 +100,41 @@ def without_quotes(text: Column) -> Column:
     return F.btrim(F.array_join(lines, "\n"), F.lit(" \t\n"))
 
 
+def threads(links: DataFrame) -> DataFrame:
+    """``conv_id, turn, branch, depth, position`` from ``conv_id, turn, reply_to``, one row for each turn.
+
+    The first reply to a message goes on with its branch, any other begins one that is named by its turn. ``depth`` counts the messages above,
+    ``position`` those of the branch before. Pointers to the message above are doubled until they stand at the first message and at the
+    first of the branch, so the rounds grow with the logarithm of the longest chain. A row that has arrived is joined no more.
+    """
+    first = links.where("reply_to is not null").groupBy(F.col("conv_id").alias("_conv"), F.col("reply_to").alias("_above")).agg(F.min("turn").alias("_next"))
+    known = links.join(first, (F.col("conv_id") == F.col("_conv")) & (F.col("reply_to") == F.col("_above")), "left")
+    above = F.col("reply_to")
+    ways = F.array(F.struct(F.lit("d").alias("way"), above.alias("to")), F.struct(F.lit("b").alias("way"), F.when(F.col("_next") == F.col("turn"), above).alias("to")))
+    state = known.select("conv_id", "turn", F.explode(ways).alias("w")).select(
+        "conv_id", "turn", "w.way", F.coalesce("w.to", "turn").alias("at"), F.col("w.to").isNotNull().cast("long").alias("steps"), F.col("w.to").isNull().alias("there"))
+    state = cut(state, "threads")
+    while not state.where("not there").isEmpty():
+        ahead = state.select(F.col("conv_id").alias("_conv"), F.col("way").alias("_way"), F.col("turn").alias("_turn"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("there").alias("_there"))
+        moved = state.where("not there").join(ahead, (F.col("conv_id") == F.col("_conv")) & (F.col("way") == F.col("_way")) & (F.col("at") == F.col("_turn")))
+        moved = moved.select("conv_id", "turn", "way", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_there").alias("there"))
+        state = cut(state.where("there").unionByName(moved), "threads")
+    branch, depth = F.col("way") == "b", F.col("way") == "d"
+    return state.groupBy("conv_id", "turn").agg(F.max(F.when(branch, F.col("at"))).alias("branch"), F.max(F.when(depth, F.col("steps"))).alias("depth"),
+                                                F.max(F.when(branch, F.col("steps"))).alias("position"))
+
+
 def reply_order(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, content, reply_to, quoted``: each message without quotes and the turn it replies to.
+    """``conv_id, turn, role, content, reply_to, quoted, branch, depth, position``: conversations without quotes, in the order of replies.
 
-    ``quoted`` tells whether a quote leads there. In order of ``conv_id, turn`` each message follows the one it replies to.
+    ``reply_to`` is the turn a message replies to; ``quoted`` tells whether a quote leads there. In order of ``conv_id, branch, position`` each branch
+    is a conversation that goes on from the message that its first one replies to. Conversations stay rows, as one may be of any size.
     """
     given = messages.select("conv_id", "turn", "role", "text")
     links = previous_turns(given).join(quote_links(given), ["conv_id", "turn"], "left")
-    links = links.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "previous_turn", "quoted_turn")
-    joined = given.join(links, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
-    return joined.select("conv_id", "turn", "role", without_quotes(F.col("text")).alias("content"),
-                         F.coalesce("quoted_turn", "previous_turn").alias("reply_to"), F.col("quoted_turn").isNotNull().alias("quoted"))
+    links = cut(links.select("conv_id", "turn", F.coalesce("quoted_turn", "previous_turn").alias("reply_to"), F.col("quoted_turn").isNotNull().alias("quoted")), "replies")
+    placed = links.join(threads(links), ["conv_id", "turn"])
+    placed = placed.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "reply_to", "quoted", "branch", "depth", "position")
+    joined = given.join(placed, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    return joined.select("conv_id", "turn", "role", without_quotes(F.col("text")).alias("content"), "reply_to",
+                         F.coalesce("quoted", F.lit(False)).alias("quoted"), "branch", "depth", "position")
