@@ -68,8 +68,10 @@ def quote_links(messages: DataFrame) -> DataFrame:
     A quoted passage belongs to the latest message before it that has it one level lower: passages and quotes of a
     conversation with one hash are put in the order of their turns.
     """
-    found = passages(messages.where("conv_id is not null and turn is not null"))
-    quoted = found.where("level > 0").select("conv_id", "turn", (F.col("level") - 1).alias("level"), "hash", "n_chars").distinct()
+    placed = messages.where("conv_id is not null and turn is not null")
+    found = passages(placed)
+    # Only a text with a mark has quotes, so the others aren't parted a second time.
+    quoted = passages(placed.where(F.col("text").contains(">"))).where("level > 0").select("conv_id", "turn", (F.col("level") - 1).alias("level"), "hash", "n_chars").distinct()
     # Only hashes that are quoted somewhere matter; a conversation quotes a passage in few messages.
     asked = quoted.select("conv_id", "level", "hash").distinct()
     origins = found.select("conv_id", "turn", "level", "hash").distinct().join(asked, ["conv_id", "level", "hash"], "left_semi")
