@@ -60,12 +60,12 @@ def file_system(spark: SparkSession, path: str):
 
 
 @contextmanager
-def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+def staged(df: DataFrame, label: str, session: SparkSession | None = None) -> Iterator[DataFrame]:
     """``df`` written to the shared folder and read back, so that later steps do not depend on its lineage.
 
-    The copy is removed when the block ends.
+    The copy is removed when the block ends. A batch of a stream belongs to a session of its own, without adaptive plans; ``session`` names another one to read in.
     """
-    spark = df.sparkSession
+    spark = session or df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     try:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import array_job
+from ..session import keep_versions, staged
 
 # One row per job that a poll found pending, and one for the poll itself, without JobID: a marker that names the poll before it. So a poll that found
 # nothing is known too. A marker without ``previous_ts`` begins a new series of polls.
@@ -19,7 +20,10 @@ SNAPSHOT = T.StructType([
     T.StructField("previous_ts", T.TimestampType()),
 ])
 
-_NEVER = "36500 days"
+# What the monitor keeps between batches.
+_ROWS = "snapshot_ts timestamp, JobID string, Submit timestamp, User string"
+_MARKERS = "known timestamp, next_ts timestamp, follows timestamp"
+_AHEAD = "JobID string, Submit timestamp, User string, next_ts timestamp"
 
 
 def poll_markers(polls: DataFrame) -> DataFrame:
@@ -80,44 +84,66 @@ def queue_counts(snapshots: DataFrame) -> DataFrame:
         F.coalesce("started", F.lit(0)).cast("long").alias("started"))
 
 
-def stream_waits(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """``queue_waits`` over a stream of :data:`SNAPSHOT` rows with a marker for each poll.
+def _known(markers: DataFrame) -> DataFrame:
+    """Markers with the poll that each makes known to have a next one, or its own where it begins a series."""
+    return markers.select(F.coalesce("previous_ts", "snapshot_ts").alias("known"), F.col("snapshot_ts").alias("next_ts"), F.col("previous_ts").alias("follows"))
 
-    A job's row meets the marker that names its poll as the one before, which tells the next poll, and then the rows of that poll: without an equal job there it
-    is gone. The watermark is ``delay`` behind the latest poll that is known to have a next one, however long after it that came. Rows and markers may come in any
-    number of batches and files, a poll in several of them, as long as they are not behind the watermark. A wait is given out when the watermark has
-    passed the poll that no longer had the job; rows of later polls are all the state there is.
+
+def _add_polls(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, delay: str) -> None:
+    """``queue_waits`` continued by a batch: what it settles goes to ``path/waits/batch=<n>``, what stays open to ``path/open/<table>/<n>``.
+
+    Open are rows whose poll, or whose next poll, is not behind the watermark, and markers in the same way.
     """
-    stream = stream.select(*SNAPSHOT.fieldNames())
-    # Only markers move the watermark; the other branches are too far behind to do so.
-    rows = stream.where(F.col("JobID").isNotNull()).withWatermark("snapshot_ts", _NEVER)
-    markers = stream.where(F.col("JobID").isNull()).select(
-        F.coalesce("previous_ts", "snapshot_ts").alias("_known"), F.col("snapshot_ts").alias("next_ts"),
-        F.coalesce("previous_ts", F.lit("1900-01-01").cast("timestamp")).alias("_follows")).withWatermark("_known", delay)
-    ahead = rows.join(markers, F.col("snapshot_ts") == F.col("_follows")).select("JobID", "Submit", "User", "next_ts")
-    seen = stream.where(F.col("JobID").isNotNull()).select(F.col("JobID").alias("_id"), F.col("snapshot_ts").alias("_ts")).withWatermark("_ts", _NEVER)
-    both = ahead.join(seen, (F.col("JobID") == F.col("_id")) & (F.col("next_ts") == F.col("_ts")), "left_outer")
-    return _waits(both.where(F.col("_id").isNull()))
+    older = [n for n in keep_versions(spark, f"{path}/open/mark/") if n < batch_id]
+
+    def before(table: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/open/{table}/{max(older)}") if older else spark.createDataFrame([], schema)
+
+    with staged(batch.select(*SNAPSHOT.fieldNames()), "polls", spark) as new:
+        old_mark = before("mark", "mark long").agg(F.max("mark")).first()[0]
+        behind = lambda c, mark: F.lit(False) if mark is None else F.coalesce(F.unix_micros(c) <= mark, F.lit(False))
+        rows, markers = _jobs(new).where(~behind("snapshot_ts", old_mark)), _known(new.where(F.col("JobID").isNull())).where(~behind("known", old_mark))
+        mark = markers.agg(F.unix_micros(F.max("known") - F.expr(f"interval {delay}"))).first()[0]
+        mark = max((m for m in (old_mark, mark) if m is not None), default=None)
+        old_rows, old_markers = before("rows", _ROWS), before("markers", _MARKERS)
+        all_rows, all_markers = old_rows.unionByName(rows), old_markers.unionByName(markers)
+        pairs = [_follow(rows, all_markers)] + ([_follow(old_rows, markers)] if older else [])
+        ahead = before("ahead", _AHEAD)
+        for p in pairs:
+            ahead = ahead.unionByName(p)
+        seen = all_rows.select(F.col("JobID").alias("_id"), F.col("snapshot_ts").alias("_ts"))
+        here = (F.col("JobID") == F.col("_id")) & (F.col("next_ts") == F.col("_ts"))
+        gone = ahead.where(behind("next_ts", mark)).join(seen, here, "left_anti")
+        _waits(gone).write.mode("overwrite").parquet(f"{path}/waits/batch={batch_id}")
+        kept = {"rows": all_rows.where(~behind("snapshot_ts", mark)), "markers": all_markers.where(~behind("known", mark)), "ahead": ahead.where(~behind("next_ts", mark)),
+                "mark": spark.range(1).select(F.lit(mark).cast("long").alias("mark"))}
+        for table, df in kept.items():  # the mark comes last: with it the state of this batch is whole
+            df.write.mode("overwrite").parquet(f"{path}/open/{table}/{batch_id}")
+    for table in kept:
+        keep_versions(spark, f"{path}/open/{table}/")
+
+
+def _follow(rows: DataFrame, markers: DataFrame) -> DataFrame:
+    """Rows with the poll after theirs, where a marker names it."""
+    return rows.join(markers, F.col("snapshot_ts") == F.col("follows")).select("JobID", "Submit", "User", "next_ts")
 
 
 def start_queue_monitor(stream: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", once: bool = False) -> StreamingQuery:
-    """Append waits to ``path/waits`` as they are found; the sink takes each batch once, also after a restart.
+    """``queue_waits`` over a stream of :data:`SNAPSHOT` rows with a marker for each poll; waits are added to ``path/waits`` as they are found.
 
-    The branches of the plan read the same files, so the furthest of their watermarks holds for all: that of the markers, which goes on while
-    nothing is pending.
+    A job's row meets the marker that names its poll as the one before, which tells the next poll, and then the rows of that poll: without an equal job there it
+    is gone. The watermark is ``delay`` behind the latest poll that is known to have a next one, however long after it that came. Rows and markers may come in any
+    number of batches and files, a poll in several of them, as long as they are not behind the watermark. A wait is given out when the watermark has
+    passed the poll that no longer had the job; rows of later polls are all that is kept from one batch to the next, as tables in ``path/open``. A batch is
+    joined as a whole, so its cost is that of a join of its size. A repeated batch starts from the same tables and replaces its own output; ``path`` and
+    ``checkpoint`` belong together.
     """
-    conf, policy = stream.sparkSession.conf, "spark.sql.streaming.multipleWatermarkPolicy"
-    writer = stream_waits(stream, delay).writeStream.outputMode("append").format("parquet").option("path", f"{path}/waits").option("checkpointLocation", checkpoint)
-    before = conf.get(policy, "min")
-    conf.set(policy, "max")  # a query keeps the settings it is started with
-    try:
-        return (writer.trigger(availableNow=True) if once else writer).start()
-    finally:
-        conf.set(policy, before)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: _add_polls(stream.sparkSession, batch, n, path, delay))
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_waits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/waits")
+    return spark.read.parquet(f"{path}/waits").drop("batch")
 
 
 def export_waits(waits: DataFrame, path: str) -> None:

@@ -80,6 +80,22 @@ def test_queue_stream_equals_batch(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == ["JobID", "TaskIndex", "Username", "WaitingTime [s]"]
 
 
+def test_queue_monitor_keeps_only_what_is_open(spark, tmp_path):
+    """Between batches there are rows of polls that are not settled yet, and no state store; a late row is dropped, a repeated start adds nothing."""
+    source, out = str(tmp_path / "polls"), str(tmp_path / "out")
+    late = spark.createDataFrame([(at(0), "9", T0, "u", None)], G.SNAPSHOT)
+    for n, m in enumerate(POLLS):
+        df = snapshots(spark, [m]).unionByName(marker(spark, m, m - 10 if m else None))
+        (df.unionByName(late) if m == 50 else df).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):
+            G.start_queue_monitor(spark.readStream.schema(G.SNAPSHOT).parquet(source), out, f"{out}/checkpoint", "5 minutes", once=True).awaitTermination()
+        kept = spark.read.parquet(f"{out}/open/rows/{n}")
+        assert {r[0] for r in rows(kept, "snapshot_ts")} <= {at(m), at(m - 10)}
+    assert not (tmp_path / "out" / "checkpoint" / "state").exists()
+    got = rows(G.read_waits(spark, out), "JobID", "TaskIndex", "waiting_seconds")
+    assert sorted(got) == [("1", "", 900), ("2", "1", 1500), ("2", "2", 2100), ("3", "", 1500)]
+
+
 def records(spark, *data):
     df = spark.createDataFrame(
         [(j, "u", "a", "p", s, None, at(m), at(m + 5), at(m + 65), 4.0, 0.0, 4, 0, 1, "n1") for j, m, s in data],
