@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from decimal import Context, Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +22,10 @@ from ..session import keep_versions
 # Sums must give back exactly what was added, so hours are decimals of the precision of a double.
 _HOURS = "decimal(38,18)"
 _DELTA = f"period date, series string, jobs long, cpu_hours {_HOURS}"
-_STATE = f"period date, series string, cpu_hours {_HOURS}, seq long"
+_STATE = "jobs binary"
+_EXACT = Context(prec=38)
+#: Buckets of jobs, each a row of state: few for jobs that come by millions at once, many so that a job sent again rewrites a short row. They stay for a checkpoint.
+BUCKETS = 1 << 15
 _KEYS = ["cluster", "JobID"]
 _ORDER = ["seq", "time", "file", "split", "place"]
 
@@ -48,35 +54,47 @@ def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _replace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The change that a job's new records make: its last record comes in, and the one known before goes out."""
-    last = None
+    """The changes that new records of a bucket's jobs make: a job's last record comes in, and the one known before goes out."""
+    last = {}
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            order = tuple((v is not None and v == v, v if v is not None and v == v else 0) for v in (getattr(row, c) for c in _ORDER))
-            if last is None or order >= last[0]:
-                last = (order, row)
-    order, row = last
-    seq = int(row.seq) if order[0][0] else None
-    changes = []
-    if state.exists:
-        period, series, hours, known = state.get
-        if seq is not None and known is not None and known > seq:
-            return
-        changes.append((period, series, -1, -hours))
-    state.update((row.period, row.series, row.cpu_hours, seq))
-    changes.append((row.period, row.series, 1, row.cpu_hours))
-    yield pd.DataFrame(changes, columns=["period", "series", "jobs", "cpu_hours"])
-
-
-def total_changes(stream: DataFrame, grain: str = "month", dim: str | None = None) -> DataFrame:
+        given = [[None if v is None or v != v else v for v in batch[c]] for c in (*_KEYS, *_ORDER, "period", "series", "cpu_hours")]
+        for cluster, job, seq, time, file, split, place, *adds in zip(*given):
+            order = tuple((v is not None, 0 if v is None else v) for v in (seq, time, file, split, place))
+            if (cluster, job) not in last or order >= last[cluster, job][0]:
+                last[cluster, job] = order, None if seq is None else int(seq), adds
+    known = pickle.loads(state.get[0]) if state.exists else {}
+    changes = defaultdict(lambda: [0, Decimal(0)])
+    for job, (_, seq, adds) in last.items():
+        if job in known:
+            *before, known_seq = known[job]
+            if seq is not None and known_seq is not None and known_seq > seq:
+                continue
+            _add(changes, before, -1)
+        _add(changes, adds, 1)
+        known[job] = (*adds, seq)
+    state.update((pickle.dumps(known),))
+    if changes:
+        yield pd.DataFrame([(*group, *sums) for group, sums in changes.items()], columns=["period", "series", "jobs", "cpu_hours"])
+
+
+def _add(changes: dict, record: Sequence, sign: int) -> None:
+    period, series, hours = record
+    total = changes[period, series]
+    total[0] += sign
+    total[1] = _EXACT.add(total[1], hours if sign > 0 else hours.copy_negate())
+
+
+def total_changes(stream: DataFrame, grain: str = "month", dim: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Additions to and retractions from the totals, as a stream.
 
-    State holds one short row per (cluster, JobID): what its last record added. The last record counts by ``ingest_seq`` where both have one, then by
+    State holds what the last record of each (cluster, JobID) added, one row for each of ``buckets`` buckets of jobs: a call of the Python function costs
+    milliseconds, and takes all new records of a bucket. The last record counts by ``ingest_seq`` where both have one, then by
     batch, then by ``arrival`` in the batch. Records without JobID can't be told again and count each.
     """
     entries = _entries(stream, grain, dim)
     entries = entries.mapInArrow(_count_places, entries.schema)
-    named = entries.where(F.col("JobID").isNotNull()).groupBy(*_KEYS).applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64(*_KEYS), F.lit(buckets)).alias("bucket")
+    named = entries.where(F.col("JobID").isNotNull()).select("*", bucket).groupBy("bucket").applyInPandasWithState(
         _replace, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout)
     single = entries.where(F.col("JobID").isNull()).select("period", "series", F.lit(1).cast("long").alias("jobs"), "cpu_hours")
     return (named.unionByName(single) if "JobID" in stream.columns else single)

@@ -167,3 +167,17 @@ def test_records_without_id_count_each(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(source)
     V.start_live_totals(stream, out, str(tmp_path / "cp"), once=True).awaitTermination()
     assert rows(V.read_live_totals(spark, out)) == rows(V.live_totals(df)) == [(T0.date(), 7, 28.0)]
+
+
+def test_live_totals_hold_a_row_of_state_for_a_bucket(spark, tmp_path):
+    """Many jobs share a call and a row of state; what is sent again in the next batch is still told job by job."""
+    source, seen = str(tmp_path / "in"), []
+    make = lambda lo, hi, state: records(spark, *[(str(k), k, state) for k in range(lo, hi) for _ in range(2)])
+    for load in (make(0, 50, "A"), make(30, 60, "B")):
+        load.coalesce(1).write.mode("append").parquet(source)
+        changes = V.total_changes(normalize_records(I.record_stream(spark, source, load.schema), "m"), "month", "State", buckets=3)
+        query = changes.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(
+            lambda df, n: seen.extend((n, *r) for r in rows(df.groupBy("series").agg({"jobs": "sum", "cpu_hours": "sum"}).selectExpr("series", "`sum(jobs)`", "double(`sum(cpu_hours)`)")))).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    assert sorted(seen) == [(0, "A", 50, 200.0), (1, "A", -20, -80.0), (1, "B", 30, 120.0)]
