@@ -181,6 +181,7 @@ class Model:
     families: list[str]  # unknown is the last
     telling: list[str]  # words of the templates that say something
     anchors: list[str]  # a few of them, of which each template has one
+    cover: list[str]  # word pairs of which every paragraph that a template confirms has one
     weights: dict[str, list[float]]  # by feature, one for each family
     bias: list[float]
     checks: dict[str, list[Check]]  # by family
@@ -204,6 +205,17 @@ def _anchors(texts: list[set[str]]) -> list[str]:
     return sorted(found)
 
 
+def _cover(templates: list[list[str]], known: set[str]) -> list[str]:
+    """Word pairs of which every paragraph that a template confirms has one: the other pairs of the template are too few."""
+    found = set()
+    counts = Counter(p for words in templates for p in pairs_of(words))
+    for words in templates:
+        pairs = pairs_of(words)
+        while 100 * len(left := pairs - found) // max(1, len(pairs)) >= CONFIRMED:
+            found.add(min(left, key=lambda p: (-len(known & set(p.split(" "))), -counts[p], p)))
+    return sorted(found)
+
+
 def _checks(pairs: dict[str, list[set[str]]]) -> dict[str, list[Check]]:
     found = {}
     for family, mine in pairs.items():
@@ -259,7 +271,7 @@ def train(templates: dict[str, tuple[str, ...]] = TEMPLATES, others: tuple[str,
     heat = min((0.25 * 1.25 ** k for k in range(16)), key=lambda t: -np.log(np.maximum(1e-12, (_softmax(unseen / t) * y).sum(1))).mean())
     w = np.round(_regression(x, y) / heat, 6)
     anchors = _anchors([set(words) & known for _, words in notices])
-    return Model(families, telling, anchors, {g: w[n].tolist() for g, n in at.items()}, w[-1].tolist(), _checks(pairs))
+    return Model(families, telling, anchors, _cover([words for _, words in notices], known), {g: w[n].tolist() for g, n in at.items()}, w[-1].tolist(), _checks(pairs))
 
 
 def _words(paragraph: Column) -> Column:
@@ -275,37 +287,39 @@ def paragraphs(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id, paragraph, family, probability, similarity, confirmed`` for each paragraph that looks like a licence.
+    """``doc_id, paragraph, family, probability, similarity, confirmed`` for each paragraph that looks like a licence or that a template confirms.
 
     ``similarity`` is the largest share, in percent, of the word pairs of a template of the family; ``family`` is that of the
     classifier where a template confirms it, else ``unknown``.
     """
     model = model or _default_model()
-    # A plain search first, which leaves most texts and paragraphs out before anything is worked out for them.
-    search = r"(?i)\b(?:" + "|".join(re.escape(w) for w in model.anchors) + r")\b"
-    found = docs.where(F.col("text").rlike(search)).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "part"))
-    found = found.where(F.col("part").rlike(search)).select("doc_id", "paragraph", _words(F.col("part")).alias("words"))
-    found = found.where(F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in model.telling]))) >= LEAST_WORDS)
+    # A plain search first, which leaves out texts and paragraphs that neither look like a licence nor could be confirmed by a template.
+    search = lambda words: r"(?i)(?<![a-z0-9])(?:" + "|".join(r"[^a-z0-9]+".join(map(re.escape, w.split(" "))) for w in words) + r")(?![a-z0-9])"
+    likely = search([*model.anchors, *model.cover])
+    found = docs.where(F.col("text").rlike(likely)).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "part"))
+    found = found.where(F.col("part").rlike(likely)).select("doc_id", "paragraph", _words(F.col("part")).alias("words"), F.col("part").rlike(search(model.anchors)).alias("like"))
+    telling = F.size(F.array_distinct(F.filter("words", lambda w: w.isin(*model.telling))))
     pairs = F.transform(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("words", i), w))
-    found = found.select("doc_id", "paragraph", "words", F.array_distinct(pairs).alias("pairs"))
+    found = found.select("doc_id", "paragraph", "words", (F.col("like") & (telling >= LEAST_WORDS)).alias("like"), F.array_distinct(pairs).alias("pairs"))
     grams = F.array_distinct(F.concat("words", "pairs"))
-    known = found.select("doc_id", "paragraph", "pairs", F.filter(grams, lambda g: g.isin(*model.weights)).alias("features"))
+    known = found.select("doc_id", "paragraph", "like", "pairs", F.filter(grams, lambda g: g.isin(*model.weights)).alias("features"))
     table = F.create_map(*[x for g, w in sorted(model.weights.items()) for x in (F.lit(g), F.array(*[F.lit(v) for v in w]))])
     start = F.array(*[F.lit(float(b)) for b in model.bias])
     sums = F.aggregate("features", start, lambda total, g: F.zip_with(total, F.element_at(table, g), lambda a, b: a + b))
-    scored = known.select("doc_id", "paragraph", "pairs", sums.alias("z"))
+    scored = known.select("doc_id", "paragraph", "like", "pairs", sums.alias("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - F.array_max("z")))
     best = F.array_position("z", F.array_max("z")).cast("int")
     names = F.array(*[F.lit(f) for f in model.families])
-    scored = scored.select("doc_id", "paragraph", "pairs", F.element_at(names, best).alias("guess"), F.round(1 / total, 6).alias("probability"))
+    scored = scored.select("doc_id", "paragraph", "like", "pairs", F.element_at(names, best).alias("guess"), F.round(1 / total, 6).alias("probability"))
     # Only the templates of the family that the classifier names are compared.
     compared = F.struct(F.lit(False).alias("first"), F.lit(0).alias("similarity"), F.lit(False).alias("confirmed"))
     for family, checks in sorted(model.checks.items()):
         compared = F.when(F.col("guess") == family, F.array_max(F.array(*[_compared(c) for c in checks]))).otherwise(compared)
-    shown = scored.select("doc_id", "paragraph", "guess", "probability", compared.alias("c"))
+    shown = scored.select("doc_id", "paragraph", "like", "guess", "probability", compared.alias("c"))
     confirmed = (F.col("probability") >= 0.5) & F.col("c.confirmed")
-    return shown.select("doc_id", "paragraph", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability",
-                        F.col("c.similarity").alias("similarity"), confirmed.alias("confirmed"))
+    # The test stands in a generator: as a filter it would be worked out below the projections, and all they hold with it.
+    row = F.struct(F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", F.col("c.similarity").alias("similarity"), confirmed.alias("confirmed"), "like")
+    return shown.select("doc_id", "paragraph", F.inline(F.filter(F.array(row), lambda r: r["like"] | r["confirmed"]))).drop("like")
 
 
 def _compared(check: Check) -> Column:

@@ -125,3 +125,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert L.scan(odd_docs).count() == 0 and L.scan(no_docs).count() == 0
     plan = L.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_notices_without_common_words_are_found(spark):
+    """Notices cut short, without any of the few words of which each template has one, and one in marks; the rest of a template confirms them."""
+    model = L.train()
+    texts = [("CC-BY-NC-SA", "CC BY-NC-SA 4.0"), ("AGPL-3.0", "Identifier: AGPL-3.0-only"),
+             ("CC0-1.0", "By law the author has waived all copyright and related or neighboring rights to this work."), ("MIT", "Released _under_ the MIT _License_.")]
+    assert not any(set(plain_words(t)) & set(model.anchors) for _, t in texts[:-1])
+    # Whatever is cut off a template at both ends: without a word of the cover, what is left does not confirm it.
+    for words in (plain_words(t) for ts in L.TEMPLATES.values() for t in ts):
+        for part in (words[a:b] for a in range(len(words)) for b in range(a, len(words) + 1)):
+            enough = 100 * len(plain_pairs(part) & plain_pairs(words)) // len(plain_pairs(words)) >= L.CONFIRMED
+            assert not enough or plain_pairs(part) & set(model.cover)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)] + [(9, "He will copy a form and a general is free of charge.")], "doc_id long, text string")
+    assert {r.doc_id: r.family for r in L.scan(docs, model).where("confirmed").collect()} == {k: f for k, (f, _) in enumerate(texts)}
+    assert L.scan(docs, model).where("doc_id = 9").count() == 0
