@@ -67,7 +67,7 @@ def staged(df: DataFrame, label: str, session: SparkSession | None = None) -> It
     """
     spark = session or df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ SETS = {
 }
 #: Buckets of a month, by a hash of (cluster, JobID); each has the combined hash of its rows, so two stores can be told apart without their jobs.
 BUCKETS = 256
+#: Jobs of a month beyond which it is not reduced in one task, and jobs that a task reduces.
+LARGE = 500_000
+PER_TASK = 100_000
 _KEYS = list(dict.fromkeys(k for keys in SETS.values() for k in keys))
 _OWN = {"bucket": T.StructField("bucket", T.IntegerType())}
 _MEASURE_TYPES = {WEIGHT: T.LongType(), "_waits": T.LongType(), "_runs": T.LongType(), "_first": T.TimestampType(), "_last": T.TimestampType()}
@@ -41,15 +46,32 @@ SCHEMA = T.StructType(
 
 
 def write_digests(months: DataFrame, path: str) -> None:
-    """Replace the digests of the months in ``months``, which must hold all jobs of those months. One pass over the jobs.
+    """Replace the digests of the months in ``months``, which must hold all jobs of those months. One pass over the jobs, after a count.
 
     Folders are those of the store. In the files rows stand by set, so a reader of one set skips the row groups of others.
     """
     payload = [c for c in sorted(months.columns) if c not in ("cluster", "JobID")]
     months = months.withColumns({"bucket": bucket_of(), "_row": F.xxhash64("cluster", "JobID", *payload)})
-    reduced = reduce_by(months, SETS, MONTH_KEYS, [F.bit_xor("_row").alias("_hash")]).select(*SCHEMA.fieldNames())
-    (reduced.hint("rebalance", *[F.col(k) for k in MONTH_KEYS]).sortWithinPartitions(*MONTH_KEYS, "set")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MONTH_KEYS).parquet(path))
+    extra = [F.bit_xor("_row").alias("_hash")]
+    # Metadata of at most clusters x months rows.
+    counts = [tuple(r) for r in months.groupBy(*MONTH_KEYS).count().collect()]
+    large, some = F.lit(False), False
+    for *values, n in counts:
+        if n > LARGE:
+            some, large = True, large | reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(MONTH_KEYS, values)])
+    # Months of usual size are gathered once, which suits both the sets and the folders; what is shuffled are jobs, not a row for each job and set.
+    tasks = max(1, -(-sum(n for *_, n in counts if n <= LARGE) // PER_TASK))
+    usual = months.where(~large) if some else months
+    reduced = reduce_by(usual.repartition(tasks, *MONTH_KEYS), SETS, MONTH_KEYS, extra, gathered=True).select(*SCHEMA.fieldNames())
+    _write(reduced, path)
+    if some:  # A large month is reduced by all tasks.
+        reduced = reduce_by(months.where(large), SETS, MONTH_KEYS, extra).select(*SCHEMA.fieldNames())
+        _write(reduced.hint("rebalance", *[F.col(k) for k in MONTH_KEYS]), path)
+
+
+def _write(reduced: DataFrame, path: str) -> None:
+    (reduced.sortWithinPartitions(*MONTH_KEYS, "set").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+     .partitionBy(*MONTH_KEYS).parquet(path))
 
 
 def whole_months(start, end) -> bool:

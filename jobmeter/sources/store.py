@@ -37,7 +37,7 @@ def write_store(jobs: DataFrame, path: str) -> None:
     Rebalancing gathers each month into files of the advisory size and splits months that are too large for one task.
     """
     (jobs.drop("arrival").hint("rebalance", *[F.col(k) for k in STORE_KEYS])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy(*STORE_KEYS).parquet(path))
 
 
@@ -71,11 +71,17 @@ def upsert_jobs(new: DataFrame, path: str, digests: str | None = None) -> DataFr
     """
     spark = new.sparkSession
     given = new.select(*JOBS.fieldNames(), *[c for c in ("arrival",) if c in new.columns])
-    with staged(keep_last(given, ROW_KEYS).drop("arrival"), "batch") as batch:
+    last = keep_last(given, ROW_KEYS).drop("arrival")
+    fs, folder = file_system(spark, path)
+    if not fs.exists(folder):  # nothing to merge with, so nothing to stage
+        write_store(last, path)
+        if digests:
+            build_digests(spark, path, digests)
+        return read_store(spark, path)
+    with staged(last, "batch") as batch:
         touched = _partitions(batch)
         merged = batch
-        fs, folder = file_system(spark, path)
-        if touched and fs.exists(folder):
+        if touched:
             store = read_store(spark, path)
             # A narrow scan of the years finds the months in which earlier records of the new jobs lie.
             earlier = store.where(_within(touched, 2)).select("JobID", "ingest_seq", *STORE_KEYS)

@@ -110,3 +110,36 @@ def test_stores_that_differ(spark, kept, tmp_path):
     assert "SubmitMonth" in plan[plan.index("PartitionFilters"):]
     back = O.diff_stores(spark, other, other_digests, store, digests)
     assert sorted(rows(back)) == [("c", "2", "modified"), ("c", "4", "modified"), ("c", "7", "deleted")]
+
+
+def test_usual_months_are_gathered_once(spark, tmp_path, monkeypatch):
+    """Jobs and not a row for each job and set are shuffled, once; months too large for one task are reduced by all, with the same rows."""
+    table = jobs(spark, *[(str(k), f"u{k % 3}", k % 70, ("FAILED", "COMPLETED")[k % 2], k % 5) for k in range(200)])
+    O.write_store(table, str(tmp_path / "store"))
+    table = O.read_store(spark, str(tmp_path / "store"))
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    G.write_digests(table, whole)
+    monkeypatch.setattr(G, "LARGE", 80)
+    sizes = [r["count"] for r in table.groupBy(*G.MONTH_KEYS).count().collect()]
+    assert min(sizes) <= 80 < max(sizes)
+    G.write_digests(table, parts)
+    for name in G.SETS:
+        a, b = G.read_digest(spark, whole, name), G.read_digest(spark, parts, name)
+        same(a, b)
+        assert a.groupBy(*G.MONTH_KEYS, *G.SETS[name]).count().where("count > 1").isEmpty()
+    sets = {name: keys for name, keys in G.SETS.items() if name != "rows"}
+    gathered = G.reduce_by(table.repartition(3, *G.MONTH_KEYS), sets, G.MONTH_KEYS, gathered=True)
+    assert gathered._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    same(gathered, G.reduce_by(table, sets, G.MONTH_KEYS), *gathered.columns)
+
+
+def test_first_load_is_written_once(spark, tmp_path, monkeypatch):
+    """Into an empty store a load goes without a staged copy."""
+    calls = []
+    kept = O.staged
+    monkeypatch.setattr(O, "staged", lambda *a: calls.append(a[1]) or kept(*a))
+    store, digests = str(tmp_path / "store"), str(tmp_path / "digests")
+    for n, load in enumerate((jobs(spark, ("1", "a", 0, "FAILED", 1), ("1", "a", 0, "COMPLETED", 1)), jobs(spark, ("1", "a", 40, "COMPLETED", 1)))):
+        O.upsert_jobs(load, store, digests)
+        assert calls == ([], ["batch", "merged"])[n] and O.read_store(spark, store).count() == 1
+    assert rows(G.read_digest(spark, digests, "groups"), "_jobs") == [(1,)]
