@@ -383,7 +383,7 @@ def _json_records(c: Context) -> str:
         F.col("CPUs").alias("AllocCPUS"), F.when(c.key % 4 == 0, F.col("GPUs")).alias("AllocGPUS"),
         F.col("Nodes").alias("AllocNodes"), "NodeList")
     path = c.scratch("records")
-    rows.write.json(path)
+    rows.write.option("compression", "gzip").json(path)
     return path
 
 
@@ -467,10 +467,10 @@ def _twice(c: Context, order: str):
     if order == "line":
         both = lambda state: F.struct(*[F.lit(state).alias("State") if n == "State" else F.col(n) for n in rows.columns])
         pair = F.when(even, F.array(both("RUNNING"), both("COMPLETED"))).otherwise(F.array(both("COMPLETED"), both("RUNNING")))
-        rows.select(F.inline(pair)).write.json(path)
+        rows.select(F.inline(pair)).write.option("compression", "gzip").json(path)
     else:
-        first.write.json(path)
-        last.write.mode("append").json(path)
+        first.write.option("compression", "gzip").json(path)
+        last.write.mode("append").option("compression", "gzip").json(path)
     return S.normalize_records(S.read_records(c.spark, path), "main")
 
 

@@ -52,3 +52,10 @@ def test_query(spark, duck, name):
 
 
 EMPTY_AT_SMALLEST_SCALE: set[str] = set()
+
+
+def test_made_records_are_compressed(spark):
+    from checks import base, ingest
+
+    made = ingest._twice(base.Context(spark, "/root/testdata/sf0.001"), "line")
+    assert made.count() > 0 and all(f.endswith(".json.gz") for f in made.inputFiles())
