@@ -75,6 +75,21 @@ def staged(df: DataFrame, label: str, session: SparkSession | None = None) -> It
         fs.delete(folder, True)
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+    """A task of a scan that is planned in the block reads at most ``size`` bytes: packed files hold far more in rows, which some steps sort."""
+    name = "spark.sql.files.maxPartitionBytes"
+    given = spark.conf.get(name)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) <= size:
+        yield
+        return
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def keep_versions(spark: SparkSession, path: str, prefix: str = "", keep: int = 2) -> list[int]:
     """Numbered folders ``<prefix><n>`` below ``path``; all but the ``keep`` highest are removed."""
     fs, folder = file_system(spark, path)

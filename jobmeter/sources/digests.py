@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,9 @@ BUCKETS = 256
 #: Jobs of a month beyond which it is not reduced in one task, and jobs that a task reduces.
 LARGE = 500_000
 PER_TASK = 100_000
+#: Columns of a job that its reduction by sets takes; a bucket and a hash are made from all.
+_NEEDED = list(dict.fromkeys([*MONTH_KEYS, *[k for name, keys in SETS.items() if name != "rows" for k in keys],
+                              "Submit", "WaitingTimeHours", "ElapsedHours", "CPUHours", "GPUHours"]))
 _KEYS = list(dict.fromkeys(k for keys in SETS.values() for k in keys))
 _OWN = {"bucket": T.StructField("bucket", T.IntegerType())}
 _MEASURE_TYPES = {WEIGHT: T.LongType(), "_waits": T.LongType(), "_runs": T.LongType(), "_first": T.TimestampType(), "_last": T.TimestampType()}
@@ -46,12 +50,12 @@ SCHEMA = T.StructType(
 
 
 def write_digests(months: DataFrame, path: str) -> None:
-    """Replace the digests of the months in ``months``, which must hold all jobs of those months. One pass over the jobs, after a count.
+    """Replace the digests of the months in ``months``, which must hold all jobs of those months.
 
     Folders are those of the store. In the files rows stand by set, so a reader of one set skips the row groups of others.
     """
     payload = [c for c in sorted(months.columns) if c not in ("cluster", "JobID")]
-    months = months.withColumns({"bucket": bucket_of(), "_row": F.xxhash64("cluster", "JobID", *payload)})
+    hashed = months.withColumns({"bucket": bucket_of(), "_row": F.xxhash64("cluster", "JobID", *payload)})
     extra = [F.bit_xor("_row").alias("_hash")]
     # Metadata of at most clusters x months rows.
     counts = [tuple(r) for r in months.groupBy(*MONTH_KEYS).count().collect()]
@@ -59,19 +63,32 @@ def write_digests(months: DataFrame, path: str) -> None:
     for *values, n in counts:
         if n > LARGE:
             some, large = True, large | reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(MONTH_KEYS, values)])
-    # Months of usual size are gathered once, which suits both the sets and the folders; what is shuffled are jobs, not a row for each job and set.
+    # Months of usual size are gathered once, and kept on local disks while each set in turn is reduced from its own columns: a task that made the rows of
+    # all sets at once would hold several wide rows for each job. Buckets are few, so they are reduced before they are shuffled and need no hash of each job there.
     tasks = max(1, -(-sum(n for *_, n in counts if n <= LARGE) // PER_TASK))
-    usual = months.where(~large) if some else months
-    reduced = reduce_by(usual.repartition(tasks, *MONTH_KEYS), SETS, MONTH_KEYS, extra, gathered=True).select(*SCHEMA.fieldNames())
-    _write(reduced, path)
+    usual = lambda df: df.where(~large) if some else df
+    gathered = usual(months).select(*_NEEDED).repartition(tasks, *MONTH_KEYS).persist(StorageLevel.DISK_ONLY)
+    try:
+        sets = [reduce_by(gathered, {name: keys}, MONTH_KEYS, gathered=True) for name, keys in SETS.items() if name != "rows"]
+        sets.append(reduce_by(usual(hashed), {"rows": SETS["rows"]}, MONTH_KEYS, extra).repartition(tasks, *MONTH_KEYS))
+        _write(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets), path)
+    finally:
+        gathered.unpersist()
     if some:  # A large month is reduced by all tasks.
-        reduced = reduce_by(months.where(large), SETS, MONTH_KEYS, extra).select(*SCHEMA.fieldNames())
-        _write(reduced.hint("rebalance", *[F.col(k) for k in MONTH_KEYS]), path)
+        _write(reduce_by(hashed.where(large), SETS, MONTH_KEYS, extra).hint("rebalance", *[F.col(k) for k in MONTH_KEYS]), path)
+
+
+def _same_as() -> dict[str, Column]:
+    """What a measure is in most rows, which then leave it out: those of one job."""
+    waited, ran = F.col("WaitingTimeHours"), F.col("ElapsedHours")
+    return {"_last": F.col("_first"), "_waited": F.when(F.col("set") == "waiting", waited), "_ran": F.when((F.col("set") == "duration") & (ran > 0), ran)}
 
 
 def _write(reduced: DataFrame, path: str) -> None:
-    (reduced.sortWithinPartitions(*MONTH_KEYS, "set").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy(*MONTH_KEYS).parquet(path))
+    short = {m: F.when(~F.col(m).eqNullSafe(c), F.col(m)) for m, c in _same_as().items()}
+    short["_hash"] = F.when(F.col("set") == "rows", F.col("_hash"))
+    (reduced.withColumns(short).select(*SCHEMA.fieldNames()).sortWithinPartitions(*MONTH_KEYS, "set")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*MONTH_KEYS).parquet(path))
 
 
 def whole_months(start, end) -> bool:
@@ -107,6 +124,7 @@ def read_digest(spark: SparkSession, path: str, name: str, start=None, end=None,
             rows = rows.where(F.col("SubmitDay") <= F.lit(str(end)).cast("date"))
     if clusters is not None:
         rows = rows.where(F.col("cluster").isin(list(clusters)))
+    rows = rows.withColumns({m: F.coalesce(m, c) for m, c in _same_as().items()})
     return rows.select(*MONTH_KEYS, *SETS[name], *MEASURES, *(["_hash"] if name == "rows" else []))
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import keep_last
 from ..operators.filters import submit_between
 from ..schema import JOBS
-from ..session import file_system, staged
-from .digests import bucket_of, changed_buckets, write_digests
+from ..session import file_system, small_splits, staged
+from .digests import LARGE, PER_TASK, bucket_of, changed_buckets, write_digests
 
 STORE_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 ROW_KEYS = ["cluster", "SubmitYear", "JobID"]
@@ -31,14 +33,19 @@ def drop_partitions(spark: SparkSession, path: str, partitions) -> None:
         fs.delete(folder, True)
 
 
-def write_store(jobs: DataFrame, path: str) -> None:
+def write_store(jobs: DataFrame, path: str, gathered: bool = False) -> None:
     """Replace the partitions that ``jobs`` has rows for; only the columns of the store are written.
 
-    Rebalancing gathers each month into files of the advisory size and splits months that are too large for one task.
+    Rebalancing gathers each month into files of the advisory size and splits months that are too large for one task. ``gathered`` jobs, which
+    already come month by month, as those read from a store do, are written where they are. Jobs of a user stand together, which packs better.
     """
-    (jobs.drop("arrival").hint("rebalance", *[F.col(k) for k in STORE_KEYS])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy(*STORE_KEYS).parquet(path))
+    jobs = jobs.drop("arrival")
+    if not gathered:
+        jobs = jobs.hint("rebalance", *[F.col(k) for k in STORE_KEYS])
+    with small_splits(jobs.sparkSession):
+        (jobs.sortWithinPartitions(*STORE_KEYS, "Account", "User", "Submit")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+         .partitionBy(*STORE_KEYS).parquet(path))
 
 
 def _partitions(df: DataFrame) -> set[tuple]:
@@ -60,6 +67,29 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return condition
 
 
+def _without(stored: DataFrame, gone: DataFrame, newer: DataFrame) -> DataFrame:
+    """``stored`` without the jobs of ``gone``, and ``newer``, gathered by month.
+
+    Whole jobs are shuffled once, which both drops the old ones and suits the folders. Months of more than LARGE jobs are dealt to several tasks, by job.
+    """
+    marked = reduce(DataFrame.unionAll, [
+        df.withColumn("_mark", F.lit(mark)) for df, mark in (
+            (stored, "stored"), (newer.select(*stored.columns), "new"),
+            (gone.select(*[F.col(c) if c in ROW_KEYS + STORE_KEYS else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns]), "gone"))])
+    # Metadata of at most clusters x months rows.
+    counts = [tuple(r) for r in stored.select(*STORE_KEYS).unionAll(newer.select(*STORE_KEYS)).groupBy(*STORE_KEYS).count().collect()]
+    part = F.lit(0)
+    for *values, n in counts:
+        if n > LARGE:
+            month = reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(STORE_KEYS, values)])
+            part = F.when(month, F.pmod(F.xxhash64("JobID"), F.lit(-(-n // LARGE))).cast("int")).otherwise(part)
+    tasks = max(1, -(-sum(n for *_, n in counts) // PER_TASK))
+    keys = [*STORE_KEYS, "_part"]
+    old = F.max(F.col("_mark") == "gone").over(Window.partitionBy(*keys, "JobID"))
+    return (marked.withColumn("_part", part).repartition(tasks, *keys).withColumn("_old", old)
+            .where((F.col("_mark") == "new") | ((F.col("_mark") == "stored") & ~F.col("_old"))).select(*stored.columns))
+
+
 def upsert_jobs(new: DataFrame, path: str, digests: str | None = None) -> DataFrame:
     """Merge canonical jobs into the store; a job's record in the batch replaces those stored for its cluster and year.
 
@@ -78,7 +108,7 @@ def upsert_jobs(new: DataFrame, path: str, digests: str | None = None) -> DataFr
         if digests:
             build_digests(spark, path, digests)
         return read_store(spark, path)
-    with staged(last, "batch") as batch:
+    with small_splits(spark), staged(last, "batch") as batch:
         touched = _partitions(batch)
         merged = batch
         if touched:
@@ -88,13 +118,13 @@ def upsert_jobs(new: DataFrame, path: str, digests: str | None = None) -> DataFr
             touched |= _partitions(earlier.join(batch, _same(earlier, batch), "left_semi"))
             earlier, stored = earlier.where(_within(touched, 3)), store.where(_within(touched, 3))
             newer = batch.join(earlier, _same(batch, earlier) & (earlier["ingest_seq"] > batch["ingest_seq"]), "left_anti")
-            merged = stored.join(newer, _same(stored, newer), "left_anti").unionByName(newer)
+            merged = _without(stored, earlier.join(newer, _same(earlier, newer), "left_semi"), newer)
         with staged(merged, "merged") as result:
-            write_store(result, path)
+            write_store(result, path, gathered=True)
             emptied = touched - _partitions(result)
             drop_partitions(spark, path, emptied)
             if digests:
-                write_digests(result, digests)
+                write_digests(read_store(spark, path).where(_within(touched, 3)), digests)  # in the order of the store, which packs better than that of the copy
                 drop_partitions(spark, digests, emptied)
     return read_store(spark, path).where(_within(touched, 3))
 

@@ -8,6 +8,7 @@ from jobmeter.operators import histograms as H
 from jobmeter.operators import measures as M
 from jobmeter.operators.filters import submit_between
 from jobmeter.plans import reports as R
+from jobmeter.session import small_splits
 from jobmeter.sources import digests as G
 from jobmeter.sources import store as O
 from jobmeter.sources.records import normalize_records
@@ -143,3 +144,47 @@ def test_first_load_is_written_once(spark, tmp_path, monkeypatch):
         O.upsert_jobs(load, store, digests)
         assert calls == ([], ["batch", "merged"])[n] and O.read_store(spark, store).count() == 1
     assert rows(G.read_digest(spark, digests, "groups"), "_jobs") == [(1,)]
+
+
+def test_sets_are_reduced_one_at_a_time(spark, tmp_path, monkeypatch):
+    """A task never makes the rows of all sets from each job at once, and rows of one job leave out what other columns tell."""
+    table = jobs(spark, *[(str(k), f"u{k % 3}", k % 70, ("FAILED", "COMPLETED")[k % 2], k % 5) for k in range(60)])
+    calls = []
+    plain = G.reduce_by
+    monkeypatch.setattr(G, "reduce_by", lambda df, sets, *a, **b: calls.append((len(sets), b.get("gathered", False))) or plain(df, sets, *a, **b))
+    G.write_digests(table, str(tmp_path / "digests"))
+    assert sorted(calls) == [(1, False)] + [(1, True)] * (len(G.SETS) - 1)
+    raw = spark.read.schema(G.SCHEMA).parquet(str(tmp_path / "digests"))
+    assert raw.where("_jobs = 1 and (_last is not null or set <> 'rows' and _hash is not null)").isEmpty()
+    assert raw.where("set = 'waiting' and _jobs = 1 and _waited is not null or set = 'duration' and _jobs = 1 and _ran is not null").isEmpty()
+    for name in ("groups", "days", "waiting", "duration", "lists"):
+        want = plain(table, {name: G.SETS[name]}, G.MONTH_KEYS)
+        same(G.read_digest(spark, str(tmp_path / "digests"), name), want, *G.MONTH_KEYS, *G.SETS[name], *G.MEASURES)
+
+
+@pytest.mark.parametrize("large", (3, 500_000))
+def test_merge_shuffles_whole_jobs_once(spark, monkeypatch, large):
+    """Months of any size: old rows are dropped where the month is gathered."""
+    monkeypatch.setattr(O, "LARGE", large)
+    monkeypatch.setattr(O, "PER_TASK", 2)
+    stored = jobs(spark, *[(str(k), "u", k % 2 * 40, "FAILED", 1) for k in range(20)], (None, "u", 0, "FAILED", 1))
+    newer = jobs(spark, ("1", "u", 0, "COMPLETED", 2), (None, "u", 40, "COMPLETED", 2), ("30", "u", 0, "COMPLETED", 2))
+    gone = stored.where("JobID = '1' or JobID is null")
+    merged = O._without(stored, gone, newer)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    want = stored.where("JobID <> '1'").unionByName(newer)
+    same(merged, want)
+    assert merged.columns == stored.columns
+
+
+def test_gathered_months_are_not_shuffled(spark, tmp_path):
+    """Written where they are, from small splits of files; the session's own setting comes back."""
+    table = jobs(spark, *[(str(k), f"u{k % 3}", k % 70, "FAILED", 1) for k in range(30)])
+    O.write_store(table, str(tmp_path / "one"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    O.write_store(O.read_store(spark, str(tmp_path / "one")), str(tmp_path / "two"), gathered=True)
+    with small_splits(spark, 1 << 20):
+        assert spark.conf.get(name) == str(1 << 20)
+    assert spark.conf.get(name) == before
+    same(O.read_store(spark, str(tmp_path / "two")), O.read_store(spark, str(tmp_path / "one")))
