@@ -96,7 +96,7 @@ def s13_stores(c: Context):
     new = table.where(~(march & (c.key % 12 == 7))).withColumns({
         "State": F.when(march & (c.key % 12 == 9), "TIMEOUT").otherwise(F.col("State")),
         "JobID": F.when(march & (c.key % 12 == 5), F.concat("JobID", F.lit("n"))).otherwise(F.col("JobID"))})
-    O.write_store(new, other)
+    O.write_store(new, other, gathered=True)
     O.build_digests(c.spark, other, other_digests)
     return O.diff_stores(c.spark, store, digests, other, other_digests)
 
