@@ -76,18 +76,22 @@ def staged(df: DataFrame, label: str, session: SparkSession | None = None) -> It
 
 
 @contextmanager
-def small_splits(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
-    """A task of a scan that is planned in the block reads at most ``size`` bytes: packed files hold far more in rows, which some steps sort."""
-    name = "spark.sql.files.maxPartitionBytes"
-    given = spark.conf.get(name)
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) <= size:
-        yield
-        return
-    spark.conf.set(name, size)
+def small_splits(spark: SparkSession, size: int = 16 << 20, shuffled: int = 8 << 20) -> Iterator[None]:
+    """A task of what runs in the block reads at most ``size`` bytes of a scan, and is given no more than ``shuffled`` bytes by joining small partitions of a shuffle.
+
+    Packed files and shuffles hold far more in rows, which some steps sort. Settings that are lower already stay.
+    """
+    given = {}
+    for name, most in (("spark.sql.files.maxPartitionBytes", size), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", shuffled)):
+        now = spark.conf.get(name)
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
+            given[name] = now
+            spark.conf.set(name, most)
     try:
         yield
     finally:
-        spark.conf.set(name, given)
+        for name, was in given.items():
+            spark.conf.set(name, was)
 
 
 def keep_versions(spark: SparkSession, path: str, prefix: str = "", keep: int = 2) -> list[int]:

@@ -22,6 +22,7 @@ from ..functions.weights import WEIGHT
 from ..operators.filters import submit_between
 from ..operators.reduce import MEASURES, reduce_by
 from ..schema import JOBS
+from ..session import small_splits
 
 MONTH_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 #: The sets of keys by which a month is reduced, beside the month itself.
@@ -38,6 +39,8 @@ BUCKETS = 256
 #: Jobs of a month beyond which it is not reduced in one task, and jobs that a task reduces.
 LARGE = 500_000
 PER_TASK = 100_000
+#: Hash partitions for the jobs of one task, so that few months fall into the same one by chance: a month of many jobs is to be alone.
+SPREAD = 8
 #: Columns of a job that its reduction by sets takes; a bucket and a hash are made from all.
 _NEEDED = list(dict.fromkeys([*MONTH_KEYS, *[k for name, keys in SETS.items() if name != "rows" for k in keys],
                               "Submit", "WaitingTimeHours", "ElapsedHours", "CPUHours", "GPUHours"]))
@@ -54,6 +57,11 @@ def write_digests(months: DataFrame, path: str) -> None:
 
     Folders are those of the store. In the files rows stand by set, so a reader of one set skips the row groups of others.
     """
+    with small_splits(months.sparkSession):
+        _write_digests(months, path)
+
+
+def _write_digests(months: DataFrame, path: str) -> None:
     payload = [c for c in sorted(months.columns) if c not in ("cluster", "JobID")]
     hashed = months.withColumns({"bucket": bucket_of(), "_row": F.xxhash64("cluster", "JobID", *payload)})
     extra = [F.bit_xor("_row").alias("_hash")]
@@ -65,17 +73,22 @@ def write_digests(months: DataFrame, path: str) -> None:
             some, large = True, large | reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(MONTH_KEYS, values)])
     # Months of usual size are gathered once, and kept on local disks while each set in turn is reduced from its own columns: a task that made the rows of
     # all sets at once would hold several wide rows for each job. Buckets are few, so they are reduced before they are shuffled and need no hash of each job there.
-    tasks = max(1, -(-sum(n for *_, n in counts if n <= LARGE) // PER_TASK))
+    tasks = max(1, -(-sum(n for *_, n in counts if n <= LARGE) * SPREAD // PER_TASK))
     usual = lambda df: df.where(~large) if some else df
     gathered = usual(months).select(*_NEEDED).repartition(tasks, *MONTH_KEYS).persist(StorageLevel.DISK_ONLY)
     try:
         sets = [reduce_by(gathered, {name: keys}, MONTH_KEYS, gathered=True) for name, keys in SETS.items() if name != "rows"]
         sets.append(reduce_by(usual(hashed), {"rows": SETS["rows"]}, MONTH_KEYS, extra).repartition(tasks, *MONTH_KEYS))
-        _write(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets), path)
+        _write(_together(sets), path)
     finally:
         gathered.unpersist()
-    if some:  # A large month is reduced by all tasks.
-        _write(reduce_by(hashed.where(large), SETS, MONTH_KEYS, extra).hint("rebalance", *[F.col(k) for k in MONTH_KEYS]), path)
+    if some:  # A large month is reduced by all tasks, again by one set after the other.
+        sets = [reduce_by(hashed.where(large), {name: keys}, MONTH_KEYS, extra if name == "rows" else ()) for name, keys in SETS.items()]
+        _write(_together(sets).hint("rebalance", *[F.col(k) for k in MONTH_KEYS]), path)
+
+
+def _together(sets: Iterable[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
 
 
 def _same_as() -> dict[str, Column]:

@@ -13,7 +13,7 @@ from ..operators.cleaning import keep_last
 from ..operators.filters import submit_between
 from ..schema import JOBS
 from ..session import file_system, small_splits, staged
-from .digests import LARGE, PER_TASK, bucket_of, changed_buckets, write_digests
+from .digests import LARGE, PER_TASK, SPREAD, bucket_of, changed_buckets, write_digests
 
 STORE_KEYS = ["cluster", "SubmitYear", "SubmitMonth"]
 ROW_KEYS = ["cluster", "SubmitYear", "JobID"]
@@ -83,7 +83,7 @@ def _without(stored: DataFrame, gone: DataFrame, newer: DataFrame) -> DataFrame:
         if n > LARGE:
             month = reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(STORE_KEYS, values)])
             part = F.when(month, F.pmod(F.xxhash64("JobID"), F.lit(-(-n // LARGE))).cast("int")).otherwise(part)
-    tasks = max(1, -(-sum(n for *_, n in counts) // PER_TASK))
+    tasks = max(1, -(-sum(n for *_, n in counts) * SPREAD // PER_TASK))
     keys = [*STORE_KEYS, "_part"]
     old = F.max(F.col("_mark") == "gone").over(Window.partitionBy(*keys, "JobID"))
     return (marked.withColumn("_part", part).repartition(tasks, *keys).withColumn("_old", old)

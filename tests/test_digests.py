@@ -188,3 +188,56 @@ def test_gathered_months_are_not_shuffled(spark, tmp_path):
         assert spark.conf.get(name) == str(1 << 20)
     assert spark.conf.get(name) == before
     same(O.read_store(spark, str(tmp_path / "two")), O.read_store(spark, str(tmp_path / "one")))
+
+
+def months_by_task(df):
+    """The number of months of the tasks that have any."""
+    return [r[0] for r in rows(df.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(*G.MONTH_KEYS).alias("n")), "n")]
+
+
+def test_few_months_meet_in_a_task(spark, tmp_path, monkeypatch):
+    """Months of a task's share each are gathered apart, for digests and for a merge, and not by chance several in one task."""
+    table = jobs(spark, *[(f"{m}-{k}", "u", m * 31, "FAILED", 1) for m in range(40) for k in range(5)])
+    monkeypatch.setattr(G, "PER_TASK", 5)
+    monkeypatch.setattr(O, "PER_TASK", 5)
+    found = []
+    plain = G.reduce_by
+    monkeypatch.setattr(G, "reduce_by", lambda df, *a, **b: (found.append(months_by_task(df)) if b.get("gathered") else None) or plain(df, *a, **b))
+    G.write_digests(table, str(tmp_path / "digests"))
+    merged = months_by_task(O._without(table, table.limit(0), table.limit(0)))
+    assert len(found) == len(G.SETS) - 1 and sum(merged) == sum(found[0]) == 40
+    assert min(len(found[0]), len(merged)) >= 32  # with as many partitions as shares, about 25 of 40 tasks have months
+
+
+def test_a_large_month_is_reduced_by_one_set_after_the_other(spark, tmp_path, monkeypatch):
+    table = jobs(spark, *[(str(k), f"u{k % 3}", k % 3, ("FAILED", "COMPLETED")[k % 2], k % 5) for k in range(60)])
+    monkeypatch.setattr(G, "LARGE", 50)
+    calls = []
+    plain = G.reduce_by
+    monkeypatch.setattr(G, "reduce_by", lambda df, sets, *a, **b: calls.append(list(sets)) or plain(df, sets, *a, **b))
+    G.write_digests(table, str(tmp_path / "digests"))
+    assert all(len(sets) == 1 for sets in calls)
+    for name, keys in G.SETS.items():
+        if name != "rows":
+            same(G.read_digest(spark, str(tmp_path / "digests"), name), plain(table, {name: keys}, G.MONTH_KEYS), *G.MONTH_KEYS, *keys, *G.MEASURES)
+    buckets = G.read_digest(spark, str(tmp_path / "digests"), "rows")
+    assert buckets.agg(F.sum("_jobs")).first()[0] == 60 and buckets.where("_hash is null").isEmpty()
+
+
+def test_partitions_of_a_load_are_not_joined_beyond_what_a_task_sorts(spark, tmp_path, monkeypatch):
+    """A load behind joins comes in small partitions, and so do the months that digests are made from; the session's own setting comes back."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "64m")
+    try:
+        seen = []
+        frame = type(spark.range(1))
+        plain = frame.sortWithinPartitions  # called for the store and for its digests
+        monkeypatch.setattr(frame, "sortWithinPartitions", lambda df, *a, **b: seen.append(spark.conf.get(name)) or plain(df, *a, **b))
+        O.upsert_jobs(jobs(spark, ("1", "a", 0, "FAILED", 1)), str(tmp_path / "store"), str(tmp_path / "digests"))
+        assert len(seen) >= 2 and {int(x) for x in seen} == {8 << 20}
+        assert spark.conf.get(name) == "64m"
+        spark.conf.set(name, "1m")
+        with small_splits(spark):  # a lower one stays
+            assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
